@@ -368,6 +368,7 @@ def expansion_terms(hits: DataFrame, messages: DataFrame, entities: DataFrame, g
 
 def expand_once(docs: DataFrame, hits: DataFrame, features: DataFrame, per_feature: int = 8, text="text") -> DataFrame:
     """Documents found by the mined terms that the query had not seen: (query_id, doc_id, score)."""
+    features = reuse(features)
     subs = features.select(F.struct("query_id", "feature", "term").alias("query_id"), F.col("term").alias("query"))
     terms = query_terms(subs)
     index = build_index(docs, text, terms)

@@ -8,6 +8,7 @@ from . import sqltext as S
 from .extract_plans import _COMPACT_SQL
 from .inputs import messages, passages, scores
 from .registry import query
+from ..session import reuse
 
 _TEXT = "subject || ' ' || body || ' ' || sender"
 QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
@@ -308,8 +309,9 @@ ex AS (SELECT query_id, feature, term, n FROM fc WHERE r <= CASE feature WHEN 'o
 
 def _expansion(t):
     d, text = corpus(t)
-    hits = E.tfidf_search(d, passages(t), 12, "log", text)
-    return d, text, hits, E.expansion_terms(hits, messages(t), D.compact_entities(d))
+    hits = reuse(E.tfidf_search(d, passages(t), 12, "log", text))
+    hit_docs = t("documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return d, text, hits, E.expansion_terms(hits, messages(t), D.compact_entities(hit_docs))
 
 
 @query("expansion_terms_E22", f"WITH {base('log')}, {_EXP} SELECT query_id, feature, term, n FROM ex")
