@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 from ..session import broadcast_checked, cut_lineage
@@ -81,8 +84,8 @@ def node_confidence(nodes: DataFrame, edges: DataFrame, mentions: DataFrame) ->
     j = d.join(docs, "id", "left").join(F.broadcast(top), F.col("degree") <= F.col("top"))
     cen = F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0)
     cor = 1 - 1 / (1 + F.coalesce("docs", F.lit(0)))
-    return j.select("id", F.col("degree").alias("total_connections"), F.round(cen, 6).alias("centrality"), F.round(cor, 6).alias("corroboration"),
-                    F.round(0.5 * cen + 0.5 * cor, 6).alias("relevance"))
+    return j.select("id", F.col("degree").alias("total_connections"), F.round(cen, 9).alias("centrality"), F.round(cor, 9).alias("corroboration"),
+                    F.round(0.5 * cen + 0.5 * cor, 9).alias("relevance"))
 
 
 def propagate_scores(scores: DataFrame, edges: DataFrame, threshold: int = 30, add_suspicion: int = 15, add_pertinence: int = 10) -> DataFrame:
@@ -234,14 +237,13 @@ def similar_names(names: DataFrame, ratio: float = 0.85, method: str = "levensht
 
 
 def matched_ratio(a, b) -> Column:
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
+    """Twice the matched characters over both lengths (Ratcliff/Obershelp)."""
 
+    @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float)
 
-    return F.pandas_udf(run, DoubleType())(a, b)
+    return run(a, b)
 
 
 def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -207,3 +207,17 @@ def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 256) -> Da
     local = F.row_number().over(Window.partitionBy("_b").orderBy(key))
     return (sliced.withColumn("_r", local).join(broadcast_checked(shift, buckets + 1), "_b")
             .withColumn(out, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off"))
+
+
+def numbered_within(df: DataFrame, group: str, key: str, out: str = "rn", span: int = 10_000) -> DataFrame:
+    """Consecutive numbers from 1 within each group in the order of a unique integer ``key``.
+
+    A group is cut at multiples of ``span``, numbered slice by slice and shifted by the
+    rows before, so a group with most of the rows is still many tasks.
+    """
+    s = df.withColumn("_b", F.floor(F.col(key) / span))
+    sizes = s.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    off = F.sum("_n").over(Window.partitionBy(group).orderBy("_b")) - F.col("_n")
+    local = F.row_number().over(Window.partitionBy(group, "_b").orderBy(key))
+    return (s.withColumn("_r", local).join(sizes.withColumn("_off", off).drop("_n"), [group, "_b"])
+            .withColumn(out, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off"))

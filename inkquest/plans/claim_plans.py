@@ -46,11 +46,15 @@ def claim_table(t):
                                  F.concat(F.lit("field_"), F.pmod(n, F.lit(4)).cast("string")).alias("field"), (1980 + F.pmod(n, F.lit(40))).alias("year"))
 
 
+# wordings that occur in the corpus
+OPPOSITES = [("und", "und der"), ("les", "les de"), ("license", "token")]
+
+
 @query("contradiction_sides_D20", f"""WITH c AS (SELECT doc_id AS claim_id, lower(text) AS l FROM documents), s AS ({' UNION ALL '.join(
- f"SELECT '{p}' AS pos, '{n}' AS neg, '{s}' AS side, claim_id FROM c WHERE contains(l, '{w}')" for p, n in C.NEGATIONS for s, w in (('pos', p), ('neg', n)))})
+ f"SELECT '{p}' AS pos, '{n}' AS neg, '{s}' AS side, claim_id FROM c WHERE contains(l, '{w}')" for p, n in OPPOSITES for s, w in (('pos', p), ('neg', n)))})
 SELECT * FROM s WHERE (pos, neg) IN (SELECT (pos, neg) FROM s GROUP BY pos, neg HAVING count(DISTINCT side) = 2)""")
 def _(t):
-    return C.contradiction_sides(t("documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"))).select("pos", "neg", "side", "claim_id")
+    return C.contradiction_sides(t("documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim")), OPPOSITES).select("pos", "neg", "side", "claim_id")
 
 
 _TOKP = r"list_distinct(list_filter(string_split_regex(lower(claim), '\s+'), lambda t: t <> ''))"

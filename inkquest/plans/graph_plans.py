@@ -83,7 +83,7 @@ def _(t):
 
 _NC = f"""{GRAPH}, d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1), m AS (SELECT o_custkey * 2 AS id, count(DISTINCT o_orderkey) AS docs FROM orders GROUP BY 1),
 x AS (SELECT nd.id, type, coalesce(n, 0) AS n, (SELECT max(n) FROM d) AS top, coalesce(docs, 0) AS docs FROM nd LEFT JOIN d ON d.id = nd.id LEFT JOIN m ON m.id = nd.id),
-nc AS (SELECT id, type, n AS total_connections, round(n / top, 6) AS centrality, round(1 - 1 / (1 + docs), 6) AS corroboration, round(0.5 * n / top + 0.5 * (1 - 1 / (1 + docs)), 6)::DOUBLE AS relevance FROM x)"""
+nc AS (SELECT id, type, n AS total_connections, round(n / top, 9) AS centrality, round(1 - 1 / (1 + docs), 9) AS corroboration, round(0.5 * n / top + 0.5 * (1 - 1 / (1 + docs)), 9)::DOUBLE AS relevance FROM x)"""
 
 
 def _confidence(t):
@@ -96,7 +96,7 @@ def _(t):
     return _confidence(t)
 
 
-@query("relevant_subjects_G5", f"WITH {_NC} SELECT id, round(relevance, 3) AS relevance FROM nc WHERE type = 'person' AND relevance > 0.3 ORDER BY relevance DESC, id LIMIT 50")
+@query("relevant_subjects_G5", f"WITH {_NC} SELECT id, round(nc.relevance, 3) AS relevance FROM nc WHERE type = 'person' AND nc.relevance > 0.3 ORDER BY nc.relevance DESC, id LIMIT 50")
 def _(t):
     c = _confidence(t).join(nodes(t).where("type = 'person'").select("id"), "id", "left_semi")
     return c.where("relevance > 0.3").orderBy(F.desc("relevance"), "id").limit(50).select("id", F.round("relevance", 3).alias("relevance"))
