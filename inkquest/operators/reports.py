@@ -194,7 +194,7 @@ def hypothesis_metrics(h: DataFrame) -> DataFrame:
     st, c = F.col("status"), F.col("confidence")
     return h.groupBy("case_id").agg(
         F.count("*").alias("total"), F.count_if(st.isin("supported", "refuted", "inconclusive")).alias("tested"), F.count_if(st == "pending").alias("pending"),
-        F.count_if(st == "supported").alias("supported"), F.round(F.avg(c), 3).alias("average_confidence"),
+        F.count_if(st == "supported").alias("supported"), F.round(F.round(F.avg(c), 9), 3).alias("average_confidence"),
         F.count_if((F.col("evidence_count") < 2) & (st == "pending")).alias("low_evidence"), F.count_if((st == "supported") & (c > 0.8)).alias("high_confidence"))
 
 

@@ -28,15 +28,15 @@ def _(t):
 
 
 @query("events_in_range_F6", """WITH b AS (SELECT c_custkey AS query_id, min(o_orderdate) AS lo, min(o_orderdate) + INTERVAL 60 DAY AS hi, any_value(c_name) AS subject FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
-e AS (SELECT o_orderkey AS event_id, o_orderdate AS at, c_name FROM orders JOIN customer ON c_custkey = o_custkey),
-m AS (SELECT query_id, event_id, at FROM b JOIN e ON at BETWEEN lo AND hi UNION SELECT query_id, event_id, at FROM b JOIN e ON subject = c_name)
-SELECT query_id, event_id, at, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at, event_id) AS INTEGER) AS rank FROM m) WHERE rank <= 10""")
+e AS (SELECT o_orderkey AS event_id, o_orderdate AS event_at, c_name FROM orders JOIN customer ON c_custkey = o_custkey),
+m AS (SELECT query_id, event_id, event_at FROM b JOIN e ON event_at BETWEEN lo AND hi UNION SELECT query_id, event_id, event_at FROM b JOIN e ON subject = c_name)
+SELECT query_id, event_id, event_at, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY event_at, event_id) AS INTEGER) AS rank FROM m) WHERE rank <= 10""")
 def _(t):
     oc = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
     lo = F.min("o_orderdate")
     b = oc.groupBy(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("subject")).agg(lo.alias("lo")).withColumn("hi", F.expr("lo + INTERVAL 60 DAYS"))
     e = oc.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("at"), F.array("c_name").alias("people"))
-    return R.events_in_range(b, e)
+    return R.events_in_range(b, e).withColumnRenamed("at", "event_at")
 
 
 @query("array_overlap_F10", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ',') AS tags FROM lineitem GROUP BY 1 HAVING list_has_any(list(DISTINCT l_returnflag || l_linestatus), ['RF', 'NO'])")
@@ -124,7 +124,7 @@ def _(t):
     return R.unused_alternatives(log, alt, R.session_terms(log))
 
 
-@query("daily_quota_G10", """SELECT CAST(ts AS DATE) AS day, count(*) AS calls, round(sum(CAST(floor(value * 1000) AS BIGINT)) * 0.25::DOUBLE / 1e6 + sum(CAST(floor(value * 100) AS BIGINT)) * 1.25::DOUBLE / 1e6, 6) AS cost_usd, count(*) >= 330 AS exhausted FROM events GROUP BY 1""")
+@query("daily_quota_G10", """SELECT CAST(ts AS DATE) AS day, count(*) AS calls, CAST((sum(CAST(floor(value * 1000) AS BIGINT) * 25 + CAST(floor(value * 100) AS BIGINT) * 125) + 50) // 100 AS DOUBLE) / 1e6 AS cost_usd, count(*) >= 330 AS exhausted FROM events GROUP BY 1""")
 def _(t):
     calls = t("events").select("ts", F.floor(F.col("value") * 1000).alias("tokens_in"), F.floor(F.col("value") * 100).alias("tokens_out"))
     return R.daily_quota(calls, 330, 1e6).withColumn("cost_usd", F.col("cost_usd").cast("double"))
@@ -222,7 +222,7 @@ def _hyp(t):
 
 
 @query("hypothesis_metrics_G16", f"""WITH {_HYP} SELECT case_id, count(*) AS total, count(*) FILTER (status IN ('supported', 'refuted', 'inconclusive')) AS tested, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'supported') AS supported,
- round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS DOUBLE) / 100 / count(*), 3) AS average_confidence, count(*) FILTER (evidence_count < 2 AND status = 'pending') AS low_evidence, count(*) FILTER (status = 'supported' AND confidence > 0.8) AS high_confidence FROM hy GROUP BY 1""")
+ CAST((20 * sum(CAST(round(confidence * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000 AS average_confidence, count(*) FILTER (evidence_count < 2 AND status = 'pending') AS low_evidence, count(*) FILTER (status = 'supported' AND confidence > 0.8) AS high_confidence FROM hy GROUP BY 1""")
 def _(t):
     return R.hypothesis_metrics(_hyp(t))
 

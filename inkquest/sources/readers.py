@@ -263,11 +263,13 @@ MANIFEST_VEHICLE = r"(?i)(B-727|G-1159|Gulfstream|G-IV|G-V)"
 MANIFEST_SKIP = ["EMPTY", "CARGO", "FUEL ONLY"]
 
 
-def parse_manifest(lines: DataFrame, codes: DataFrame, abbreviations: DataFrame) -> DataFrame:
+def parse_manifest(lines: DataFrame, codes: DataFrame, abbreviations: DataFrame, parties_from: str = "destination") -> DataFrame:
     """Manifest lines as trips with places and party list.
 
     ``codes`` (code, place) and ``abbreviations`` (short, name) are the caller's
-    tables; the party list is everything after the last known code and the trip number.
+    tables.  The party list is what follows the second known code and the trip number
+    (``destination``), or the longer of that and what follows the first free-standing
+    number (``longest``); without a second code it is the latter.
     """
     raw = F.trim("raw")
     date = F.lit("")
@@ -286,7 +288,10 @@ def parse_manifest(lines: DataFrame, codes: DataFrame, abbreviations: DataFrame)
     t = base.join(two, ["file", "line_no"], "left")
     loose = F.regexp_extract("raw", r"\d+\s+(.+?)(?:\d+/|\s*$)", 1)
     after = F.regexp_replace(F.element_at(F.split("raw", F.col("to_code")), -1), r"^\s*\d+\s*", "")
-    text = F.when(F.col("to_code").isNotNull() & (F.length(after) > F.length(loose)), after).otherwise(loose)
+    use_after = F.col("to_code").isNotNull()
+    if parties_from == "longest":
+        use_after = use_after & (F.length(after) > F.length(loose))
+    text = F.when(use_after, after).otherwise(loose)
     t = t.withColumn("parties_raw", F.trim(text))
     parts = t.select("file", "line_no", F.posexplode(F.transform(F.split("parties_raw", ","), lambda p: F.trim(p))).alias("i", "part")).where("part <> ''")
     up = F.upper("part")
