@@ -23,6 +23,8 @@ class Pattern(NamedTuple):
     # A run of words that holds no match when none starts at its first word.  It is
     # stepped over as a whole, so a long run is scanned once and not once per word.
     dead_run: str | None = None
+    # A cheap pattern found in every text that has a match; texts without it are skipped.
+    guard: str | None = None
 
     @property
     def jvm(self) -> str:
@@ -34,6 +36,8 @@ class Pattern(NamedTuple):
 def values_of(folded, p: Pattern) -> Column:
     """All matches of a pattern on an ASCII-folded text, left to right."""
     found = F.regexp_extract_all(folded, F.lit(p.jvm), F.lit(1))
+    if p.guard:
+        found = F.when(F.regexp_like(folded, F.lit(p.guard)), found).otherwise(F.expr("cast(array() as array<string>)"))
     return F.filter(found, lambda v: v != "") if p.dead_run else found
 
 
@@ -100,7 +104,15 @@ REGISTRY = [
 ]
 
 _DEAD = {"organization": r"\b[A-Za-z][A-Za-z\s]*+"}
-REGISTRY = [p._replace(loop_form=_LOOP.get(p.name), dead_run=_DEAD.get(p.name)) for p in REGISTRY]
+_DIGIT = "[0-9]"
+_GUARD = {
+    "email": "@", "twitter_handle": "@", "mention": "@", "hashtag": "#", "url": "://", "ip_address": _DIGIT, "phone": _DIGIT,
+    "ipv6_address": ":", "mac_address": "[:-]", "date_iso": _DIGIT, "date_eu": _DIGIT, "date_text": _DIGIT, "time": _DIGIT, "currency": _DIGIT,
+    "btc_address": "[13]", "eth_address": "0x", "iban": _DIGIT, "credit_card": _DIGIT, "uuid": "-", "jwt": "eyJ", "function_call": r"\(",
+    "password_leak": "[:=]", "private_key": "-----BEGIN", "github_token": "ghp_", "file_path": r"[/\\]", "domain": r"\.",
+    "md5_hash": "[a-fA-F0-9]{32}", "sha1_hash": "[a-fA-F0-9]{40}", "sha256_hash": "[a-fA-F0-9]{64}", "base64": "[A-Za-z0-9+/]{40}",
+}
+REGISTRY = [p._replace(loop_form=_LOOP.get(p.name), dead_run=_DEAD.get(p.name), guard=_GUARD.get(p.name)) for p in REGISTRY]
 
 
 def select_patterns(names=None, category=None, sensitive=None, registry=REGISTRY) -> list[Pattern]:
@@ -158,7 +170,8 @@ def _spans(original: Column, folded: Column, p: Pattern, context: int) -> Column
 
     # a dead run becomes an empty match followed by its own text
     mark = "\x01$1\x02$2" if p.dead_run else "\x01$1\x02"
-    return let(F.split(F.regexp_replace(folded, p.jvm, mark), "\x01"), with_parts)
+    found = let(F.split(F.regexp_replace(folded, p.jvm, mark), "\x01"), with_parts)
+    return F.when(F.regexp_like(folded, F.lit(p.guard)), found) if p.guard else found
 
 
 def all_spans(x, patterns, context: int = 50) -> Column:

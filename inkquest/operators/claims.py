@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, wordlists as W
 from ..functions.text import col
-from ..session import broadcast_checked
 
 # Fields and their keywords; the first field wins ties.
 FIELDS = {

@@ -90,6 +90,8 @@ _DEAD = {
     ("organization", 0): rf"\b{_CAP}(?:\s++{_CAP})*+",
     ("location", 0): rf"\b{_LOW}(?:\s++{_LOW})*+",
 }
+_GUARD = {"date": "[0-9]", "amount": "[0-9]", "email": "@", "phone": "[0-9]{3}", "url": "://", ("location", 0): ",", ("location", 1): "[0-9]",
+          ("person", 2): ",", ("organization", 1): "The"}
 # Kinds kept once per document (without case), the others keep every match.
 DEDUPED_KINDS = ["date", "person", "organization", "amount", "location"]
 # A person containing one of these is dropped.
@@ -106,7 +108,8 @@ def kind_patterns(types=None, places=()) -> list[tuple[str, int, P.Pattern]]:
     for kind, (regexes, conf) in KINDS.items():
         if types is not None and kind not in types:
             continue
-        out += [(kind, i, P.Pattern(f"{kind}{i}", r, kind, conf, loop_form=_LOOP.get((kind, i)), dead_run=_DEAD.get((kind, i)))) for i, r in enumerate(regexes)]
+        out += [(kind, i, P.Pattern(f"{kind}{i}", r, kind, conf, loop_form=_LOOP.get((kind, i)), dead_run=_DEAD.get((kind, i)),
+                                 guard=_GUARD.get((kind, i), _GUARD.get(kind)))) for i, r in enumerate(regexes)]
         if kind == "location" and places:
             out.append((kind, len(regexes), P.Pattern(f"{kind}{len(regexes)}", place_regex(places), kind, conf)))
     return out

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..session import broadcast_checked, cut_lineage
+from ..session import cut_lineage, reuse
 from .search import top_per
 
 
@@ -138,7 +138,7 @@ def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> Da
     One round per hop: the frontier selects its edges, the ends not seen before are
     the next frontier.  Rounds are checkpointed, so the plan stays short.
     """
-    nbr = undirected(edges)
+    nbr = reuse(undirected(edges))
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     front = seen
     for d in range(1, max_depth + 1):
@@ -152,7 +152,7 @@ def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> Da
 
 def shortest_paths(edges: DataFrame, start: DataFrame, goals: DataFrame, max_depth: int = 5) -> DataFrame:
     """One shortest path from ``start`` to each goal; the smallest parent id is taken at every step."""
-    nbr = undirected(edges)
+    nbr = reuse(undirected(edges))
     seen = start.select("id", F.lit(0).alias("distance"), F.array("id").alias("path"))
     front = seen
     for d in range(1, max_depth + 1):
@@ -253,7 +253,7 @@ def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     that label, so the rounds grow with the logarithm of the diameter.  Labels are
     reduced by a map-side ``min``; a hub costs one row per task.
     """
-    e = undirected(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+    e = reuse(undirected(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))))
     lab = cut_lineage(e.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
     for _ in range(max_rounds):
         near = e.join(lab.select(F.col("id").alias("other"), F.col("component").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
@@ -287,7 +287,7 @@ def rewire(edges: DataFrame, merged: DataFrame) -> DataFrame:
 
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """PageRank on the undirected view; contributions are summed map-side before the shuffle."""
-    e = undirected(edges)
+    e = reuse(undirected(edges))
     out = e.groupBy("id").agg(F.count("*").alias("deg"))
     rank = out.select("id", F.lit(1.0).alias("rank"))
     for _ in range(rounds):
@@ -299,7 +299,7 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Label propagation: each round a node takes the commonest label around it, the smallest on ties."""
-    e = undirected(edges)
+    e = reuse(undirected(edges))
     lab = e.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         votes = e.join(lab.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.count("*").alias("n"))

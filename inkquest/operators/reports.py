@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import broadcast_checked
@@ -295,21 +296,37 @@ def mentions(docs: DataFrame, nodes: DataFrame, like: str) -> DataFrame:
     return docs.join(nodes.where(F.col("name").ilike(like)), F.col("doc_id") == F.col("source_id"))
 
 
-def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, days: int = 32) -> DataFrame:
+def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, slices: int = 256) -> DataFrame:
     """First ``k`` events between ``lo`` and ``hi`` of each query, or naming its subject.
 
-    A range join on day buckets: each query names the buckets its range covers, so
-    events are matched by equality and each task keeps its first ``k`` per query.
+    ``bounds`` is (query_id, lo, hi, subject), ``events`` (event_id, at, people).  All
+    events are numbered in time order; a query's range begins right after the events
+    before ``lo``, so its first ``k`` events are ``k`` consecutive numbers and are
+    fetched by equality.  The work is linear in events plus ``k`` per query, however
+    many events a range covers.
     """
-    def bucket(c):
-        return F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
-
-    b = bounds.withColumn("b", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
-    e = events.withColumn("b", bucket("at"))
-    ranged = e.join(broadcast_checked(b), "b").where(F.col("at").between(F.col("lo"), F.col("hi"))).select("query_id", "event_id", "at")
+    def micros(c):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    e = events.select(F.lit(1).alias("is_event"), F.col("event_id").alias("id"), F.col("at").alias("when"), micros("at").alias("t"))
+    q = bounds.select(F.lit(0).alias("is_event"), F.col("query_id").alias("id"), F.col("lo").alias("when"), micros("lo").alias("t"))
+    # approximate quantiles only cut the time line into slices of about equal size
+    cuts = e.select(F.col("t").cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.5 / slices)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    both = e.unionByName(q).withColumn("_k", F.col("t").cast("double"))
+    sliced = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(both).drop("_k")
+    sizes = sliced.groupBy("_b").agg(F.sum("is_event").alias("_n"))
+    shift = sizes.withColumn("_off", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).drop("_n")
+    # a query sorts before the events of its own instant, so its count is of earlier events only
+    upto = F.sum("is_event").over(Window.partitionBy("_b").orderBy("t", "is_event", "id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sliced.withColumn("_r", upto).join(F.broadcast(shift), "_b").withColumn("pos", F.col("_r") + F.col("_off"))
+    numbered = placed.where("is_event = 1").select("pos", F.col("id").alias("event_id"), F.col("when").alias("at"))
+    wanted = (placed.where("is_event = 0").select(F.col("id").alias("query_id"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(k)), lambda i: F.col("pos") + i)).alias("pos")))
+    ranged = wanted.join(numbered, "pos").join(bounds.select("query_id", "hi"), "query_id").where("at <= hi").select("query_id", "event_id", "at")
     named = events.select("event_id", "at", F.explode("people").alias("subject")).join(
-        broadcast_checked(bounds.select("query_id", "subject").where("subject is not null")), "subject").select("query_id", "event_id", "at")
-    cut = top_per(ranged, "query_id", k, "at", "event_id").drop("rank").unionByName(top_per(named, "query_id", k, "at", "event_id").drop("rank")).distinct()
+        bounds.select("query_id", "subject").where("subject is not null"), "subject").select("query_id", "event_id", "at")
+    cut = ranged.unionByName(top_per(named, "query_id", k, "at", "event_id").drop("rank")).distinct()
     return top_per(cut, "query_id", k, "at", "event_id")
 
 
