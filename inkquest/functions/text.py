@@ -286,6 +286,12 @@ def conversation_title(x, starters=W.TITLE_STARTERS, width: int = 50, default: s
     return F.when(t == "", default).otherwise(t)
 
 
+def _title_letter(t) -> Column:
+    """First letter raised; the sharp s has no one-letter title form and stays."""
+    first = F.substring(t, 1, 1)
+    return F.when(first == "ß", first).otherwise(F.upper(first))
+
+
 def query_intent(x) -> Column:
     """Greeting and question flags, priority, confidence and main subject of a query."""
     low = F.lower(col(x))
@@ -303,7 +309,7 @@ def query_intent(x) -> Column:
     high = has(*W.HIGH_PRIORITY)
     words = F.filter(F.split(low, r"\s+"), lambda t: (F.length(t) > 2) & ~F.array_contains(str_array(W.SUBJECT_SKIP), t))
     titled = F.transform(F.slice(words, 1, 3),
-                         lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**30)))
+                         lambda t: F.concat(_title_letter(t), F.substring(t, 2, 2**30)))
     return F.struct(
         greeting.alias("is_greeting"), has("who", "qui").alias("is_who"),
         has("what", "quoi", "quel").alias("is_what"),

@@ -104,10 +104,21 @@ def loops(terms: DataFrame, initial: DataFrame, min_uses: int = 2) -> DataFrame:
     return j.groupBy("session_id").agg(F.bool_and(F.coalesce("uses", F.lit(0)) >= min_uses).alias("looping"), F.count("*").alias("initial_terms"))
 
 
-def unused_alternatives(sessions: DataFrame, alternatives: DataFrame, terms: DataFrame, k: int = 4) -> DataFrame:
-    """First ``k`` alternatives (pos, term) that a session has not used."""
-    offered = sessions.select("session_id").distinct().join(F.broadcast(alternatives), F.col("pos") >= 0)
-    return top_per(offered.join(terms, ["session_id", "term"], "left_anti"), "session_id", k, "pos").select("session_id", "term", "rank")
+def unused_alternatives(sessions: DataFrame, alternatives: DataFrame, terms: DataFrame, k: int = 4, bound: int = 1_000) -> DataFrame:
+    """First ``k`` alternatives (pos, term) that a session has not used.
+
+    The alternatives are a short list (at most ``bound``, checked): a session carries
+    only those it has used and the rest follows row by row.
+    """
+    rows = alternatives.orderBy("pos").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} alternatives")
+    offered = [r["term"] for r in rows]
+    choice = F.array(*[F.lit(o) for o in offered])
+    used = terms.where(F.col("term").isin(offered)).groupBy("session_id").agg(F.collect_set("term").alias("used"))
+    j = sessions.select("session_id").distinct().join(used, "session_id", "left")
+    left = F.slice(F.array_except(choice, F.coalesce("used", F.expr("cast(array() as array<string>)"))), 1, k)
+    return j.select("session_id", F.posexplode(left).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
 
 
 def daily_quota(calls: DataFrame, call_limit: int, cost_limit: float, rate_in: str = "0.25", rate_out: str = "1.25") -> DataFrame:

@@ -229,17 +229,19 @@ def boolean_search(docs: DataFrame, clauses: DataFrame, k: int = 20, text="text"
 
 
 def substring_join(docs: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", id_col: str = "doc_id",
-                   small: int = 2_000) -> DataFrame:
+                   small: int = 500) -> DataFrame:
     """(terms columns, doc id) for every term that is a substring of the lower-case text.
 
-    A short term list is sent to every task.  A longer one is joined by equality on
-    one gram per term, the one rarest in the corpus, and then verified, so neither
-    side is ever paired wholesale.
+    A list of at most ``small`` terms becomes part of the expression and each text
+    yields its own matches.  A longer one is joined by equality on one gram per term,
+    the one rarest in the corpus, and then verified.  Neither side is paired wholesale.
     """
     d = docs.select(id_col, F.lower(col(text)).alias("_text"))
     t = terms.withColumn("_term", F.lower(col(term))).where("_term <> ''")
     if row_bound(t, small) is not None:
-        return d.join(F.broadcast(t), F.contains("_text", F.col("_term"))).drop("_text", "_term")
+        words = [r[0] for r in t.select("_term").distinct().limit(small).collect()]
+        inside = F.filter(X.str_array(words), lambda w: F.contains("_text", w))
+        return d.select(id_col, F.explode(inside).alias("_term")).join(F.broadcast(t), "_term").drop("_term")
     q = t.agg(F.min(F.length("_term"))).first()[0]
     q = min(q, 5)
 

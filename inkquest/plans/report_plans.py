@@ -116,7 +116,7 @@ def _(t):
     return R.loops(R.session_terms(log), log.where("value > 20").select("session_id", "term").distinct(), 9)
 
 
-@query("unused_alternatives_G9", """WITH a AS (SELECT n_nationkey AS pos, CASE WHEN n_nationkey % 5 = 0 THEN 'click' ELSE n_name END AS term FROM nation), s AS (SELECT DISTINCT user_id FROM events)
+@query("unused_alternatives_G9", """WITH a AS (SELECT min(n_nationkey) AS pos, CASE WHEN n_nationkey % 5 = 0 THEN 'click' ELSE n_name END AS term FROM nation GROUP BY 2), s AS (SELECT DISTINCT user_id FROM events)
 SELECT user_id AS session_id, term, rank FROM (SELECT user_id, term, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos) AS INTEGER) AS rank FROM s, a WHERE (user_id, term) NOT IN (SELECT (user_id, event_type) FROM events)) WHERE rank <= 4""")
 def _(t):
     alt = t("nation").select(F.col("n_nationkey").alias("pos"), F.when(F.pmod("n_nationkey", F.lit(5)) == 0, "click").otherwise(F.col("n_name")).alias("term"))

@@ -219,7 +219,7 @@ def _title_sql():
     cut = " ".join(f"WHEN starts_with(lower(m), {S.lst([s])[1:-1]}) THEN substring(m, {len(s) + 1})" for s in W.TITLE_STARTERS)
     return f"""
 WITH f AS (SELECT conv_id, trim(text) AS m FROM conversations WHERE turn = 0), c AS (SELECT conv_id, CASE {cut} ELSE m END AS m FROM f),
-u AS (SELECT conv_id, upper(left(m, 1)) || substring(m, 2) AS m FROM c)
+u AS (SELECT conv_id, CASE WHEN left(m, 1) = 'ß' THEN 'SS' ELSE upper(left(m, 1)) END || substring(m, 2) AS m FROM c)
 SELECT conv_id, CASE WHEN m = '' THEN 'New Chat' WHEN length(m) > 50 THEN left(m, 47) || '...' ELSE m END AS title FROM u"""
 @query("conversation_title_B16", _title_sql())
 def _(t):
@@ -293,7 +293,7 @@ SELECT conv_id, turn, {' OR '.join(f"p = '{g}' OR starts_with(p, '{g} ')" for g
   {_has('who', 'qui')} AS is_who, {_has('what', 'quoi', 'quel')} AS is_what, {_has('connection', 'associate', 'lien')} AS is_connection,
   CASE WHEN {_has(*W.HIGH_PRIORITY)} THEN 'high' ELSE 'normal' END AS priority,
   CASE WHEN {_has(*W.HIGH_PRIORITY)} THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS confidence,
-  CASE WHEN len(ws) = 0 THEN 'this topic' ELSE array_to_string(list_transform(ws[:3], lambda t: upper(left(t, 1)) || substring(t, 2)), ' ') END AS subject FROM w""")
+  CASE WHEN len(ws) = 0 THEN 'this topic' ELSE array_to_string(list_transform(ws[:3], lambda t: CASE WHEN left(t, 1) = 'ß' THEN 'ß' ELSE upper(left(t, 1)) END || substring(t, 2)), ' ') END AS subject FROM w""")
 def _(t):
     return t("conversations").select("conv_id", "turn", X.query_intent("text").alias("i")).select("conv_id", "turn", "i.*")
 
