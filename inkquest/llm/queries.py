@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, quality, sharding, simhash, token_counts
+from . import bpe, chat, decontam, embeddings, pst, quality, sharding, simhash, token_counts
 
 SHARDS = 24
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op5_embeddings")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op6_suffix_tree_lm")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.held_out(F.col("doc_id"), 7, 2)
+    return pst.score(table(spark, folder, "documents"), ~out, out)
+
+
 @query("op7_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
