@@ -220,20 +220,19 @@ def _without(text: str, hit: np.ndarray) -> str:
 def clean(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of ``text``, and a document
     of whose words more than ``max_coverage`` are hit goes as a whole.  Rows without a hit keep
-    their text to the byte, null included."""
-    columns = docs.columns
-    m = matches(docs, bench, **how)
-    at, k = columns.index("text"), len(columns)
-    schema = docs.schema
+    their text to the byte, null included, and all other columns stay whatever their names."""
+    columns, schema = docs.columns, docs.schema
+    at = columns.index("text")
+    m = matches(docs.toDF(*[f"_c{i}" for i in range(len(columns))]), bench, text=f"_c{at}", **how)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for t, n, bits in zip(b.column("text"), b.column("n_words"), b.column("hits")):
-                hit = np.unpackbits(np.frombuffer(bits.as_py() or b"", np.uint8), count=n.as_py()).astype(bool) if bits.is_valid else np.zeros(0, bool)
+            for t, n, bits in zip(b.column(at), b.column("n_words"), b.column("hits")):
+                hit = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=n.as_py()).astype(bool) if bits.is_valid else np.zeros(0, bool)
                 keep.append(not hit.any() or hit.sum() <= max_coverage * len(hit))
                 texts.append(_without(t.as_py(), hit) if hit.any() and keep[-1] else t.as_py())
-            out = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns]
+            out = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return m.select(*columns, "n_words", "hits").mapInArrow(cut, schema) if k and at >= 0 else m
+    return m.drop("items").mapInArrow(cut, schema)

@@ -96,7 +96,7 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
 
 def _masks(budget: int) -> list[int]:
     """Masks of two more blocks than errors, two kept: pairs within the budget agree on all bits of one mask."""
-    blocks = budget + 2
+    blocks = max(3, budget + 2)
     edge = [round(64 * k / blocks) for k in range(blocks + 1)]
     bits = [((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in range(blocks)]
     return [bits[i] | bits[j] for i, j in combinations(range(blocks), 2)]
