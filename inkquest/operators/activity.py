@@ -6,6 +6,8 @@ of the events is still worked off by many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -33,9 +35,33 @@ def with_gap(events: DataFrame, keys: list[str], order: str, gap_seconds: int) -
 
 
 def repeats(events: DataFrame, keys: list[str], order: str, ttl_seconds: int = 300) -> DataFrame:
-    """Each event with ``is_repeat``: the same key occurred less than the time-to-live before."""
-    g = with_gap(events, keys, order, ttl_seconds)
-    return g.withColumn("is_repeat", F.coalesce(F.col("gap") < ttl_seconds, F.lit(False))).drop("_t", "_b", "gap")
+    """Each event with ``is_repeat``: its key was stored at most the time-to-live before.
+
+    A key is stored by its first event and by the first one after it has expired; a repeat
+    does not renew it.  An event after a longer pause always stores, so only the events of one
+    unbroken run depend on each other, and a run is stepped through by its stores.
+    """
+    runs = with_gap(events.select(*keys, order, "ts"), keys, order, ttl_seconds)
+    runs = runs.withColumn("_new", F.coalesce(F.col("gap") > ttl_seconds, F.lit(True)).cast("int"))
+    per = runs.groupBy(*keys, "_b").agg(F.sum("_new").alias("_s"))
+    before = per.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")).drop("_s")
+    local = F.sum("_new").over(Window.partitionBy(*keys, "_b").orderBy("_t", order))
+    runs = runs.withColumn("_run", local).join(before, [*keys, "_b"]).select(*keys, order, "_t", (F.col("_run") + F.col("_before")).alias("_run"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", order])
+        t, stored = pdf["_t"].to_numpy(), 0
+        repeat = np.ones(len(t), bool)
+        while stored < len(t):
+            repeat[stored] = False
+            stored = int(np.searchsorted(t, t[stored] + ttl_seconds, side="right"))
+        return pd.DataFrame({order: pdf[order].to_numpy(), "is_repeat": repeat})
+
+    kind = events.schema[order].dataType.simpleString()
+    runs = runs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_run")))
+    marked = runs.where("_n > 1").groupBy(*keys, "_run").applyInPandas(step, f"{order} {kind}, is_repeat boolean")
+    alone = runs.where("_n = 1").select(order, F.lit(False).alias("is_repeat"))
+    return events.join(marked.unionByName(alone), order)
 
 
 def hit_rate(marked: DataFrame) -> DataFrame:

@@ -118,13 +118,13 @@ def neighbours(starts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
 
 
 def ego_network(edges: DataFrame, centres: DataFrame, depth: int = 2, types: list[str] | None = None,
-                node_cap: int | None = None, edge_cap: int | None = 500) -> DataFrame:
+                node_cap: int | None = None, edge_cap: int | None = None) -> DataFrame:
     """Induced edges among the nodes within ``depth`` hops of the centres.
 
-    Caps are views for a screen: the nearest nodes and first edges by id are kept.
+    Caps are views for a screen, off unless asked for: the nearest nodes and first edges by id.
     """
     e = edges if types is None else edges.where(F.col("type").isin(types))
-    reach = hop_distances(e, centres, min(depth, 2))
+    reach = hop_distances(e, centres, depth)
     if node_cap:
         reach = reach.orderBy("distance", "id").limit(node_cap)
     ids = reach.select("id")
@@ -195,10 +195,9 @@ def similar_names(names: DataFrame, ratio: float = 0.85, method: str = "levensht
     ``levenshtein`` is 1 - distance / longer length; ``ratio`` is twice the matched
     characters over both lengths.  Exact candidates by segment filtering: a name within
     k edits of another of length l shares one of the k + 1 segments of it, near its
-    place.  Copies of a name are one row here, so copies never pair up.
+    place.  Case is ignored, as it is where names are merged.
     """
-    n = names.select("id", "type", "name").where(F.length("name") > 0)
-    longest = n.agg(F.max(F.length("name"))).first()[0] or 1
+    n = names.select("id", "type", F.lower("name").alias("name")).where(F.length("name") > 0)
     scale = 1 - ratio if method == "levenshtein" else 2 * (1 - ratio)
 
     def edits(length):

@@ -37,7 +37,7 @@ def quality_gate(docs: DataFrame, known_hashes: DataFrame | None = None, min_cha
     if known_hashes is not None:
         fresh = fresh.join(known_hashes.select("hash").distinct(), "hash", "left_anti")
     fresh = fresh.select(id_col, F.lit(True).alias("fresh"))
-    narrow = docs.select(id_col, F.length(F.trim(col(text_col))).alias("chars"))
+    narrow = docs.select(id_col, F.coalesce(F.length(F.trim(col(text_col))), F.lit(0)).alias("chars"))
     return narrow.join(fresh, id_col, "left").select(
         id_col, F.when(F.col("chars") < min_chars, "too_short")
         .when(F.col("fresh"), "inserted").otherwise("duplicate").alias("status"))

@@ -122,6 +122,10 @@ def all_terms(scored: DataFrame, terms: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- scores
 
+# Confidence of a search hit that nobody has rated.
+UNRATED_CONFIDENCE = 70
+
+
 def composite(rank: Column, pertinence: Column, suspicion: Column, confidence: Column) -> Column:
     """0.4 rank + 0.3 pertinence + 0.2 suspicion + 0.1 confidence, scores out of 100.
 
@@ -131,13 +135,13 @@ def composite(rank: Column, pertinence: Column, suspicion: Column, confidence: C
             + 0.2 * F.coalesce(suspicion, F.lit(0)) / 100 + 0.1 * F.coalesce(confidence, F.lit(50)) / 100)
 
 
-def with_scores(df: DataFrame, scores: DataFrame, target_type: str, id_col: str) -> DataFrame:
+def with_scores(df: DataFrame, scores: DataFrame, target_type: str, id_col: str, confidence: int = 50) -> DataFrame:
     """Left join of rule scores with defaults for targets that have none."""
     s = scores.where(F.col("target_type") == target_type).select(
-        F.col("target_id").alias(id_col), "pertinence", "suspicion", "confidence")
+        F.col("target_id").alias(id_col), "pertinence", "suspicion", "confidence", F.lit(True).alias("_rated"))
     return df.join(s, id_col, "left").withColumns({
         "pertinence": F.coalesce("pertinence", F.lit(50)), "suspicion": F.coalesce("suspicion", F.lit(0)),
-        "confidence": F.coalesce("confidence", F.lit(50))})
+        "confidence": F.coalesce("confidence", F.when(F.col("_rated"), 50).otherwise(confidence))}).drop("_rated")
 
 
 def unit_rank(scored: DataFrame) -> DataFrame:
@@ -147,41 +151,33 @@ def unit_rank(scored: DataFrame) -> DataFrame:
         "unit", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)).drop("best")
 
 
-def fts_search(docs: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, text="text",
-               require_all: bool = True, fetch_factor: int | None = 3, fetch_cap: int = 100,
-               formula: str = "bm25") -> DataFrame:
-    """Search blended half and half with the pertinence score.
-
-    ``fetch_factor`` reproduces the over-fetch by text rank before blending; None
-    blends every match.
-    """
+def _blended(docs, queries, scores, text, require_all, formula) -> DataFrame:
     terms = query_terms(queries)
-    index = build_index(docs, text, terms)
-    hits = score_terms(index, terms, formula)
+    hits = score_terms(build_index(docs, text, terms), terms, formula)
     if require_all:
         hits = all_terms(hits, terms)
-    if fetch_factor:
-        # the cut groups are small and already partitioned by query: the best score is a window away
-        hits = ranked(hits, min(fetch_factor * limit, fetch_cap)).drop("rank")
-        best = F.max("score").over(Window.partitionBy("query_id"))
-        hits = hits.withColumn("unit", F.when(best > 0, F.col("score") / best).otherwise(0.0))
-    else:
-        hits = unit_rank(hits)
-    blended = with_scores(hits, scores, "document", "doc_id").withColumn(
+    return with_scores(unit_rank(hits), scores, "document", "doc_id", UNRATED_CONFIDENCE).withColumn(
         "blend", F.round(0.5 * F.col("unit") + 0.5 * F.col("pertinence") / 100, 6))
-    return top_per(blended, "query_id", limit, F.desc("blend"), "doc_id")
+
+
+def fts_search(docs: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, text="text",
+               require_all: bool = True, formula: str = "bm25") -> DataFrame:
+    """Search blended half and half with the pertinence score; every match is blended before the top ``limit``."""
+    return top_per(_blended(docs, queries, scores, text, require_all, formula), "query_id", limit, F.desc("blend"), "doc_id")
 
 
 def scored_corpus_search(docs: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, text="text",
-                         blended_rank: bool = False) -> DataFrame:
-    """Any-term search re-ranked by the composite score.
+                         blended_rank: bool = True, fetch: int | None = None) -> DataFrame:
+    """Any-term search ranked by the composite score over every match.
 
-    ``blended_rank`` feeds the already blended value into the composite instead of
-    the text rank.
+    The blended value is the rank that enters the composite; ``blended_rank`` off takes the
+    text rank.  ``fetch`` composes only the best blended matches of a query.
     """
-    hits = fts_search(docs, queries, scores, min(3 * limit, 60), text, require_all=False, fetch_factor=1)
+    hits = _blended(docs, queries, scores, text, False, "bm25")
+    if fetch:
+        hits = top_per(hits, "query_id", fetch, F.desc("blend"), "doc_id").drop("rank")
     base = F.col("blend") if blended_rank else F.col("unit")
-    scored = hits.drop("rank").withColumn("composite", F.round(composite(
+    scored = hits.withColumn("composite", F.round(composite(
         base, F.col("pertinence"), F.col("suspicion"), F.col("confidence")), 6))
     return top_per(scored, "query_id", limit, F.desc("composite"), "doc_id")
 

@@ -38,9 +38,12 @@ def ngram_counts(docs: DataFrame, n: int = 2, text_col: str = "text") -> DataFra
 
 
 def query_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Documents sharing the rarest-looking (longest) word of each query, with the query's terms."""
+    """Documents that hold any word of a query, with the query's terms.
+
+    Words meet ids only; a document's text joins the queries that hit it once.
+    """
     q = queries.select("query_id", F.array_distinct(X.tokenize("query")).alias("terms"))
-    q = q.withColumn("anchor", F.array_max(F.transform(
-        "terms", lambda t: F.struct(F.length(t).alias("len"), t.alias("term"))))["term"])
-    d = docs.select("doc_id", "text", F.explode(F.array_distinct(X.tokenize("text"))).alias("anchor"))
-    return d.join(broadcast_checked(q), "anchor").select("query_id", "doc_id", "text", "terms")
+    words = q.select("query_id", F.explode("terms").alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(X.tokenize("text"))).alias("term"))
+    hits = held.join(broadcast_checked(words), "term").select("query_id", "doc_id").distinct()
+    return hits.join(docs.select("doc_id", "text"), "doc_id").join(broadcast_checked(q), "query_id").select("query_id", "doc_id", "text", "terms")

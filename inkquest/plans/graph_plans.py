@@ -55,8 +55,8 @@ def names(t):
     return p.unionByName(n).unionByName(s)
 
 
-@query("similar_names_F7", f"""WITH {_NM} SELECT a.id AS id_a, b.id AS id_b, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity
-FROM nm a JOIN nm b ON a.type = b.type AND a.id < b.id WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85""")
+@query("similar_names_F7", f"""WITH {_NM} SELECT a.id AS id_a, b.id AS id_b, round(1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity
+FROM nm a JOIN nm b ON a.type = b.type AND a.id < b.id WHERE 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85""")
 def _(t):
     return G.similar_names(names(t))
 
@@ -133,7 +133,7 @@ def _(t):
     return G.pivot_properties(p).select("node_id", F.col("properties")["O"].alias("o"), F.col("properties")["F"].alias("f"))
 
 
-@query("merge_nodes_H4", f"""WITH RECURSIVE {_NM}, pr AS (SELECT a.id AS x, b.id AS y FROM nm a JOIN nm b ON a.type = b.type AND a.id <> b.id AND a.type <> 'supplier' WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85),
+@query("merge_nodes_H4", f"""WITH RECURSIVE {_NM}, pr AS (SELECT a.id AS x, b.id AS y FROM nm a JOIN nm b ON a.type = b.type AND a.id <> b.id AND a.type <> 'supplier' WHERE 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85),
 reach AS (SELECT x, y FROM pr UNION SELECT r.x, p.y FROM reach r JOIN pr p ON p.x = r.y), comp AS (SELECT x AS id, least(min(y), x) AS c FROM reach GROUP BY x),
 k AS (SELECT c, arg_min(comp.id, (length(name), comp.id)) AS canonical_id FROM comp JOIN nm ON nm.id = comp.id GROUP BY 1)
 SELECT comp.id, canonical_id, name AS alias FROM comp JOIN k USING (c) JOIN nm ON nm.id = comp.id WHERE comp.id <> canonical_id""")
@@ -171,7 +171,7 @@ def hub(t):
     return n.orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-@query("ego_network_H7", f"""WITH {GRAPH}, {_HUB}, a AS (SELECT id FROM hub UNION SELECT other FROM un JOIN hub USING (id)) SELECT src, dst, type FROM ed WHERE src IN (FROM a) AND dst IN (FROM a) ORDER BY src, dst, type LIMIT 500""")
+@query("ego_network_H7", f"""WITH {GRAPH}, {_HUB}, a AS (SELECT id FROM hub UNION SELECT other FROM un JOIN hub USING (id)) SELECT src, dst, type FROM ed WHERE src IN (FROM a) AND dst IN (FROM a)""")
 def _(t):
     return G.ego_network(edges(t), hub(t), depth=1)
 

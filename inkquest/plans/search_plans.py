@@ -63,14 +63,13 @@ def _(t):
     return E.tfidf_search(d, passages(t), 10, "norm", text)
 
 
-def _fts_sql(src, limit, fetch):
-    cut = f"cut AS ({topk(src, fetch, rank='r')})" if fetch else f"cut AS (SELECT query_id, doc_id, score FROM {src})"
-    return f"""{cut}, un AS (SELECT cut.*, CASE WHEN best > 0 THEN score / best ELSE 0 END AS unit FROM cut JOIN (SELECT query_id, max(score) AS best FROM cut GROUP BY 1) USING (query_id)),
-bl AS (SELECT un.*, coalesce(pertinence, 50) AS pertinence, coalesce(suspicion, 0) AS suspicion, coalesce(confidence, 50) AS confidence,
+def _fts_sql(src):
+    return f"""un AS (SELECT s.query_id, s.doc_id, s.score, CASE WHEN best > 0 THEN score / best ELSE 0 END AS unit FROM {src} s JOIN (SELECT query_id, max(score) AS best FROM {src} GROUP BY 1) USING (query_id)),
+bl AS (SELECT un.*, coalesce(pertinence, 50) AS pertinence, coalesce(suspicion, 0) AS suspicion, CASE WHEN target_id IS NULL THEN 70 ELSE coalesce(confidence, 50) END AS confidence,
   round(0.5 * unit + 0.5 * coalesce(pertinence, 50) / 100, 6) AS blend FROM un LEFT JOIN scores ON target_id = doc_id)"""
 
 
-@query("fts_search_E4", f"WITH {base('bm25')}, {_fts_sql('hit_all', 20, 60)} {topk('bl', 20, 'blend DESC, doc_id', cols='query_id, doc_id, score, blend')}")
+@query("fts_search_E4", f"WITH {base('bm25')}, {_fts_sql('hit_all')} {topk('bl', 20, 'blend DESC, doc_id', cols='query_id, doc_id, score, blend')}")
 def _(t):
     d, text = corpus(t)
     return E.fts_search(d, passages(t), scores(t), 20, text).select("query_id", "doc_id", "score", "blend", "rank")
@@ -158,9 +157,8 @@ def _(t):
     return d.withColumn("composite", F.round(E.composite(F.lit(0.5), F.col("pertinence"), F.col("suspicion"), F.col("confidence")), 6))
 
 
-@query("scored_corpus_search_E11", f"""WITH {base('bm25')}, {_fts_sql('sc', 60, 60)},
-c AS (SELECT *, round(0.4 * unit + 0.3 * pertinence / 100 + 0.2 * suspicion / 100 + 0.1 * confidence / 100, 6) AS composite
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, doc_id) AS br FROM bl) WHERE br <= 60)
+@query("scored_corpus_search_E11", f"""WITH {base('bm25')}, {_fts_sql('sc')},
+c AS (SELECT *, round(0.4 * blend + 0.3 * pertinence / 100 + 0.2 * suspicion / 100 + 0.1 * confidence / 100, 6) AS composite FROM bl)
 {topk('c', 20, 'composite DESC, doc_id', cols='query_id, doc_id, score, composite')}""")
 def _(t):
     d, text = corpus(t)

@@ -39,10 +39,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder on the storage all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local runs and tests) is a local folder used.
+    (local runs and tests) is a local folder used; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", "local") + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -87,24 +87,45 @@ def read_any(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     return readers[fmt](spark, path)
 
 
-_MAIL_FIELDS = ["sender", "recipients", "cc", "subject", "sent", "body"]
+_MAIL_FIELDS = ["sender", "recipients", "cc", "subject", "sent", "body", "error"]
 
 
 @F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in _MAIL_FIELDS]))
 def parse_eml(content: pd.Series) -> pd.DataFrame:
-    """Header fields and first plain-text part of raw e-mail bytes."""
+    """Header fields (encoded words decoded) and first plain-text part of raw e-mail bytes.
+
+    A mail that cannot be read has its reason in ``error`` and no fields; null content is one.
+    """
     from email import message_from_bytes
+    from email.header import decode_header, make_header
+
+    def header(value):
+        if value is None:
+            return None
+        try:
+            return str(make_header(decode_header(value)))
+        except (LookupError, UnicodeError, ValueError):
+            return str(value)
 
     def one(raw):
-        m = message_from_bytes(bytes(raw))
-        part = m
-        if m.is_multipart():
-            part = next((p for p in m.walk() if p.get_content_type() == "text/plain"), None)
-        payload = part.get_payload(decode=True) if part is not None else None
-        return (m.get("From"), m.get("To"), m.get("Cc"), m.get("Subject"), m.get("Date"),
-                payload.decode("utf-8", "ignore") if payload else "")
-
-    return pd.DataFrame([one(b) for b in content], columns=_MAIL_FIELDS)
+        if raw is None:
+            return (None,) * 6 + ("no content",)
+        try:
+            m = message_from_bytes(bytes(raw))
+            part = m
+            if m.is_multipart():
+                part = next((p for p in m.walk() if p.get_content_type() == "text/plain"), None)
+            payload = part.get_payload(decode=True) if part is not None else None
+            charset = (part.get_content_charset() if part is not None else None) or "utf-8"
+            try:
+                body = payload.decode(charset, "ignore") if payload else ""
+            except LookupError:
+                body = payload.decode("utf-8", "ignore")
+            return (*(header(m.get(h)) for h in ("From", "To", "Cc", "Subject", "Date")), body, None)
+        except Exception as e:  # the parser raises whatever a broken mail leads it to
+            return (None,) * 6 + (f"{type(e).__name__}: {e}",)
+
+    return pd.DataFrame([one(b) for b in content], columns=_MAIL_FIELDS, dtype=object)
 
 
 def page_sections(docs: DataFrame, group: int = 100, min_chars: int = 100, width: int | None = 10_000,

@@ -111,7 +111,7 @@ class TtlCache(StatefulProcessor):
         at = self.stored.get()[0] if self.stored.exists() else None
         out = []
         for t in pdf["t"]:
-            fresh = at is None or t - at >= self.seconds
+            fresh = at is None or t - at > self.seconds
             at = float(t) if fresh else at
             out.append(fresh)
         self.stored.update((float(at),))
