@@ -49,15 +49,19 @@ def classify_field(x, fields=FIELDS, default: str = "interdisciplinary") -> Colu
     return best
 
 
-def mine_claims(papers: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_paper: int = 10) -> DataFrame:
-    """Claims of 31 to 499 characters, in pattern and text order, at most ``per_paper``."""
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def mine_claims(papers: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_paper: int | None = None) -> DataFrame:
+    """Claims of 31 to 499 characters, in pattern and text order; ``per_paper`` keeps the first ones."""
     c = F.rtrim(col(text_col))
     found = []
     for regex, groups in CLAIM_PATTERNS:
         parts = [F.regexp_extract_all(c, F.lit(regex), F.lit(g)) for g in range(1, groups + 1)]
         found.append(parts[0] if groups == 1 else F.zip_with(parts[0], parts[1], lambda a, b: F.concat_ws(" ", a, b)))
     clean = F.transform(F.concat(*found), X.collapse_whitespace)
-    kept = F.slice(F.filter(clean, lambda t: (F.length(t) > 30) & (F.length(t) < 500)), 1, per_paper)
+    kept = _first(F.filter(clean, lambda t: (F.length(t) > 30) & (F.length(t) < 500)), per_paper)
     return papers.select(id_col, classify_field(text_col).alias("field"), F.posexplode(kept).alias("ord", "claim"))
 
 
@@ -76,20 +80,22 @@ def contradiction_sides(claims: DataFrame, negations=NEGATIONS) -> DataFrame:
     return rows.join(F.broadcast(both), ["pos", "neg"])
 
 
-def _token_overlap(claims: DataFrame, min_shared: int, stop=()) -> DataFrame:
+def _token_overlap(claims: DataFrame, min_shared: int, stop=(), within: str | None = None) -> DataFrame:
     """Pairs of distinct claim texts (rep_a, rep_b, shared) with at least ``min_shared`` common words.
 
     Exact: words are ordered from rare to frequent and all but the ``min_shared - 1``
     most frequent words of a claim are join keys, so two claims above the limit must
-    meet on one of them.  Copies of a claim meet once, as one representative.
+    meet on one of them.  Copies of a claim meet once, as one representative; with
+    ``within`` only claims of one value of that column meet.
     """
     tokens = F.array_distinct(F.filter(F.split(F.lower("claim"), r"\s+"), lambda t: (t != "") & ~F.array_contains(X.str_array(list(stop) or [""]), t)))
-    t = claims.select("rep", tokens.alias("tok")).where(F.size("tok") >= min_shared)
-    rows = t.select("rep", F.size("tok").alias("m"), F.explode("tok").alias("w"))
+    group = F.col(within) if within else F.lit(0)
+    t = claims.select("rep", group.alias("g"), tokens.alias("tok")).where(F.size("tok") >= min_shared)
+    rows = t.select("rep", "g", F.size("tok").alias("m"), F.explode("tok").alias("w"))
     freq = rows.groupBy("w").agg(F.count("*").alias("c"))
     order = Window.partitionBy("rep").orderBy("c", "w")
-    keys = rows.join(freq, "w").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("m") - (min_shared - 1)).select("rep", "w")
-    cand = keys.select(F.col("rep").alias("rep_a"), "w").join(keys.select(F.col("rep").alias("rep_b"), "w"), "w").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    keys = rows.join(freq, "w").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("m") - (min_shared - 1)).select("rep", "g", "w")
+    cand = keys.select(F.col("rep").alias("rep_a"), "g", "w").join(keys.select(F.col("rep").alias("rep_b"), "g", "w"), ["g", "w"]).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
     a = t.select(F.col("rep").alias("rep_a"), F.col("tok").alias("ta"))
     b = t.select(F.col("rep").alias("rep_b"), F.col("tok").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -106,7 +112,7 @@ def era_contradictions(claims: DataFrame, years_apart: int = 5, min_shared: int
     Rows are pairs of distinct (field, year, text) with the number of copies on each side.
     """
     reps = _representatives(claims, "field", "year")
-    pairs = _token_overlap(reps, min_shared)
+    pairs = _token_overlap(reps, min_shared, within="field")
     side = reps.select("rep", "field", "year", "copies")
     a = side.select(F.col("rep").alias("rep_a"), F.col("field").alias("field_a"), F.col("year").alias("year_a"), F.col("copies").alias("copies_a"))
     b = side.select(F.col("rep").alias("rep_b"), F.col("field").alias("field_b"), F.col("year").alias("year_b"), F.col("copies").alias("copies_b"))
@@ -115,7 +121,7 @@ def era_contradictions(claims: DataFrame, years_apart: int = 5, min_shared: int
         .select(F.col("field_a").alias("field"), "rep_a", "rep_b", "year_a", "year_b", "shared", "copies_a", "copies_b"))
 
 
-def cross_field_patterns(claims: DataFrame, min_shared: int = 3, limit: int | None = 20, stop=W.CLAIM_STOP) -> DataFrame:
+def cross_field_patterns(claims: DataFrame, min_shared: int = 3, limit: int | None = None, stop=W.CLAIM_STOP) -> DataFrame:
     """Claims of different fields that share words, most shared first."""
     reps = _representatives(claims, "field")
     pairs = _token_overlap(reps, min_shared, stop)
@@ -126,7 +132,7 @@ def cross_field_patterns(claims: DataFrame, min_shared: int = 3, limit: int | No
     return out.orderBy(F.desc("shared"), "rep_a", "rep_b").limit(limit) if limit else out
 
 
-def knowledge_gaps(claims: DataFrame, limit: int | None = 10) -> DataFrame:
+def knowledge_gaps(claims: DataFrame, limit: int | None = None) -> DataFrame:
     hit = F.lit(False)
     for r in GAP_PATTERNS:
         hit = hit | F.regexp_like("claim", F.lit(r))
@@ -134,14 +140,15 @@ def knowledge_gaps(claims: DataFrame, limit: int | None = 10) -> DataFrame:
     return out.orderBy("claim_id").limit(limit) if limit else out
 
 
-def connections(papers: DataFrame, funder_terms=(), max_authors: int = 10, max_funders: int = 10, max_refs: int = 50) -> DataFrame:
+def connections(papers: DataFrame, funder_terms=(), max_authors: int | None = None, max_funders: int | None = None,
+                max_refs: int | None = None) -> DataFrame:
     """authored, funded (scored by the caller's terms) and cites rows of (doi, authors, funders, refs)."""
     none = F.lit(None).cast("string")
     score = F.lit(False)
     for t in funder_terms:
         score = score | F.contains(F.lower("x"), F.lit(t))
     def part(arr, n, kind, who, to, s):
-        return papers.select("doi", F.explode(F.slice(arr, 1, n)).alias("x")).select(
+        return papers.select("doi", F.explode(_first(F.col(arr), n)).alias("x")).select(
             F.col("doi").alias("from_doi"), who.alias("from_author"), to.alias("to_doi"), F.lit(kind).alias("type"), s.alias("score"))
     x = F.col("x")
     return (part("authors", max_authors, "authored", x, none, F.lit(0.0))
@@ -159,13 +166,18 @@ SECTIONS = {
 }
 
 
-def paper_sections(papers: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Abstract, funding and grant notes, conclusions and reference DOIs of a paper text."""
-    def every(k, n):
-        return F.slice(F.array_distinct(F.regexp_extract_all(text_col, F.lit(SECTIONS[k]), F.lit(1))), 1, n)
-    return papers.select(id_col, F.left(X.collapse_whitespace(F.regexp_extract(text_col, SECTIONS["abstract"], 1)), F.lit(2000)).alias("abstract"),
-                         every("funding", 20).alias("funding"), every("grant", 20).alias("grants"),
-                         every("conclusion", 5).alias("conclusions"), every("doi", 50).alias("dois"))
+def paper_sections(papers: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None,
+                   first: dict[str, int] | None = None) -> DataFrame:
+    """Abstract, funding and grant notes, conclusions and reference DOIs of a paper text.
+
+    ``width`` cuts the abstract and ``first`` ({"funding": 20, ...}) keeps the first of a kind.
+    """
+    def every(k):
+        return _first(F.array_distinct(F.regexp_extract_all(text_col, F.lit(SECTIONS[k]), F.lit(1))), (first or {}).get(k))
+    abstract = X.collapse_whitespace(F.regexp_extract(text_col, SECTIONS["abstract"], 1))
+    return papers.select(id_col, (F.left(abstract, F.lit(width)) if width else abstract).alias("abstract"),
+                         every("funding").alias("funding"), every("grant").alias("grants"),
+                         every("conclusion").alias("conclusions"), every("doi").alias("dois"))
 
 
 # ---------------------------------------------------------------- co-travel
@@ -176,15 +188,15 @@ def party_counts(trips: DataFrame) -> DataFrame:
     return p.groupBy("party").agg(F.count("*").alias("trips"))
 
 
-def party_dossiers(trips: DataFrame, min_trips: int = 3, top: int = 10) -> DataFrame:
-    """Parties with ``min_trips`` trips, the number of their companions and the most frequent ones."""
+def party_dossiers(trips: DataFrame, min_trips: int = 3, top: int | None = None) -> DataFrame:
+    """Parties with ``min_trips`` trips, the number of their companions and these by frequency, the first ``top`` if given."""
     clean = trips.select("trip_id", F.filter(F.array_distinct("parties"), lambda p: ~F.contains(F.upper(p), F.lit("UNIDENTIFIED"))).alias("p"))
     counts = party_counts(trips).where(F.col("trips") >= min_trips)
     pairs = clean.select(F.explode("p").alias("party"), "p").select("party", F.explode("p").alias("other")).where("party <> other")
     together = pairs.groupBy("party", "other").agg(F.count("*").alias("n"))
     total = together.groupBy("party").agg(F.count("*").alias("companions"))
     w = Window.partitionBy("party").orderBy(F.desc("n"), "other")
-    best = together.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).groupBy("party").agg(
+    best = together.withColumn("rn", F.row_number().over(w)).where(F.lit(True) if top is None else F.col("rn") <= top).groupBy("party").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "other", "n"))), lambda s: F.concat(s["other"], F.lit(":"), s["n"].cast("string"))), ",").alias("top_companions"))
     return counts.join(total, "party", "left").join(best, "party", "left").select(
         "party", "trips", F.coalesce("companions", F.lit(0)).cast("bigint").alias("companions"), "top_companions")

@@ -182,16 +182,17 @@ COMPACT[1] = COMPACT[1]._replace(loop_form=r"\b" + P.up_to_last(r"[A-Z][a-zA-Z]+
 NOT_PERSONS = ["the new", "new york", "los angeles", "san francisco", "las vegas"]
 
 
-def compact_entities(docs: DataFrame, places=(), max_dates: int = 10,
+def compact_entities(docs: DataFrame, places=(), max_dates: int | None = None,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The short entity set: distinct persons, organisations, places, first dates, amounts, e-mails."""
+    """The short entity set: distinct persons, organisations, places, dates (the first ``max_dates`` if given), amounts, e-mails."""
     pats = list(COMPACT)
     if places:
         pats.append(P.Pattern("location", place_regex(places, True), "location", 0.75))
     v = extract_values(docs, pats, id_col, text_col)
     kind, val = F.col("pattern"), F.col("value")
-    v = v.where(~((kind == "person") & F.lower(val).isin(NOT_PERSONS)) & ~((kind == "amount") & (F.length(val) <= 3))
-                & ~((kind == "date") & (F.col("ordinal") >= max_dates)))
+    v = v.where(~((kind == "person") & F.lower(val).isin(NOT_PERSONS)) & ~((kind == "amount") & (F.length(val) <= 3)))
+    if max_dates is not None:
+        v = v.where(~((kind == "date") & (F.col("ordinal") >= max_dates)))
     shown = F.when(kind == "email", F.lower(val)).when(kind == "location", F.initcap(val)).otherwise(val)
     key = F.when(kind == "person", F.lower(val)).when(kind == "date", F.col("ordinal").cast("string")).otherwise(shown)
     return (v.groupBy(id_col, kind.alias("kind"), key.alias("k")).agg(F.min_by(shown, F.col("ordinal")).alias("value"))
@@ -200,17 +201,18 @@ def compact_entities(docs: DataFrame, places=(), max_dates: int = 10,
 
 # ---------------------------------------------------------------- merging and counting
 
-def merge_entities(*tables: DataFrame, keep_min_len: int = 3, per_kind: int = 20, confidence: float = 0.75,
+def merge_entities(*tables: DataFrame, keep_min_len: int = 3, per_kind: int | None = None, confidence: float = 0.75,
                    id_col: str = "doc_id") -> DataFrame:
-    """Entities of several extractors: one per (document, kind, value without case), at most ``per_kind``."""
+    """Entities of several extractors: one per (document, kind, value without case), the first ``per_kind`` if given."""
     rows = tables[0].select(id_col, "kind", "value")
     for t in tables[1:]:
         rows = rows.unionByName(t.select(id_col, "kind", "value"))
     one = (rows.where(F.length("value") >= keep_min_len)
            .groupBy(id_col, "kind", F.lower("value").alias("k")).agg(F.min("value").alias("value")))
-    w = Window.partitionBy(id_col, "kind").orderBy("k")
-    return (one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_kind)
-            .select(id_col, "kind", "value", F.lit(confidence).alias("confidence")))
+    if per_kind is not None:
+        w = Window.partitionBy(id_col, "kind").orderBy("k")
+        one = one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_kind)
+    return one.select(id_col, "kind", "value", F.lit(confidence).alias("confidence"))
 
 
 def mention_counts(entities: DataFrame, min_len: int = 3) -> DataFrame:
@@ -276,24 +278,28 @@ def proximity_relations(docs: DataFrame, patterns, reach: int = 200,
 
 # ---------------------------------------------------------------- encoded tokens, amounts, code words
 
-# Encoded-token patterns, the count a value must exceed, and the values kept per document.
-ENCODED = [("base64", r"\b[A-Za-z0-9+/]{20,}={0,2}\b", 0, None), ("hex", r"\b[0-9a-fA-F]{16,}\b", 0, None),
-           ("alphanumeric_code", r"\b[A-Z]{1,2}\d{1,2}[A-Z]{1,2}\d{1,2}[A-Z\d]*\b", 2, 10),
-           ("recurring_amount", r"\$[\d,]+\.?\d*", 3, 10)]
+# Encoded-token patterns, and the count a value must exceed.
+ENCODED = [("base64", r"\b[A-Za-z0-9+/]{20,}={0,2}\b", 0), ("hex", r"\b[0-9a-fA-F]{16,}\b", 0),
+           ("alphanumeric_code", r"\b[A-Z]{1,2}\d{1,2}[A-Z]{1,2}\d{1,2}[A-Z\d]*\b", 2),
+           ("recurring_amount", r"\$[\d,]+\.?\d*", 3)]
 
 
-def encoded_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base64, hex, letter-digit codes and repeated amounts of each document with counts."""
-    pats = [P.Pattern(n, r, "encoded", 1.0) for n, r, _, _ in ENCODED]
+def encoded_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_pattern: int | None = None) -> DataFrame:
+    """Base64, hex, letter-digit codes and repeated amounts of each document with counts.
+
+    ``per_pattern`` keeps the most frequent codes and amounts of a document.
+    """
+    pats = [P.Pattern(n, r, "encoded", 1.0) for n, r, _ in ENCODED]
     counts = extract_values(docs, pats, id_col, text_col).groupBy(id_col, "pattern", "value").agg(F.count("*").alias("n"))
     rule = F.lit(False)
-    for name, _, over, top in ENCODED:
-        hit = (F.col("pattern") == name) & (F.col("n") > over)
-        if top is not None:
-            hit = hit & (F.col("rn") <= top)
-        rule = rule | hit
+    for name, _, over in ENCODED:
+        rule = rule | (F.col("pattern") == name) & (F.col("n") > over)
+    counts = counts.where(rule)
+    if per_pattern is None:
+        return counts
     w = Window.partitionBy(id_col, "pattern").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rn", F.row_number().over(w)).where(rule).drop("rn")
+    counted = F.col("pattern").isin([name for name, _, over in ENCODED if over])
+    return counts.withColumn("rn", F.row_number().over(w)).where(~counted | (F.col("rn") <= per_pattern)).drop("rn")
 
 
 def amount_anomalies(amounts: DataFrame, group: str, amount: str, span: int = 1000) -> DataFrame:
@@ -327,9 +333,12 @@ def amount_anomalies(amounts: DataFrame, group: str, amount: str, span: int = 10
     return recurring.unionByName(rounds).unionByName(seqs)
 
 
-def code_words(docs: DataFrame, known=(), id_col: str = "doc_id", text_col: str = "text", with_position: bool = True) -> DataFrame:
+def code_words(docs: DataFrame, known=(), id_col: str = "doc_id", text_col: str = "text", with_position: bool = True,
+               frequent: int | None = None, top: int | None = None) -> DataFrame:
     """Capitalised words that look like code words, with a suspicion score above 30.
 
+    ``frequent`` looks at the most frequent words of a document only, ``top`` keeps its first code words.
+
     +40 for a known code, up to 30 by frequency above five, +20 when the word follows
     a lower-case sentence start somewhere in the text.
     """
@@ -349,6 +358,9 @@ def code_words(docs: DataFrame, known=(), id_col: str = "doc_id", text_col: str
     score = (F.when(F.upper("word").isin([k.upper() for k in known]), 40).otherwise(0)
              + F.when(n > 5, F.least(n * 2, F.lit(30))).otherwise(0) + F.col("late"))
     w = Window.partitionBy(id_col).orderBy(F.desc("frequency"), "word")
-    top = counts.withColumn("rn", F.row_number().over(w)).where("rn <= 50").withColumn("suspicion", score).where("suspicion > 30")
-    return (top.withColumn("rk", F.row_number().over(Window.partitionBy(id_col).orderBy("rn"))).where("rk <= 20")
-            .select(id_col, "word", "frequency", F.col("suspicion").cast("bigint").alias("suspicion")))
+    if frequent is not None:
+        counts = counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= frequent)
+    found = counts.withColumn("suspicion", score).where("suspicion > 30")
+    if top is not None:
+        found = found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top)
+    return found.select(id_col, "word", "frequency", F.col("suspicion").cast("bigint").alias("suspicion"))

@@ -36,10 +36,11 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
         node_id("type", "name_normalized").alias("id"), "type", "m.name", "name_normalized", "m.source_id", "mentions")
 
 
-def upsert_edges(edges: DataFrame, width: int = 500) -> DataFrame:
-    """Edges once per (src, dst, type) without self loops; the first excerpt stays."""
+def upsert_edges(edges: DataFrame, width: int | None = None) -> DataFrame:
+    """Edges once per (src, dst, type) without self loops; the first excerpt stays, cut to ``width`` if given."""
+    excerpt = F.min_by("excerpt", "seq")
     return (edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst", "type")
-            .agg(F.left(F.min_by("excerpt", "seq"), F.lit(width)).alias("excerpt"), F.count("*").alias("seen")))
+            .agg((F.left(excerpt, F.lit(width)) if width else excerpt).alias("excerpt"), F.count("*").alias("seen")))
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame, kind: str = "unknown") -> DataFrame:
@@ -111,10 +112,12 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame, keep_dangling: bool = Fals
     return edges.join(a, "src", how).join(b, "dst", how)
 
 
-def neighbours(starts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """Up to ``limit`` neighbours of every start node, both directions, by id."""
+def neighbours(starts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Neighbours of every start node, both directions, by id; the first ``limit`` if given."""
     n = undirected(edges).join(starts.select("id"), "id", "left_semi")
-    return top_per(n, "id", limit, "other").join(nodes.select(F.col("id").alias("other"), "name", "type"), "other").select("id", "other", "name", "type", "rank")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("other"))
+    found = top_per(n, "id", limit, "other") if limit else n.withColumn("rank", rank)
+    return found.join(nodes.select(F.col("id").alias("other"), "name", "type"), "other").select("id", "other", "name", "type", "rank")
 
 
 def ego_network(edges: DataFrame, centres: DataFrame, depth: int = 2, types: list[str] | None = None,

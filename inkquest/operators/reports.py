@@ -19,7 +19,7 @@ def corpus_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def type_counts(df: DataFrame, column: str, top: int | None = 10, total: bool = False) -> DataFrame:
+def type_counts(df: DataFrame, column: str, top: int | None = None, total: bool = False) -> DataFrame:
     """Rows per value, most first; ``total`` adds one row over all values."""
     if total:
         return df.rollup(column).agg(F.count("*").alias("n"), F.grouping(column).cast("int").alias("is_total"))
@@ -192,9 +192,9 @@ def case_timeline(events: DataFrame, category: str | None = None, subject: str |
 DISCLAIMER = "Counts of supplied records; no finding about any person."
 
 
-def case_dossier(rubric: DataFrame, chain: DataFrame, top: int = 50) -> DataFrame:
-    """Nested JSON per subject: rubric and the first pieces of evidence, with a disclaimer."""
-    first = chain.where(F.col("position") <= top).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "confidence", "strength"))).alias("chain"))
+def case_dossier(rubric: DataFrame, chain: DataFrame, top: int | None = None) -> DataFrame:
+    """Nested JSON per subject: rubric and its evidence (the first ``top`` pieces if given), with a disclaimer."""
+    first = (chain if top is None else chain.where(F.col("position") <= top)).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "confidence", "strength"))).alias("chain"))
     j = rubric.join(first, "subject_id", "left")
     return j.select("subject_id", F.to_json(F.struct("score", "tier", "chain", F.lit(DISCLAIMER).alias("disclaimer"))).alias("dossier"))
 

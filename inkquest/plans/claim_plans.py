@@ -26,7 +26,7 @@ def _field_sql(c):
 @query("mine_claims_D18", rf"""WITH {_PAPER}, m AS (SELECT doc_id, text, list_filter(list_transform(list_concat(list_concat(list_concat(list_concat({', '.join(
  [f"regexp_extract_all(rtrim(text), '{r}', 1)" if g == 1 else f"list_transform(regexp_extract_all(rtrim(text), '{r}', 1), lambda x, i: x || ' ' || regexp_extract_all(rtrim(text), '{r}', 2)[i])" for r, g in C.CLAIM_PATTERNS][:2])}), {
  f"regexp_extract_all(rtrim(text), '{C.CLAIM_PATTERNS[2][0]}', 1)"}), {f"list_transform(regexp_extract_all(rtrim(text), '{C.CLAIM_PATTERNS[3][0]}', 1), lambda x, i: x || ' ' || regexp_extract_all(rtrim(text), '{C.CLAIM_PATTERNS[3][0]}', 2)[i])"}), {
- f"regexp_extract_all(rtrim(text), '{C.CLAIM_PATTERNS[4][0]}', 1)"}), lambda c: trim(regexp_replace(c, '\s+', ' ', 'g'))), lambda c: length(c) > 30 AND length(c) < 500)[:10] AS c FROM pp)
+ f"regexp_extract_all(rtrim(text), '{C.CLAIM_PATTERNS[4][0]}', 1)"}), lambda c: trim(regexp_replace(c, '\s+', ' ', 'g'))), lambda c: length(c) > 30 AND length(c) < 500) AS c FROM pp)
 SELECT doc_id, {_field_sql('text')} AS field, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS ord, unnest(c) AS claim FROM m""")
 def _(t):
     return C.mine_claims(papers(t))
@@ -69,7 +69,7 @@ def _(t):
 
 @query("cross_field_patterns_D21", f"""WITH {_CL}, r AS (SELECT field, claim, min(claim_id) AS rep, list_filter({_TOKP}, lambda t: NOT list_contains({S.lst(W.CLAIM_STOP)}, t)) AS tok FROM claims GROUP BY field, claim),
 p AS (SELECT a.rep AS rep_a, b.rep AS rep_b, len(list_intersect(a.tok, b.tok)) AS shared, a.field AS field_a, b.field AS field_b FROM r a JOIN r b ON a.rep < b.rep AND a.field <> b.field)
-SELECT *, least(shared / 10.0, 1.0)::DOUBLE AS confidence FROM p WHERE shared >= 3 ORDER BY shared DESC, rep_a, rep_b LIMIT 20""")
+SELECT *, least(shared / 10.0, 1.0)::DOUBLE AS confidence FROM p WHERE shared >= 3""")
 def _(t):
     return C.cross_field_patterns(claim_table(t))
 
@@ -84,9 +84,9 @@ def _(t):
 
 @query("paper_connections_D23", """
 WITH s AS (SELECT l_orderkey AS doi, 'S' || l_suppkey AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS i, 'P' || l_partkey AS p FROM lineitem)
-SELECT CAST(doi AS VARCHAR) AS from_doi, x AS from_author, NULL::VARCHAR AS to_doi, 'authored' AS type, 0.0::DOUBLE AS score FROM s WHERE i <= 10
+SELECT CAST(doi AS VARCHAR) AS from_doi, x AS from_author, NULL::VARCHAR AS to_doi, 'authored' AS type, 0.0::DOUBLE AS score FROM s
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderpriority, NULL, 'funded', CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 1.0 ELSE 0.0 END FROM orders WHERE o_orderkey IN (SELECT doi FROM s)
-UNION ALL SELECT CAST(doi AS VARCHAR), '', p, 'cites', 0.0 FROM s WHERE i <= 50""")
+UNION ALL SELECT CAST(doi AS VARCHAR), '', p, 'cites', 0.0 FROM s""")
 def _(t):
     li = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("z"))
     p = li.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -96,13 +96,13 @@ def _(t):
 
 
 @query("paper_sections_D16", r"""WITH x AS (SELECT doc_id, 'Abstract: ' || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'Funded by Source ' || source || '. Grant no. AB-' || doc_id || ' ' || chr(10) || 'In conclusion ' || lang || ' holds. See 10.1234/x' || doc_id || ' ' AS text FROM documents)
-SELECT doc_id, left(trim(regexp_replace(regexp_extract(text, '(?is)\babstract[:\s]+(.{100,}?)(?:\n\s*\n|\bintroduction\b|$)', 1), '\s+', ' ', 'g')), 2000) AS abstract,
- array_to_string(regexp_extract_all(text, '(?i)((?:funded|supported) by [^.\n]+)', 1)[:20], '|') AS funding, 'AB-' || doc_id AS grants, '10.1234/x' || doc_id AS dois FROM x""")
+SELECT doc_id, trim(regexp_replace(regexp_extract(text, '(?is)\babstract[:\s]+(.{100,}?)(?:\n\s*\n|\bintroduction\b|$)', 1), '\s+', ' ', 'g')) AS abstract,
+ array_to_string(regexp_extract_all(text, '(?i)((?:funded|supported) by [^.\n]+)', 1), '|') AS funding, array_to_string(regexp_extract_all(text, '(?i)((?:we conclude|in conclusion)[^.\n]+\.)', 1), '|') AS conclusions, 'AB-' || doc_id AS grants, '10.1234/x' || doc_id AS dois FROM x""")
 def _(t):
     x = t.text("documents", "doc_id").select("doc_id", F.concat(F.lit("Abstract: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\nFunded by Source "), "source",
         F.lit(". Grant no. AB-"), F.col("doc_id").cast("string"), F.lit(" \nIn conclusion "), "lang", F.lit(" holds. See 10.1234/x"), F.col("doc_id").cast("string"), F.lit(" ")).alias("text"))
     p = C.paper_sections(x)
-    return p.select("doc_id", "abstract", *[F.array_join(c, "|").alias(c) for c in ("funding", "grants", "dois")])
+    return p.select("doc_id", "abstract", *[F.array_join(c, "|").alias(c) for c in ("funding", "grants", "conclusions", "dois")])
 
 
 _TRIPS = "tr AS (SELECT DISTINCT l_orderkey AS trip_id, 'S' || l_suppkey AS party FROM lineitem WHERE l_suppkey <> 0)"
@@ -121,6 +121,6 @@ def _(t):
 @query("party_dossiers_D24", f"""WITH {_TRIPS}, c AS (SELECT party, count(*) AS trips FROM tr GROUP BY 1 HAVING count(*) >= 3),
 p AS (SELECT a.party, b.party AS other, count(*) AS n FROM tr a JOIN tr b ON a.trip_id = b.trip_id AND a.party <> b.party GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY n DESC, other) AS rn FROM p)
-SELECT c.party, trips, coalesce(count(other), 0) AS companions, string_agg(other || ':' || n, ',' ORDER BY rn) FILTER (rn <= 10) AS top_companions FROM c LEFT JOIN r ON r.party = c.party GROUP BY 1, 2""")
+SELECT c.party, trips, coalesce(count(other), 0) AS companions, string_agg(other || ':' || n, ',' ORDER BY rn) AS top_companions FROM c LEFT JOIN r ON r.party = c.party GROUP BY 1, 2""")
 def _(t):
     return C.party_dossiers(trips(t))

@@ -121,8 +121,7 @@ def _(t):
 
 
 _COMPACT_SQL = f"""{_values(D.COMPACT)}, kept AS (SELECT doc_id, pattern, ordinal, CASE WHEN pattern = 'email' THEN lower(value) ELSE value END AS value FROM v
- WHERE NOT (pattern = 'person' AND list_contains({S.lst(D.NOT_PERSONS)}, lower(value))) AND NOT (pattern = 'amount' AND length(value) <= 3)
- AND NOT (pattern = 'date' AND ordinal >= 10)),
+ WHERE NOT (pattern = 'person' AND list_contains({S.lst(D.NOT_PERSONS)}, lower(value))) AND NOT (pattern = 'amount' AND length(value) <= 3)),
 ce AS (SELECT doc_id, pattern AS kind, arg_min(value, ordinal) AS value FROM kept
   GROUP BY doc_id, pattern, CASE pattern WHEN 'person' THEN lower(value) WHEN 'date' THEN CAST(ordinal AS VARCHAR) ELSE value END)"""
 
@@ -133,7 +132,7 @@ def _(t):
 
 
 @query("merge_entities_D10", f"""WITH {_COMPACT_SQL}, one AS (SELECT doc_id, kind, lower(value) AS k, min(value) AS value FROM ce WHERE length(value) >= 3 GROUP BY ALL)
-SELECT doc_id, kind, value, 0.75::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY k) AS rn FROM one) WHERE rn <= 20""")
+SELECT doc_id, kind, value, 0.75::DOUBLE AS confidence FROM one""")
 def _(t):
     c = D.compact_entities(t.text("documents", "doc_id"))
     return D.merge_entities(c.where("kind <> 'person'"), c)
@@ -166,10 +165,10 @@ def _(t):
     return D.proximity_relations(t.text("documents", "doc_id"), _NEAR)
 
 
-@query("encoded_tokens_D14", f"""WITH {_values([P.Pattern(n, r, 'e', 1.0) for n, r, _, _ in D.ENCODED])},
-c AS (SELECT doc_id, pattern, value, count(*) AS n, row_number() OVER (PARTITION BY doc_id, pattern ORDER BY count(*) DESC, value) AS rn FROM v GROUP BY doc_id, pattern, value)
-SELECT doc_id, pattern, value, n FROM c WHERE pattern IN ('base64', 'hex') OR (pattern = 'alphanumeric_code' AND n > 2 AND rn <= 10)
- OR (pattern = 'recurring_amount' AND n > 3 AND rn <= 10)""")
+@query("encoded_tokens_D14", f"""WITH {_values([P.Pattern(n, r, 'e', 1.0) for n, r, _ in D.ENCODED])},
+c AS (SELECT doc_id, pattern, value, count(*) AS n FROM v GROUP BY doc_id, pattern, value)
+SELECT doc_id, pattern, value, n FROM c WHERE pattern IN ('base64', 'hex') OR (pattern = 'alphanumeric_code' AND n > 2)
+ OR (pattern = 'recurring_amount' AND n > 3)""")
 def _(t):
     return D.encoded_tokens(t.text("documents", "doc_id"))
 
@@ -186,9 +185,9 @@ def _(t):
 
 
 @query("code_words_C8", rf"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all({S.fold('text')}, '\b[A-Z][A-Za-z]+\b')) AS word FROM documents),
-c AS (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, word) AS rn FROM v GROUP BY 1, 2),
-s AS (SELECT doc_id, word, n AS frequency, rn, CASE WHEN upper(word) IN ('THE', 'LES', 'DIE') THEN 40 ELSE 0 END + CASE WHEN n > 5 THEN least(n * 2, 30) ELSE 0 END AS suspicion FROM c WHERE rn <= 50)
-SELECT doc_id, word, frequency, suspicion FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS rk FROM s WHERE suspicion > 30) WHERE rk <= 20""")
+c AS (SELECT doc_id, word, count(*) AS n FROM v GROUP BY 1, 2),
+s AS (SELECT doc_id, word, n AS frequency, CASE WHEN upper(word) IN ('THE', 'LES', 'DIE') THEN 40 ELSE 0 END + CASE WHEN n > 5 THEN least(n * 2, 30) ELSE 0 END AS suspicion FROM c)
+SELECT doc_id, word, frequency, suspicion FROM s WHERE suspicion > 30""")
 def _(t):
     return D.code_words(t.text("documents", "doc_id"), ["the", "les", "die"], with_position=False)
 

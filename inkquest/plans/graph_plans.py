@@ -120,7 +120,7 @@ def _(t):
     return G.missing_endpoints(R.response_part(parsed, "edges"), have)
 
 
-@query("upsert_edges_H2", "SELECT o_custkey AS src, l_suppkey AS dst, l_returnflag AS type, left(CAST(arg_min(l_orderkey, l_orderkey) AS VARCHAR), 500) AS excerpt, count(*) AS seen FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey GROUP BY 1, 2, 3")
+@query("upsert_edges_H2", "SELECT o_custkey AS src, l_suppkey AS dst, l_returnflag AS type, CAST(arg_min(l_orderkey, l_orderkey) AS VARCHAR) AS excerpt, count(*) AS seen FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey GROUP BY 1, 2, 3")
 def _(t):
     e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_orderkey").cast("string").alias("excerpt"), F.col("l_orderkey").alias("seq"))
@@ -157,7 +157,7 @@ def _(t):
 
 
 @query("neighbours_H6", f"""WITH {GRAPH} SELECT id, other, name, rank FROM (SELECT un.id, other, name, CAST(row_number() OVER (PARTITION BY un.id ORDER BY other) AS INTEGER) AS rank FROM un JOIN nd ON nd.id = other
- WHERE un.id IN (SELECT id FROM nd WHERE type = 'company')) WHERE rank <= 50""")
+ WHERE un.id IN (SELECT id FROM nd WHERE type = 'company'))""")
 def _(t):
     return G.neighbours(nodes(t).where("type = 'company'"), edges(t), nodes(t)).select("id", "other", "name", "rank")
 

@@ -202,7 +202,7 @@ def _(t):
 
 
 @query("case_dossier_G15", f"""WITH {_RUBRIC}, ch AS (SELECT subject_id, position, '{{"position":' || position || ',"confidence":' || confidence || ',"strength":"' || CASE WHEN confidence >= 80 THEN 'Strong' WHEN confidence >= 50 THEN 'Moderate' ELSE 'Weak' END || '"}}' AS j
-  FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ord) AS position FROM ev)), l AS (SELECT subject_id, '"chain":[' || string_agg(j, ',' ORDER BY position) || '],' AS c FROM ch WHERE position <= 50 GROUP BY 1)
+  FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ord) AS position FROM ev)), l AS (SELECT subject_id, '"chain":[' || string_agg(j, ',' ORDER BY position) || '],' AS c FROM ch GROUP BY 1)
 SELECT rub.subject_id, '{{"score":' || score || ',"tier":"' || tier || '",' || coalesce(c, '') || '"disclaimer":"{R.DISCLAIMER}"}}' AS dossier FROM rub LEFT JOIN l ON l.subject_id = rub.subject_id""")
 def _(t):
     return R.case_dossier(_rubric(t), R.evidence_chain(_evidence(t)))

@@ -64,16 +64,16 @@ def _(t):
 @query("page_sections_A7", r"""
 WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 g AS (SELECT doc_id, CAST(ceil(len(l) / 100.0) AS INTEGER) AS total, l, unnest(range(0, CAST(ceil(len(l) / 100.0) AS BIGINT))) AS i FROM p)
-SELECT doc_id, total, CAST(i AS INTEGER) AS section, left(array_to_string(l[i * 100 + 1:i * 100 + 100], chr(10)), 10000) AS content FROM g
+SELECT doc_id, total, CAST(i AS INTEGER) AS section, array_to_string(l[i * 100 + 1:i * 100 + 100], chr(10)) AS content FROM g
 WHERE length(trim(array_to_string(l[i * 100 + 1:i * 100 + 100], chr(10)))) >= 100""")
 def _(t):
     return R.page_sections(t("documents"))
 
 
 @query("batch_rows_A8", """
-WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, '## ' || source || chr(10) || left(text, 2000) AS b FROM documents),
+WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, '## ' || source || chr(10) || text AS b FROM documents),
 g AS (SELECT (rn - 1) // 100 AS batch, count(*) AS n_rows, string_agg(b, chr(10) || chr(10) ORDER BY rn) AS content FROM n GROUP BY 1)
-SELECT batch, n_rows, sha256(left(content, 15000)) AS digest FROM g WHERE length(content) > 500""")
+SELECT batch, n_rows, sha256(content) AS digest FROM g WHERE length(content) > 500""")
 def _(t):
     b = R.batch_rows(t("documents"), "doc_id", "source", "text")
     return b.select(F.col("batch").cast("bigint").alias("batch"), "n_rows", F.sha2("content", 256).alias("digest"))

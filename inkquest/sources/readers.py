@@ -128,7 +128,7 @@ def parse_eml(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in content], columns=_MAIL_FIELDS, dtype=object)
 
 
-def page_sections(docs: DataFrame, group: int = 100, min_chars: int = 100, width: int | None = 10_000,
+def page_sections(docs: DataFrame, group: int = 100, min_chars: int = 100, width: int | None = None,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections at form feeds, or of ``group`` lines when there is no form feed; short ones dropped."""
     from ..functions.text import let
@@ -143,16 +143,16 @@ def page_sections(docs: DataFrame, group: int = 100, min_chars: int = 100, width
     return kept.withColumn("content", F.left("content", F.lit(width))) if width else kept
 
 
-def batch_rows(rows: DataFrame, key: str, title: str, text: str, size: int = 100, width: int = 2_000,
-               min_chars: int = 500, max_chars: int = 15_000) -> DataFrame:
+def batch_rows(rows: DataFrame, key: str, title: str, text: str, size: int = 100, width: int | None = None,
+               min_chars: int = 500, max_chars: int | None = None) -> DataFrame:
     """Every ``size`` rows in key order become one document of ``## title`` blocks."""
     from ..operators.ingest import numbered
 
     n = numbered(rows.select(key, title, text), key)
-    block = F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.left(F.col(text), F.lit(width)))
+    block = F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.left(F.col(text), F.lit(width)) if width else F.col(text))
     doc = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", block.alias("b")))), lambda s: s["b"]), "\n\n")
-    return (n.groupBy(F.floor((F.col("rn") - 1) / size).alias("batch")).agg(F.count("*").alias("n_rows"), doc.alias("content"))
-            .where(F.length("content") > min_chars).withColumn("content", F.left("content", F.lit(max_chars))))
+    out = n.groupBy(F.floor((F.col("rn") - 1) / size).alias("batch")).agg(F.count("*").alias("n_rows"), doc.alias("content")).where(F.length("content") > min_chars)
+    return out.withColumn("content", F.left("content", F.lit(max_chars))) if max_chars else out
 
 
 def dated_log(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
