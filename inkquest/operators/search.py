@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X, wordlists as W
 from ..functions.text import col
@@ -20,6 +22,8 @@ from ..session import BROADCAST_ROWS, broadcast_checked, reuse, row_bound
 
 # BM25 constants as published.
 K1, B = 1.2, 0.75
+# Terms of one lookup that are pushed to the scan of a stored index.
+LOOKUP_TERMS = 5_000
 
 
 @dataclass
@@ -37,9 +41,36 @@ class Index:
     def avg_len(self) -> float:
         return self.lengths.agg(F.avg(F.size("_w"))).first()[0] or 0.0
 
-    def save(self, path: str, buckets: int = 200) -> None:
-        """Write clustered by term so that a lookup reads few row groups."""
-        self.postings.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(path)
+    def save(self, path: str, part: str | None = None) -> None:
+        """Add the postings to a stored index as a part of its own, sorted by term.
+
+        A hot term is ranged over several files by its documents; a lookup reads the row
+        groups of its terms only.  Parts of later documents are saved beside earlier ones;
+        documents of different parts must differ.
+        """
+        folder = f"{path.rstrip('/')}/part={part or uuid.uuid4().hex}"
+        lengths = self.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("words"))
+        self.postings.select("term", "doc_id", "f", "doc_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+        lengths.write.parquet(f"{folder}/totals")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, terms: DataFrame | None = None) -> "Index":
+        """A stored index, all of it or the postings of ``terms``; no text is read.
+
+        Up to LOOKUP_TERMS terms are pushed to the scan, more are joined.
+        """
+        postings = spark.read.parquet(f"{path.rstrip('/')}/part=*/postings")
+        totals = spark.read.parquet(f"{path.rstrip('/')}/part=*/totals").agg(F.sum("n_docs").alias("n"), F.sum("words").alias("w")).first()
+        if terms is not None:
+            wanted = terms.select("term").distinct()
+            few = wanted.limit(LOOKUP_TERMS + 1).collect()
+            if len(few) <= LOOKUP_TERMS:
+                postings = postings.where(F.col("term").isin([r["term"] for r in few]))
+            else:
+                postings = postings.join(broadcast_checked(wanted), "term", "left_semi")
+        index = cls(postings, spark.createDataFrame([], "doc_id long, _w array<string>"))
+        index.__dict__.update(n_docs=totals["n"] or 0, avg_len=(totals["w"] / totals["n"]) if totals["n"] else 0.0)
+        return index
 
 
 def index_text(*columns) -> Column:
@@ -107,10 +138,14 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_per(scored, "query_id", k, F.desc("score"), "doc_id")
 
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 10, formula: str = "log", text="text") -> DataFrame:
-    """Top ``k`` documents of every query; a repeated query word counts each time."""
+def tfidf_search(docs: DataFrame | None, queries: DataFrame, k: int = 10, formula: str = "log", text="text",
+                 stored: str | None = None) -> DataFrame:
+    """Top ``k`` documents of every query; a repeated query word counts each time.
+
+    ``stored`` searches a saved index in place of ``docs``.
+    """
     terms = query_terms(queries)
-    index = build_index(docs, text, terms)
+    index = Index.load(queries.sparkSession, stored, terms) if stored else build_index(docs, text, terms)
     return ranked(score_terms(index, terms, formula), k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -151,9 +186,10 @@ def unit_rank(scored: DataFrame) -> DataFrame:
         "unit", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)).drop("best")
 
 
-def _blended(docs, queries, scores, text, require_all, formula) -> DataFrame:
+def _blended(docs, queries, scores, text, require_all, formula, stored=None) -> DataFrame:
     terms = query_terms(queries)
-    hits = score_terms(build_index(docs, text, terms), terms, formula)
+    index = Index.load(queries.sparkSession, stored, terms) if stored else build_index(docs, text, terms)
+    hits = score_terms(index, terms, formula)
     if require_all:
         hits = all_terms(hits, terms)
     return with_scores(unit_rank(hits), scores, "document", "doc_id", UNRATED_CONFIDENCE).withColumn(
@@ -161,19 +197,19 @@ def _blended(docs, queries, scores, text, require_all, formula) -> DataFrame:
 
 
 def fts_search(docs: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, text="text",
-               require_all: bool = True, formula: str = "bm25") -> DataFrame:
+               require_all: bool = True, formula: str = "bm25", stored: str | None = None) -> DataFrame:
     """Search blended half and half with the pertinence score; every match is blended before the top ``limit``."""
-    return top_per(_blended(docs, queries, scores, text, require_all, formula), "query_id", limit, F.desc("blend"), "doc_id")
+    return top_per(_blended(docs, queries, scores, text, require_all, formula, stored), "query_id", limit, F.desc("blend"), "doc_id")
 
 
 def scored_corpus_search(docs: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, text="text",
-                         blended_rank: bool = True, fetch: int | None = None) -> DataFrame:
+                         blended_rank: bool = True, fetch: int | None = None, stored: str | None = None) -> DataFrame:
     """Any-term search ranked by the composite score over every match.
 
     The blended value is the rank that enters the composite; ``blended_rank`` off takes the
     text rank.  ``fetch`` composes only the best blended matches of a query.
     """
-    hits = _blended(docs, queries, scores, text, False, "bm25")
+    hits = _blended(docs, queries, scores, text, False, "bm25", stored)
     if fetch:
         hits = top_per(hits, "query_id", fetch, F.desc("blend"), "doc_id").drop("rank")
     base = F.col("blend") if blended_rank else F.col("unit")

@@ -8,7 +8,7 @@ from . import sqltext as S
 from .extract_plans import _COMPACT_SQL
 from .inputs import messages, passages, scores
 from .registry import query
-from ..session import reuse
+from ..session import reuse, shared_dir
 
 _TEXT = "subject || ' ' || body || ' ' || sender"
 QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
@@ -57,18 +57,40 @@ def _(t):
     return E.tfidf_search(d, passages(t), 10, "log", text)
 
 
-@query("tfidf_search_norm_E3", f"WITH {base('norm')} {topk('sc', 10)}")
-def _(t):
-    d, text = corpus(t)
-    return E.tfidf_search(d, passages(t), 10, "norm", text)
-
-
 def _fts_sql(src):
     return f"""un AS (SELECT s.query_id, s.doc_id, s.score, CASE WHEN best > 0 THEN score / best ELSE 0 END AS unit FROM {src} s JOIN (SELECT query_id, max(score) AS best FROM {src} GROUP BY 1) USING (query_id)),
 bl AS (SELECT un.*, coalesce(pertinence, 50) AS pertinence, coalesce(suspicion, 0) AS suspicion, CASE WHEN target_id IS NULL THEN 70 ELSE coalesce(confidence, 50) END AS confidence,
   round(0.5 * unit + 0.5 * coalesce(pertinence, 50) / 100, 6) AS blend FROM un LEFT JOIN scores ON target_id = doc_id)"""
 
 
+def stored_index(t) -> str:
+    """The corpus indexed once into a new folder, in two parts as if the second half came later."""
+    d, text = corpus(t)
+    path = shared_dir(t.spark, "index")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for k in (0, 1):
+        E.build_index(d.where(half == k), text).save(path, f"{k:06d}")
+    return path
+
+
+@query("stored_index_search_E2", f"WITH {base('log')} {topk('sc', 10)}")
+def _(t):
+    return E.tfidf_search(None, passages(t), 10, "log", stored=stored_index(t))
+
+
+@query("stored_index_scored_E11", f"""WITH {base('bm25')}, {{fts}},
+c AS (SELECT *, round(0.4 * blend + 0.3 * pertinence / 100 + 0.2 * suspicion / 100 + 0.1 * confidence / 100, 6) AS composite FROM bl)
+{topk('c', 20, 'composite DESC, doc_id', cols='query_id, doc_id, score, composite')}""".replace("{fts}", _fts_sql("sc")))
+def _(t):
+    return E.scored_corpus_search(None, passages(t), scores(t), 20, stored=stored_index(t)).select("query_id", "doc_id", "score", "composite", "rank")
+
+
+@query("tfidf_search_norm_E3", f"WITH {base('norm')} {topk('sc', 10)}")
+def _(t):
+    d, text = corpus(t)
+    return E.tfidf_search(d, passages(t), 10, "norm", text)
+
+
 @query("fts_search_E4", f"WITH {base('bm25')}, {_fts_sql('hit_all')} {topk('bl', 20, 'blend DESC, doc_id', cols='query_id, doc_id, score, blend')}")
 def _(t):
     d, text = corpus(t)

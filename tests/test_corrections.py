@@ -89,3 +89,17 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     with pytest.raises(ValueError):
         shared_dir(Session(), "x")
     assert F and shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_a_stored_index_answers_like_the_texts_and_prunes_by_term(ten, spark, tmp_path):
+    docs, queries, scores = ten
+    path = str(tmp_path / "index")
+    E.build_index(docs.where("doc_id <= 4")).save(path, "1")
+    E.build_index(docs.where("doc_id > 4")).save(path)
+    for formula in ("log", "norm", "bm25"):
+        want = E.tfidf_search(docs, queries, 20, formula).collect()
+        assert sorted(E.tfidf_search(None, queries, 20, formula, stored=path).collect()) == sorted(want) and len(want) == 10
+    assert [r["doc_id"] for r in E.fts_search(None, queries, scores, 1, stored=path).collect()] == [10]
+    index = E.Index.load(spark, path, E.query_terms(queries))
+    assert "In(term" in index.postings._jdf.queryExecution().toString() or "EqualTo(term" in index.postings._jdf.queryExecution().toString()
+    assert E.Index.load(spark, path).n_docs == 10
