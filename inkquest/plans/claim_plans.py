@@ -74,11 +74,11 @@ def _(t):
     return C.cross_field_patterns(claim_table(t))
 
 
-@query("knowledge_gaps_D22", f"""WITH g AS (SELECT conv_id * 1000 + turn AS claim_id, CASE WHEN length(text) % 7 = 0 THEN 'how ' || left(text, 40) || ' is unclear' ELSE text END AS claim FROM conversations)
+@query("knowledge_gaps_D22", f"""WITH g AS (SELECT conv_id * 1000 + turn AS claim_id, 'how ' || text || ' is unclear' AS claim FROM conversations)
 SELECT claim_id, '[' || 'all' || '] ' || claim AS gap FROM g WHERE {' OR '.join(f"regexp_matches(claim, '{r}')" for r in C.GAP_PATTERNS)}""")
 def _(t):
     c = t("conversations")
-    text = F.when(F.pmod(F.length("text"), F.lit(7)) == 0, F.concat(F.lit("how "), F.left("text", F.lit(40)), F.lit(" is unclear"))).otherwise(F.col("text"))
+    text = F.concat(F.lit("how "), "text", F.lit(" is unclear"))
     return C.knowledge_gaps(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.lit("all").alias("field"), text.alias("claim")), None)
 
 

@@ -47,7 +47,7 @@ def _(t):
     return D.extract_values(t.text("documents", "doc_id"))
 
 
-_SPAN_PATS = P.select_patterns(["email", "ip_address", "sha1_hash", "password_leak", "phone", "credit_card"])
+_SPAN_PATS = P.REGISTRY
 @query("extract_spans_D2", f"""WITH {_spans(_SPAN_PATS)} SELECT doc_id, pattern, value, start, "end",
   substring(f, greatest(start - 50, 0) + 1, "end" - greatest(start - 50, 0) + 50) AS context FROM sp""")
 def _(t):
@@ -96,9 +96,9 @@ def _(t):
     return D.typed_entities(folded).select("doc_id", "kind", "value")
 
 
-@query("typed_entities_orders_D5", _typed_sql(_ORDER_TEXT, "o_orderkey", ["date", "amount", "organization", "email"]))
+@query("typed_entities_orders_D5", _typed_sql(_ORDER_TEXT, "o_orderkey"))
 def _(t):
-    return D.typed_entities(order_text(t), ["date", "amount", "organization", "email"], id_col="o_orderkey").select("o_orderkey", "kind", "value")
+    return D.typed_entities(order_text(t), id_col="o_orderkey").select("o_orderkey", "kind", "value")
 
 
 @query("amount_values_D6", r"""

@@ -63,7 +63,7 @@ def _(t):
 
 @query("similar_names_ratio_F7")
 def _(t):
-    return G.similar_names(names(t).where("type <> 'supplier'"), method="ratio")
+    return G.similar_names(names(t), method="ratio")
 
 
 @query("edge_histogram_G2", f"WITH {GRAPH} SELECT type, count(*) AS n FROM ed WHERE type <> '' GROUP BY 1")
@@ -133,12 +133,12 @@ def _(t):
     return G.pivot_properties(p).select("node_id", F.col("properties")["O"].alias("o"), F.col("properties")["F"].alias("f"))
 
 
-@query("merge_nodes_H4", f"""WITH RECURSIVE {_NM}, pr AS (SELECT a.id AS x, b.id AS y FROM nm a JOIN nm b ON a.type = b.type AND a.id <> b.id AND a.type <> 'supplier' WHERE 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85),
+@query("merge_nodes_H4", f"""WITH RECURSIVE {_NM}, pr AS (SELECT a.id AS x, b.id AS y FROM nm a JOIN nm b ON a.type = b.type AND a.id <> b.id WHERE 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85),
 reach AS (SELECT x, y FROM pr UNION SELECT r.x, p.y FROM reach r JOIN pr p ON p.x = r.y), comp AS (SELECT x AS id, least(min(y), x) AS c FROM reach GROUP BY x),
 k AS (SELECT c, arg_min(comp.id, (length(name), comp.id)) AS canonical_id FROM comp JOIN nm ON nm.id = comp.id GROUP BY 1)
 SELECT comp.id, canonical_id, name AS alias FROM comp JOIN k USING (c) JOIN nm ON nm.id = comp.id WHERE comp.id <> canonical_id""")
 def _(t):
-    n = names(t).where("type <> 'supplier'")
+    n = names(t)
     return G.merge_nodes(n, G.similar_names(n))
 
 

@@ -104,13 +104,13 @@ def _(t):
 
 
 @query("sync_diff_I11", """
-WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
-b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)
-SELECT l_partkey, 'only_a' AS side FROM a WHERE l_partkey NOT IN (SELECT l_partkey FROM b)
-UNION ALL SELECT l_partkey, 'only_b' FROM b WHERE l_partkey NOT IN (SELECT l_partkey FROM a)""")
+WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'),
+b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A')
+SELECT l_orderkey, 'only_a' AS side FROM a WHERE l_orderkey NOT IN (SELECT l_orderkey FROM b)
+UNION ALL SELECT l_orderkey, 'only_b' FROM b WHERE l_orderkey NOT IN (SELECT l_orderkey FROM a)""")
 def _(t):
-    li = t("lineitem").where("l_quantity > 40")
-    return I.sync_diff(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), "l_partkey")
+    li = t("lineitem")
+    return I.sync_diff(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), "l_orderkey")
 
 
 @query("set_fingerprint_I11", """

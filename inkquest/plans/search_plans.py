@@ -354,14 +354,14 @@ def _(t):
     return E.peak_month(E.tfidf_search(d, passages(t), 50, "log", text), messages(t))
 
 
-# every conversation's opening turn searched in the corpus by its first five terms, five hits each
-@query("cross_reference_E24", f"""WITH {S.MESSAGES}, queries AS (SELECT conv_id AS query_id, text AS query FROM conversations WHERE turn = 0), {posting_ctes()}, {_terms_cte(5)}, {score_ctes('log', 'subq')},
+# every turn searched in the corpus by its first five terms, five hits each
+@query("cross_reference_E24", f"""WITH {S.MESSAGES}, queries AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations), {posting_ctes()}, {_terms_cte(5)}, {score_ctes('log', 'subq')},
 b AS ({topk('hit_all', 5)})
 SELECT query_id // 100 AS query_id, doc_id, min(rank) AS best_rank, CAST(arg_min(query_id % 100, rank * 100 + query_id % 100) AS INTEGER) AS term_ord, count(*) AS terms_hit FROM b GROUP BY 1, 2""")
 def _(t):
     d, text = corpus(t)
-    opening = t("conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    return E.fan_out(d, opening, 5, 5, text)
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return E.fan_out(d, turns, 5, 5, text)
 
 
 @query("frontier_E25", rf"""WITH {S.MESSAGES}, {S.SCORES} SELECT doc_id, array_to_string(list_filter(string_split_regex(subject, '\s+'), lambda w: w <> '')[:4], ' ') AS next_query

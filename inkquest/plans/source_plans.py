@@ -101,11 +101,11 @@ def _(t):
 
 
 @query("manifest_years_A10", """
-WITH x AS (SELECT doc_id AS line_no, source AS file, CASE WHEN n_chars < 200 THEN CAST(1900 + n_chars // 2 AS VARCHAR) ELSE left(text, 40) END AS raw, n_chars < 200 AS head, 1900 + n_chars // 2 AS y FROM documents)
+WITH x AS (SELECT doc_id AS line_no, source AS file, CASE WHEN n_chars < 200 THEN CAST(1900 + n_chars // 2 AS VARCHAR) ELSE text END AS raw, n_chars < 200 AS head, 1900 + n_chars // 2 AS y FROM documents)
 SELECT file, line_no, CAST(year AS INTEGER) AS year FROM (SELECT file, line_no, head, last_value(CASE WHEN head THEN y END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS year FROM x) WHERE NOT head""")
 def _(t):
     head = F.col("n_chars") < 200
-    raw = F.when(head, (F.lit(1900) + F.floor(F.col("n_chars") / 2)).cast("string")).otherwise(F.concat(F.lit("x"), F.left("text", F.lit(40))))
+    raw = F.when(head, (F.lit(1900) + F.floor(F.col("n_chars") / 2)).cast("string")).otherwise(F.concat(F.lit("x"), "text"))
     lines = t("documents").select(F.col("source").alias("file"), F.col("doc_id").alias("line_no"), raw.alias("raw"))
     return R.manifest_years(lines).select("file", "line_no", "year")
 
