@@ -469,41 +469,35 @@ def explore(docs: DataFrame, queries: DataFrame, messages: DataFrame, entities:
 
 # ---------------------------------------------------------------- vectors and names
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, per_pass: int = 2_000) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000, query_block: int = 2_000) -> DataFrame:
     """Exact cosine top ``k`` of every query vector over the whole table.
 
-    ``vectors`` is (vec_id, embedding), ``queries`` (query_id, embedding).  Each Arrow
-    batch is one matrix product and hands on its own top ``k`` per query, never all
-    pairs.  At most ``per_pass`` query vectors are held in a task; a larger set is
-    worked off in slices of that size, each one scan of the vectors.
+    ``vectors`` is (vec_id, embedding), ``queries`` (query_id, embedding).  Both sides are cut
+    into blocks by a hash of the id and every two blocks meet in one task as one matrix
+    product, which hands on its own top ``k`` per query; nothing passes through the driver.
     """
-    n = queries.count()
-    slices = max(-(-n // per_pass), 1)
-    tagged = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("_s"))
-    out = None
-    for s in range(slices):
-        part = tagged.where(F.col("_s") == s).select("query_id", "embedding").toPandas()
-        top = top_per(vectors.select("vec_id", "embedding").mapInPandas(_batch_top(part, k), "query_id long, vec_id long, cosine double")
-                      .withColumn("cosine", F.round("cosine", 6)), "query_id", k, F.desc("cosine"), "vec_id")
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-def _batch_top(queries: pd.DataFrame, k: int):
-    ids = queries["query_id"].to_numpy()
-    q = _unit(queries["embedding"])
-
-    def run(batches):
-        for b in batches:
-            if len(b) == 0 or len(ids) == 0:
-                continue
-            vec = b["vec_id"].to_numpy()
-            sim = q @ _unit(b["embedding"]).T
-            for i, row in enumerate(np.round(sim, 6)):
-                best = np.lexsort((vec, -row))[:k]
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": vec[best], "cosine": sim[i][best]})
-
-    return run
+    nv, nq = (max(-(-df.count() // size), 1) for df, size in ((vectors, block), (queries, query_block)))
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select("vec_id", "embedding", spot("vec_id", nv).alias("vb"), every(nq).alias("qb"))
+    q = queries.select("query_id", "embedding", spot("query_id", nq).alias("qb"), every(nv).alias("vb"))
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        if not len(qs) or not len(vs):
+            return none
+        ids, out, rows = vs["vec_id"].to_numpy(), [], []
+        sim = np.round(_unit(qs["embedding"]) @ _unit(vs["embedding"]).T, 6)
+        for i, row in enumerate(sim):
+            near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
+            near = near[np.lexsort((ids[near], -row[near]))[:k]]
+            rows.append(near)
+            out.append(np.full(len(near), i))
+        at, near = np.concatenate(out), np.concatenate(rows)
+        return pd.DataFrame({"query_id": qs["query_id"].to_numpy()[at], "vec_id": ids[near], "cosine": sim[at, near]})
+
+    found = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(best, "query_id long, vec_id long, cosine double")
+    return top_per(found, "query_id", k, F.desc("cosine"), "vec_id")
 
 
 def _unit(column) -> np.ndarray:
