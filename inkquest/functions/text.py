@@ -361,16 +361,22 @@ def fuzzy_date(x) -> Column:
     The month defaults to June and the day to the 15th; the day is the first whole
     one- or two-digit number, whatever it counts.
     """
-    c = ascii_fold(x)
-    low = F.lower(c)
-    year = F.regexp_extract(c, "(20[0-2][0-9]|19[0-9][0-9])", 1)
-    month = None
-    for name, num in W.MONTHS:
-        hit = F.contains(low, F.lit(name))
-        month = F.when(hit, num) if month is None else month.when(hit, num)
-    day = F.regexp_extract(c, r"\b([0-3]?[0-9])\b", 1).try_cast("int")
-    day = F.when(day.between(1, 31), F.lpad(day.cast("string"), 2, "0")).otherwise("15")
-    return F.when(year != "", F.concat_ws("-", year, month.otherwise("06"), day))
+    def month(low):
+        out = None
+        for name, num in W.MONTHS:
+            hit = F.contains(low, F.lit(name))
+            out = F.when(hit, num) if out is None else out.when(hit, num)
+        return out.otherwise("06")
+
+    def day(n):
+        return F.when(n.between(1, 31), F.lpad(n.cast("string"), 2, "0")).otherwise("15")
+
+    def date(c):
+        number = F.regexp_extract(c, r"\b([0-3]?[0-9])\b", 1).try_cast("int")
+        return let(F.regexp_extract(c, "(20[0-2][0-9]|19[0-9][0-9])", 1), lambda year: F.when(
+            year != "", F.concat_ws("-", year, let(F.lower(c), month), let(number, day))))
+
+    return let(ascii_fold(x), date)
 
 
 def mixed_date(x) -> Column:

@@ -260,9 +260,10 @@ def proximity_relations(docs: DataFrame, patterns, reach: int = 200,
     long the document is.  The gap text travels with the left span.
     """
     folded = docs.select(id_col, ascii_fold(text_col).alias("_t"))
-    spans = folded.select(id_col, "_t", F.inline(P.all_spans("_t", patterns, 0))).select(
-        id_col, F.col("pattern").alias("type"), "value", "start", "end",
-        F.substring("_t", F.col("end") + 1, F.lit(reach)).alias("tail")).distinct()
+    found = F.transform(P.all_spans("_t", patterns, 0), lambda s: F.struct(
+        s["pattern"].alias("type"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"),
+        F.substring("_t", s["end"] + 1, F.lit(reach)).alias("tail")))
+    spans = folded.select(id_col, F.inline(found)).distinct()
     left = spans.select(id_col, F.col("type").alias("from_type"), F.col("value").alias("from_value"),
                         F.col("start").alias("from_start"), F.col("end").alias("_e"), "tail",
                         F.explode(F.array(F.floor(F.col("end") / reach), F.floor(F.col("end") / reach) + 1)).alias("_b"))

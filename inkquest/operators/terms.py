@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X, wordlists as W
 from ..session import broadcast_checked
@@ -12,17 +12,21 @@ def top_keywords(docs: DataFrame, k: int = 20, stop=W.KEYWORD_STOP, min_len: int
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ``k`` most frequent words of each document, ties by word.
 
-    All words of a document sit in one row, so the partial aggregate already
-    collapses them in the scan stage and only distinct (document, word) pairs move.
+    All words of a document sit in one row: they are sorted there and counted as runs, so
+    nothing moves.
     """
     toks = docs.select(id_col, X.tokenize(text_col, "words").alias("w"))
     stops = X.str_array(stop)
-    kept = toks.select(id_col, F.size("w").alias("n"), F.explode(F.filter(
-        "w", lambda t: (F.length(t) >= min_len) & ~F.array_contains(stops, t))).alias("term"))
-    counts = kept.groupBy(id_col, "n", "term").agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("cnt"), "term")
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(id_col, "term", "cnt", (F.col("cnt") / F.col("n")).alias("tf"), "rank"))
+
+    def runs(s):
+        first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return X.let(first, lambda f: F.transform(f, lambda i, at: F.struct(
+            (i - F.coalesce(F.get(f, at + 1), F.size(s) + 1)).alias("minus"), F.element_at(s, i).alias("term"))))
+
+    counts = X.let(F.array_sort(F.filter("w", lambda t: (F.length(t) >= min_len) & ~F.array_contains(stops, t))),
+                   lambda s: F.when(F.size(s) > 0, runs(s)))
+    top = toks.select(id_col, F.size("w").alias("n"), F.posexplode(F.slice(F.array_sort(counts), 1, k)).alias("at", "c"))
+    return top.select(id_col, "c.term", (-F.col("c.minus")).cast("bigint").alias("cnt"), (-F.col("c.minus") / F.col("n")).alias("tf"), (F.col("at") + 1).alias("rank"))
 
 
 def ngram_counts(docs: DataFrame, n: int = 2, text_col: str = "text") -> DataFrame:
