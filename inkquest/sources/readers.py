@@ -236,14 +236,22 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
     Extractions about documents outside the request batch are dropped.
     """
-    js = clean_response("response_text")
-    body = F.when(F.startswith(js, F.lit("[")), F.concat(F.lit('{"extractions":'), js, F.lit("}"))).otherwise(js)
-    ok = F.try_parse_json(body).isNotNull() & (body != "")
-    parsed = responses.select("batch_id", "doc_ids", F.when(ok, F.from_json(body, f"struct<extractions: {EXTRACTION}>")).alias("p"), (~ok).alias("broken"))
-    good = parsed.where("not broken").select("batch_id", "doc_ids", F.explode("p.extractions").alias("e")).where(
-        F.array_contains("doc_ids", F.col("e.doc_id"))).select("batch_id", F.lit(None).cast("string").alias("error"), "e.*")
-    bad = parsed.where("broken").select("batch_id", F.lit("unparsable response").alias("error"))
-    return good.unionByName(bad, allowMissingColumns=True)
+    from ..functions.text import let
+
+    none, entry = F.lit(None).cast("string"), EXTRACTION[len("array<"):-1]
+
+    def rows(parsed):
+        asked = F.filter(parsed["extractions"], lambda e: F.array_contains("doc_ids", e["doc_id"]))
+        return F.transform(asked, lambda e: F.struct(none.alias("error"), e.alias("e")))
+
+    broken = F.array(F.struct(F.lit("unparsable response").alias("error"), F.lit(None).cast(entry).alias("e")))
+    def read(body):
+        parsed = F.from_json(body, f"struct<extractions: {EXTRACTION}>")
+        return F.when((body != "") & F.try_parse_json(body).isNotNull(), let(parsed, rows)).otherwise(broken)
+
+    found = let(clean_response("response_text"), lambda js: let(
+        F.when(F.startswith(js, F.lit("[")), F.concat(F.lit('{"extractions":'), js, F.lit("}"))).otherwise(js), read))
+    return responses.select("batch_id", F.inline(found)).select("batch_id", "error", "e.*")
 
 
 def response_part(parsed: DataFrame, part: str) -> DataFrame:
