@@ -43,6 +43,34 @@ def upsert_edges(edges: DataFrame, width: int | None = None) -> DataFrame:
             .agg((F.left(excerpt, F.lit(width)) if width else excerpt).alias("excerpt"), F.count("*").alias("seen")))
 
 
+def mention_edges(nodes: DataFrame, kind: str = "mentioned_in") -> DataFrame:
+    """One directed edge from every named node to each document that names it (type, name, source_id)."""
+    named = nodes.where("name IS NOT NULL AND trim(name) <> ''").select(
+        node_id("type", X.normalize_name("name")).alias("src"), "type", "name", F.col("source_id").alias("dst"))
+    return named.groupBy("src", "dst").agg(F.min("type").alias("node_type"), F.min("name").alias("name"), F.count("*").alias("seen")).select(
+        "src", "dst", F.lit(kind).alias("type"), F.lit(True).alias("directed"), "node_type", "name", "seen")
+
+
+def cross_reference_edges(refs: DataFrame, nodes: DataFrame, relationship: str = "mentioned_in") -> DataFrame:
+    """Edges from an entity of a response to the other documents that the response ties it to.
+
+    ``refs`` is (batch_id, source_id, entity, doc_id), ``nodes`` (batch_id, type, name); an
+    entity that its own response does not name as a node has no edge.
+    """
+    known = nodes.select("batch_id", F.col("name").alias("entity"), "type").groupBy("batch_id", "entity").agg(F.min("type").alias("node_type"))
+    text = F.concat(F.lit("#"), F.col("doc_id").cast("string"), F.lit(f": {relationship}"))
+    return refs.where("doc_id IS NOT NULL").join(known, ["batch_id", "entity"]).select(
+        node_id("node_type", X.normalize_name("entity")).alias("src"), F.col("doc_id").alias("dst"), F.lit("cross_reference").alias("type"),
+        F.lit(True).alias("directed"), "source_id", text.alias("excerpt"), F.col("entity").alias("name")).distinct()
+
+
+def signal_flags(signals: DataFrame, target_type: str = "document", severity: int = 0) -> DataFrame:
+    """Signals of a response (source_id, type, description) as flags on their document."""
+    return signals.select(
+        F.lit(target_type).alias("target_type"), F.col("source_id").alias("target_id"), F.coalesce("type", F.lit("unknown")).alias("flag_type"),
+        F.coalesce("description", F.lit("")).alias("description"), F.lit(severity).alias("severity"))
+
+
 def missing_endpoints(edges: DataFrame, nodes: DataFrame, kind: str = "unknown") -> DataFrame:
     """Names used by edges (from, to) that no node has, as new nodes."""
     names = edges.select(F.explode(F.array("from", "to")).alias("name")).distinct()

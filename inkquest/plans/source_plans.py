@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import ingest as I
+from ..operators import ingest as I, graph as G
 from ..session import broadcast_checked, shared_dir
 from ..sources import export as X, readers as R
 from . import sqltext as S
@@ -139,15 +139,20 @@ def _(t):
 def responses(t):
     """Each order as a fenced model response about its customer and suppliers; status P orders are cut short."""
     li = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "l_suppkey").distinct().groupBy("o_orderkey", "o_custkey", "o_orderstatus").agg(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "l_suppkey").distinct().groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").agg(
         F.array_sort(F.collect_set("l_suppkey")).alias("s"))
     cust = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
     def sup(x):
         return F.concat(F.lit("Supplier "), x.cast("string"))
     nodes = F.concat(F.array(F.struct(F.lit("person").alias("type"), cust.alias("name"))), F.transform("s", lambda x: F.struct(F.lit("company").alias("type"), sup(x).alias("name"))))
     edges = F.transform("s", lambda x: F.struct(cust.alias("from"), sup(x).alias("to"), F.lit("bought_from").alias("type"), F.lit("order").alias("excerpt")))
-    js = F.to_json(F.struct(F.array(F.struct(F.col("o_orderkey").alias("doc_id"), nodes.alias("nodes"), edges.alias("edges")),
-                                    F.struct((-F.col("o_orderkey") - 1).alias("doc_id"), F.slice(nodes, 1, 1).alias("nodes"), F.slice(edges, 1, 1).alias("edges"))).alias("extractions")))
+    js = F.to_json(F.struct(F.array(F.struct(F.col("o_orderkey").alias("doc_id"), nodes.alias("nodes"), edges.alias("edges"),
+                                             F.array(F.struct(F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("description"))).alias("signals"),
+                                             F.array(F.struct(cust.alias("entity"), F.element_at("s", 1).alias("doc_id")),
+                                                     F.struct(F.lit("Nobody").alias("entity"), F.lit(0).cast("bigint").alias("doc_id"))).alias("cross_references")),
+                                    F.struct((-F.col("o_orderkey") - 1).alias("doc_id"), F.slice(nodes, 1, 1).alias("nodes"), F.slice(edges, 1, 1).alias("edges"),
+                                             F.array().cast("array<struct<type:string,description:string>>").alias("signals"),
+                                             F.array().cast("array<struct<entity:string,doc_id:bigint>>").alias("cross_references"))).alias("extractions")))
     text = F.concat(F.lit("Here it is:\n```json\n"), F.when(F.col("o_orderstatus") == "P", F.left(js, F.length(js) - 20)).otherwise(js), F.lit("\n```\nDone."))
     return li.select(F.col("o_orderkey").alias("batch_id"), F.array("o_orderkey").alias("doc_ids"), text.alias("response_text"))
 
@@ -161,6 +166,28 @@ def _(t):
     return edges.unionByName(p.where("error is not null").select("batch_id", "error"), allowMissingColumns=True)
 
 
+_READ = "x AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P')"
+
+
+@query("mention_edges_H2", f"""WITH {_READ}, n AS (SELECT DISTINCT 'Customer ' || o_custkey AS name, 'person' AS node_type, o_orderkey AS dst FROM x
+UNION ALL SELECT 'Supplier ' || l_suppkey, 'company', o_orderkey FROM x) SELECT name, node_type, dst, 'mentioned_in' AS type, count(*) AS seen FROM n GROUP BY ALL""")
+def _(t):
+    p = R.parse_responses(responses(t))
+    return G.mention_edges(R.response_part(p, "nodes")).select("name", "node_type", "dst", "type", "seen")
+
+
+@query("cross_reference_edges_H2", f"""WITH {_READ} SELECT 'Customer ' || o_custkey AS name, min(l_suppkey) AS dst, 'cross_reference' AS type, o_orderkey AS source_id,
+ '#' || min(l_suppkey) || ': mentioned_in' AS excerpt FROM x GROUP BY o_orderkey, o_custkey""")
+def _(t):
+    p = R.parse_responses(responses(t))
+    return G.cross_reference_edges(R.response_part(p, "cross_references"), R.response_part(p, "nodes")).select("name", "dst", "type", "source_id", "excerpt")
+
+
+@query("signal_flags_H3", f"""WITH {_READ} SELECT DISTINCT 'document' AS target_type, o_orderkey AS target_id, o_orderpriority AS flag_type, o_orderstatus AS description, 0 AS severity FROM x""")
+def _(t):
+    return G.signal_flags(R.response_part(R.parse_responses(responses(t)), "signals"))
+
+
 @query("dated_log_A15", "SELECT conv_id, TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE AS at, role AS title, count(*) OVER (PARTITION BY conv_id) AS entries FROM conversations")
 def _(t):
     c = t("conversations")
