@@ -34,7 +34,7 @@ from .induced import common_prefix, suffix_array, words_at
 #: Bytes of a repeated string, of the Q-grams that own its starts, of a pack, of a slice of hashing.
 LEAST, Q, PACK_BYTES, SLICE = 50, 24, 4_000_000, 500_000
 #: Bytes of all texts per shard.  About one in fourteen starts begins a run, and one run in seven repeats.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -149,7 +149,12 @@ def _runs(raw: np.ndarray, size: np.ndarray, least: int, q: int):
     if not at:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, U)
-    return np.concatenate(at), np.concatenate(length), np.concatenate(docs), np.concatenate(owners)
+    owner = np.concatenate(owners)
+    with np.errstate(over="ignore"):  # minima crowd at the low end; spread them, so that shards are even
+        owner *= U(0x9E3779B97F4A7C15)
+        owner ^= owner >> U(29)
+        owner *= U(0xBF58476D1CE4E5B9)
+    return np.concatenate(at), np.concatenate(length), np.concatenate(docs), owner
 
 
 def _shard_slices(owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
