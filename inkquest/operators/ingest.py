@@ -191,13 +191,36 @@ def substantial(messages: DataFrame, min_chars: int, subject_patterns: list[str]
 
 # ---------------------------------------------------------------- numbering at scale
 
-def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 256) -> DataFrame:
+# Rows of a slice that one task puts in order, and slices of a group at most.
+SLICE_ROWS, GROUP_SLICES = 1_000_000, 256
+
+
+def slices_for(df: DataFrame, least: int = 256) -> int:
+    """How many slices keep each within SLICE_ROWS."""
+    return max(least, -(-df.count() // SLICE_ROWS))
+
+
+def group_slices(df: DataFrame, group: str, key: str, out: str = "_b") -> DataFrame:
+    """``df`` with a slice number that rises with ``key`` within its group.
+
+    Groups are cut at approximate quantiles of their own keys, so slices are about equal
+    however sparse or uneven the keys are; small groups have few distinct cuts.
+    """
+    probs = [i / GROUP_SLICES for i in range(1, GROUP_SLICES)]
+    cuts = df.groupBy(F.col(group).alias("_g")).agg(F.array_distinct(F.percentile_approx(F.col(key).cast("double"), probs, 10_000)).alias("_c"))
+    at = F.size(F.filter("_c", lambda q: q < F.col(key)))
+    return df.join(broadcast_checked(cuts), F.col(group) == F.col("_g"), "left").withColumn(
+        out, F.when(F.col("_c").isNull(), 0).otherwise(at)).drop("_g", "_c")
+
+
+def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in the order of a unique numeric ``key``.
 
     A window over the whole table would sort it in one task.  Instead the key range
     is cut at approximate quantiles; rows are numbered within each slice and shifted
-    by the count of the slices before it (at most ``buckets`` rows, broadcast).
+    by the count of the slices before it (at most ``buckets`` rows, as many as the rows ask for).
     """
+    buckets = buckets or slices_for(df)
     cuts = df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     tmp = df.withColumn("_k", F.col(key).cast("double"))
@@ -209,13 +232,13 @@ def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int = 256) -> Da
             .withColumn(out, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off"))
 
 
-def numbered_within(df: DataFrame, group: str, key: str, out: str = "rn", span: int = 10_000) -> DataFrame:
-    """Consecutive numbers from 1 within each group in the order of a unique integer ``key``.
+def numbered_within(df: DataFrame, group: str, key: str, out: str = "rn") -> DataFrame:
+    """Consecutive numbers from 1 within each group in the order of a unique numeric ``key``.
 
-    A group is cut at multiples of ``span``, numbered slice by slice and shifted by the
+    A group is cut at quantiles of its keys, numbered slice by slice and shifted by the
     rows before, so a group with most of the rows is still many tasks.
     """
-    s = df.withColumn("_b", F.floor(F.col(key) / span))
+    s = group_slices(df, group, key)
     sizes = s.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     off = F.sum("_n").over(Window.partitionBy(group).orderBy("_b")) - F.col("_n")
     local = F.row_number().over(Window.partitionBy(group, "_b").orderBy(key))

@@ -6,6 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import broadcast_checked
+from .ingest import slices_for
 from .search import top_per
 
 
@@ -273,7 +274,7 @@ def entity_hypotheses(entities: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- percentiles
 
-def latency_profile(df: DataFrame, group: str, value: str, slices: int = 64) -> DataFrame:
+def latency_profile(df: DataFrame, group: str, value: str, slices: int = 512) -> DataFrame:
     """Mean, min, max and the values at index int(n*0.5), int(n*0.95), int(n*0.99) of each group, exactly.
 
     Values are first reduced to counts.  Approximate quantiles only cut the value range
@@ -307,7 +308,7 @@ def mentions(docs: DataFrame, nodes: DataFrame, like: str) -> DataFrame:
     return docs.join(nodes.where(F.col("name").ilike(like)), F.col("doc_id") == F.col("source_id"))
 
 
-def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, slices: int = 256) -> DataFrame:
+def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, slices: int | None = None) -> DataFrame:
     """First ``k`` events between ``lo`` and ``hi`` of each query, or naming its subject.
 
     ``bounds`` is (query_id, lo, hi, subject), ``events`` (event_id, at, people).  All
@@ -316,6 +317,8 @@ def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, slices: i
     fetched by equality.  The work is linear in events plus ``k`` per query, however
     many events a range covers.
     """
+    slices = slices or slices_for(events)
+
     def micros(c):
         return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -335,7 +338,8 @@ def events_in_range(bounds: DataFrame, events: DataFrame, k: int = 10, slices: i
     wanted = (placed.where("is_event = 0").select(F.col("id").alias("query_id"), F.explode(F.transform(
         F.sequence(F.lit(1), F.lit(k)), lambda i: F.col("pos") + i)).alias("pos")))
     ranged = wanted.join(numbered, "pos").join(bounds.select("query_id", "hi"), "query_id").where("at <= hi").select("query_id", "event_id", "at")
-    named = events.select("event_id", "at", F.explode("people").alias("subject")).join(
+    # the first k events of a subject answer every query for it
+    named = top_per(events.select("event_id", "at", F.explode("people").alias("subject")), "subject", k, "at", "event_id").drop("rank").join(
         bounds.select("query_id", "subject").where("subject is not null"), "subject").select("query_id", "event_id", "at")
     cut = ranged.unionByName(top_per(named, "query_id", k, "at", "event_id").drop("rank")).distinct()
     return top_per(cut, "query_id", k, "at", "event_id")

@@ -181,7 +181,7 @@ UNION ALL SELECT grp, 'round', amount, CASE WHEN amount % 1000 = 0 THEN 1000 WHE
 UNION ALL SELECT grp, 'sequence', amount, round(d1, 6) FROM s WHERE abs(d1 - d2) < 0.01 AND d1 > 0""")
 def _(t):
     li = t("lineitem").select("l_suppkey", (F.col("l_quantity") * 20).alias("amount"))
-    return D.amount_anomalies(li, "l_suppkey", "amount", span=300)
+    return D.amount_anomalies(li, "l_suppkey", "amount")
 
 
 @query("code_words_C8", rf"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all({S.fold('text')}, '\b[A-Z][A-Za-z]+\b')) AS word FROM documents),
