@@ -304,13 +304,13 @@ def encoded_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return counts.withColumn("rn", F.row_number().over(w)).where(~counted | (F.col("rn") <= per_pattern)).drop("rn")
 
 
-def amount_anomalies(amounts: DataFrame, group: str, amount: str) -> DataFrame:
+def amount_anomalies(amounts: DataFrame, group: str, amount: str, span: int | None = None) -> DataFrame:
     """Recurring, round and evenly stepped amounts of each group.
 
     Amounts are first reduced to distinct (group, amount) counts.  Steps compare each
     distinct amount with the next two; the ordered scan of a group is cut at quantiles
     of its amounts into slices that also carry the two amounts following, so a large
-    group is many tasks.
+    group is many tasks.  ``span`` cuts at its multiples instead.
     """
     counts = amounts.groupBy(F.col(group).alias("grp"), F.col(amount).alias("amount")).agg(F.count("*").alias("n"))
     recurring = counts.where("n > 2").select("grp", F.lit("recurring").alias("kind"), "amount", F.col("n").cast("double").alias("detail"))
@@ -318,7 +318,8 @@ def amount_anomalies(amounts: DataFrame, group: str, amount: str) -> DataFrame:
     divisor = F.when(a % 1000 == 0, 1000.0).when(a % 500 == 0, 500.0).when(a % 100 == 0, 100.0)
     rounds = counts.where(a >= 100).select("grp", F.lit("round").alias("kind"), "amount", divisor.alias("detail")).where("detail is not null")
     # slices: each holds its own amounts and borrows the two smallest of the slices after it
-    sliced = group_slices(counts.select("grp", "amount"), "grp", "amount", "slice")
+    sliced = counts.select("grp", "amount")
+    sliced = group_slices(sliced, "grp", "amount", "slice") if span is None else sliced.withColumn("slice", F.floor(a / span))
     firsts = (sliced.withColumn("rn", F.row_number().over(Window.partitionBy("grp", "slice").orderBy("amount")))
               .where("rn <= 2").groupBy("grp", "slice").agg(F.array_sort(F.collect_list("amount")).alias("lead_in")))
     nxt = Window.partitionBy("grp").orderBy("slice")

@@ -232,13 +232,13 @@ def numbered(df: DataFrame, key: str, out: str = "rn", buckets: int | None = Non
             .withColumn(out, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off"))
 
 
-def numbered_within(df: DataFrame, group: str, key: str, out: str = "rn") -> DataFrame:
+def numbered_within(df: DataFrame, group: str, key: str, out: str = "rn", span: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 within each group in the order of a unique numeric ``key``.
 
-    A group is cut at quantiles of its keys, numbered slice by slice and shifted by the
+    A group is cut at quantiles of its keys (or at multiples of ``span``), numbered slice by slice and shifted by the
     rows before, so a group with most of the rows is still many tasks.
     """
-    s = group_slices(df, group, key)
+    s = group_slices(df, group, key) if span is None else df.withColumn("_b", F.floor(F.col(key) / span))
     sizes = s.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     off = F.sum("_n").over(Window.partitionBy(group).orderBy("_b")) - F.col("_n")
     local = F.row_number().over(Window.partitionBy(group, "_b").orderBy(key))
