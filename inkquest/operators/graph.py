@@ -276,16 +276,17 @@ def matched_ratio(a, b) -> Column:
     return run(a, b)
 
 
-def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components of (id_a, id_b): (id, component) with the smallest id as component.
 
     Each round every node takes the smallest label around it and then the label of
-    that label, so the rounds grow with the logarithm of the diameter.  Labels are
+    that label, so the rounds grow with the logarithm of the diameter; the loop ends at
+    the fixed point, which is always reached because labels only fall.  Labels are
     reduced by a map-side ``min``; a hub costs one row per task.
     """
     e = reuse(undirected(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))))
     lab = cut_lineage(e.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(lab.select(F.col("id").alias("other"), F.col("component").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
         step = lab.join(near, "id").select("id", F.least("component", "c").alias("component"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
@@ -294,7 +295,6 @@ def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         lab = new
         if moved:
             return lab
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def merge_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import broadcast_checked
-from .ingest import slices_for
+from .ingest import numbered, slices_for
 from .search import top_per
 
 
@@ -105,21 +105,19 @@ def loops(terms: DataFrame, initial: DataFrame, min_uses: int = 2) -> DataFrame:
     return j.groupBy("session_id").agg(F.bool_and(F.coalesce("uses", F.lit(0)) >= min_uses).alias("looping"), F.count("*").alias("initial_terms"))
 
 
-def unused_alternatives(sessions: DataFrame, alternatives: DataFrame, terms: DataFrame, k: int = 4, bound: int = 1_000) -> DataFrame:
+def unused_alternatives(sessions: DataFrame, alternatives: DataFrame, terms: DataFrame, k: int = 4) -> DataFrame:
     """First ``k`` alternatives (pos, term) that a session has not used.
 
-    The alternatives are a short list (at most ``bound``, checked): a session carries
-    only those it has used and the rest follows row by row.
+    A session that used u of them finds its first k among the first k + u, so it meets
+    that many alternatives and no more, however long the list is.
     """
-    rows = alternatives.orderBy("pos").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} alternatives")
-    offered = [r["term"] for r in rows]
-    choice = F.array(*[F.lit(o) for o in offered])
-    used = terms.where(F.col("term").isin(offered)).groupBy("session_id").agg(F.collect_set("term").alias("used"))
-    j = sessions.select("session_id").distinct().join(used, "session_id", "left")
-    left = F.slice(F.array_except(choice, F.coalesce("used", F.expr("cast(array() as array<string>)"))), 1, k)
-    return j.select("session_id", F.posexplode(left).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
+    offered = numbered(alternatives.groupBy("term").agg(F.min("pos").alias("pos")), "pos")
+    used = terms.select("session_id", "term").distinct().join(offered.select("term", "rn"), "term").select("session_id", "rn")
+    many = used.groupBy("session_id").agg(F.count("*").alias("u"))
+    s = sessions.select("session_id").distinct().join(many, "session_id", "left").select(
+        "session_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("u", F.lit(0)) + k)).alias("rn"))
+    free = s.join(used, ["session_id", "rn"], "left_anti").join(offered.select("rn", "term"), "rn")
+    return top_per(free, "session_id", k, "rn").select("session_id", "rank", "term")
 
 
 def daily_quota(calls: DataFrame, call_limit: int, cost_limit: float, rate_in: str = "0.25", rate_out: str = "1.25") -> DataFrame:

@@ -9,8 +9,6 @@ from ..functions.text import col
 from ..session import broadcast_checked
 from .search import substring_join, top_per
 
-MAX_TERMS = 200
-
 
 def any_of(c: Column, terms) -> Column:
     out = F.lit(False)
