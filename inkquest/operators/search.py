@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import text as X, wordlists as W
 from ..functions.text import col
@@ -506,23 +506,41 @@ def _unit(column) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def nearest_vectors_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: float = 1.5,
-                        bucket: float = 1.0, tables: int = 8, seed: int = 17) -> DataFrame:
-    """Approximate cosine top ``k`` by random-projection buckets on unit vectors (recall below one)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def plane_codes(df: DataFrame, key: str, bits: int, tables: int, seed: int) -> DataFrame:
+    """(key, table, code): on which side of ``bits`` random planes a vector lies, for every table."""
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            unit = _unit(b["embedding"])
+            planes = np.random.default_rng(seed).standard_normal((unit.shape[1], tables * bits))
+            side = (unit @ planes > 0).reshape(len(b), tables, bits)
+            yield pd.DataFrame({key: b[key], "codes": list((side * (1 << np.arange(bits))).sum(2))})
 
-    def prep(df, key):
-        raw = df.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(raw).select(key, "unit")
+    coded = df.select(key, "embedding").mapInPandas(run, f"{key} long, codes array<long>")
+    return coded.select(key, F.posexplode("codes").alias("table", "code"))
 
-    a, b = prep(vectors, "vec_id"), prep(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket,
-                                        numHashTables=tables, seed=seed).fit(a)
-    near = model.approxSimilarityJoin(a, b, distance, "dist")
-    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"),
-                         F.round(1 - F.col("dist") * F.col("dist") / 2, 6).alias("cosine"))
-    return top_per(scored, "query_id", k, F.desc("cosine"), "vec_id")
+
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int = 10, tables: int = 24, seed: int = 17) -> DataFrame:
+    """(query_id, vec_id) of pairs that agree on all ``bits`` planes of at least one table.
+
+    Unrelated vectors agree on one table with probability 2**-bits, so about
+    tables / 2**bits of all pairs are candidates; vectors at angle a with 1 - (1 - (1 - a / pi)**bits)**tables.
+    """
+    a, b = plane_codes(vectors, "vec_id", bits, tables, seed), plane_codes(queries, "query_id", bits, tables, seed)
+    return a.join(b, ["table", "code"]).select("query_id", "vec_id").distinct()
+
+
+def nearest_vectors_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 10, tables: int = 24, seed: int = 17) -> DataFrame:
+    """Approximate cosine top ``k``: exact cosines of the candidates of random-plane tables (recall below one)."""
+    near = lsh_candidates(vectors, queries, bits, tables, seed).join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(
+        queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+
+    @F.pandas_udf(T.DoubleType())
+    def cosine(v: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series((_unit(v) * _unit(q)).sum(1)) if len(v) else pd.Series(dtype=float)
+
+    return top_per(near.select("query_id", "vec_id", F.round(cosine("v", "q"), 6).alias("cosine")), "query_id", k, F.desc("cosine"), "vec_id")
 
 
 def trigrams(x) -> Column:

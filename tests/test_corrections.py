@@ -103,3 +103,18 @@ def test_a_stored_index_answers_like_the_texts_and_prunes_by_term(ten, spark, tm
     index = E.Index.load(spark, path, E.query_terms(queries))
     assert "In(term" in index.postings._jdf.queryExecution().toString() or "EqualTo(term" in index.postings._jdf.queryExecution().toString()
     assert E.Index.load(spark, path).n_docs == 10
+
+
+def test_plane_tables_find_near_vectors_among_few_candidates(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 32))
+    near = base[:20] + 0.15 * rng.normal(size=(20, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "query_id long, embedding array<double>")
+    pairs = E.lsh_candidates(vectors, queries)
+    assert pairs.count() < 0.05 * 400 * 20
+    got = {r["query_id"]: r["vec_id"] for r in E.nearest_vectors_lsh(vectors, queries, 1).collect()}
+    want = {r["query_id"]: r["vec_id"] for r in E.nearest_vectors(vectors, queries, 1, block=70, query_block=6).collect()}
+    assert want == {i: i for i in range(20)} and sum(got.get(i) == i for i in range(20)) >= 18
