@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..session import staged
+
 #: Split pattern of the rank files (fixed value of that public tokenizer family).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -28,7 +30,8 @@ def lengths_histogram(docs: DataFrame, path: str, text: str = "text") -> DataFra
     """(length, n_docs): how many rows encode to ``length`` tokens, over all rows and whole texts.
 
     Null and empty texts have length 0.  Every batch is counted before it is shuffled, so a
-    length that a third of the rows share is one row per task.
+    length that a third of the rows share is one row per task; the histogram is staged, so
+    that texts are encoded once however often it is read.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, found = encoding(path).encode_ordinary, Counter()
@@ -37,7 +40,8 @@ def lengths_histogram(docs: DataFrame, path: str, text: str = "text") -> DataFra
                 found[len(encode(x.as_py() or ""))] += 1
         yield pa.RecordBatch.from_pydict({"length": pa.array(found.keys(), pa.int64()), "n_docs": pa.array(found.values(), pa.int64())})
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(count, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    counted = docs.select(F.col(text).alias("t")).mapInArrow(count, "length long, n_docs long")
+    return staged(counted.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame, width: int = 1024) -> DataFrame:
