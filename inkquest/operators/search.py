@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions import text as X, wordlists as W
 from ..functions.text import col
-from ..session import BROADCAST_ROWS, broadcast_checked, reuse, row_bound
+from ..session import BROADCAST_ROWS, broadcast_checked, reuse, row_bound, staged
 
 # BM25 constants as published.
 K1, B = 1.2, 0.75
@@ -482,6 +482,12 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block:
     v = vectors.select("vec_id", "embedding", spot("vec_id", nv).alias("vb"), every(nq).alias("qb"))
     q = queries.select("query_id", "embedding", spot("query_id", nq).alias("qb"), every(nv).alias("vb"))
 
+    found = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(_best_of(k), "query_id long, vec_id long, cosine double")
+    return top_per(found, "query_id", k, F.desc("cosine"), "vec_id")
+
+
+def _best_of(k: int):
+    """Top ``k`` of each query of a block within a block of vectors, as one matrix product."""
     def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
         if not len(qs) or not len(vs):
@@ -496,8 +502,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block:
         at, near = np.concatenate(out), np.concatenate(rows)
         return pd.DataFrame({"query_id": qs["query_id"].to_numpy()[at], "vec_id": ids[near], "cosine": sim[at, near]})
 
-    found = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(best, "query_id long, vec_id long, cosine double")
-    return top_per(found, "query_id", k, F.desc("cosine"), "vec_id")
+    return best
 
 
 def _unit(column) -> np.ndarray:
@@ -531,16 +536,81 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int = 10, table
     return a.join(b, ["table", "code"]).select("query_id", "vec_id").distinct()
 
 
-def nearest_vectors_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 10, tables: int = 24, seed: int = 17) -> DataFrame:
-    """Approximate cosine top ``k``: exact cosines of the candidates of random-plane tables (recall below one)."""
-    near = lsh_candidates(vectors, queries, bits, tables, seed).join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(
-        queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+def nearest_vectors_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 64, first: int = 4, seed: int = 17) -> DataFrame:
+    """Cosine top ``k`` by k-means cells, with nothing lost.
 
-    @F.pandas_udf(T.DoubleType())
-    def cosine(v: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series((_unit(v) * _unit(q)).sum(1)) if len(v) else pd.Series(dtype=float)
+    A query looks into its ``first`` nearest cells; its k-th best cosine there and the angle that
+    a cell spans around its centre then tell which other cells can hold a better one, and it is
+    sent on to all of those.  Where vectors are spread evenly that is nearly every cell.
+    """
+    n = max(vectors.count(), 1)
+    centres = _centres(vectors, cells, seed)
+    if not len(centres):
+        return nearest_vectors(vectors, queries, k)
+    placed = staged(vectors.select("vec_id", "embedding").mapInPandas(_place(centres), "vec_id long, embedding array<double>, cell int, angle double"), "cells")
+    span = {r["cell"]: (r["angle"], r["n"]) for r in placed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count("*").alias("n")).collect()}  # one row per cell
+    width = np.array([span.get(c, (0.0, 0))[0] for c in range(len(centres))])
+    # large cells are cut into blocks, so that copies of one vector do not meet in one task
+    size = min(max(n // cells, 200), 20_000)
+    blocks = np.array([-(-span.get(c, (0.0, 0))[1] // size) for c in range(len(centres))])
+    n_of = F.element_at(F.array(*[F.lit(int(max(x, 1))) for x in blocks]), F.col("cell") + 1)
+    nq = max(-(-queries.count() // 20_000), 1)
+    spot = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    v = placed.select("vec_id", "embedding", "cell", spot("vec_id", n_of).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def ask(second: bool):
+        def run(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                angle = np.arccos(np.clip(_unit(b["embedding"]) @ centres.T, -1, 1))
+                near = np.zeros(angle.shape, bool)
+                near[np.arange(len(b))[:, None], np.argsort(angle, axis=1, kind="stable")[:, :first]] = True
+                if second:
+                    low = b["low"].fillna(-2.0).to_numpy()[:, None]
+                    near = ~near & (np.cos(np.maximum(angle - width, 0)) >= low - 2e-6)
+                row, cell = np.nonzero(near & (blocks > 0))
+                times = blocks[cell]
+                at = np.repeat(row, times)
+                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[at], "embedding": b["embedding"].take(at).array, "qb": b["qb"].to_numpy()[at],
+                                    "cell": np.repeat(cell, times), "block": np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)})
+
+        return run
+
+    asked = "query_id long, embedding array<double>, qb int, cell int, block int"
+    where = ["cell", "block", "qb"]
+    look = lambda q: q.groupBy(*where).cogroup(v.groupBy(*where)).applyInPandas(_best_of(k), "query_id long, vec_id long, cosine double")
+    q = queries.select("query_id", "embedding", spot("query_id", F.lit(nq)).alias("qb"))
+    found = staged(top_per(look(q.mapInPandas(ask(False), asked)), "query_id", k, F.desc("cosine"), "vec_id"), "near").drop("rank")
+    low = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("cosine")).alias("low"))
+    more = look(q.join(low, "query_id", "left").select("query_id", "embedding", "qb", "low").mapInPandas(ask(True), asked))
+    return top_per(found.unionByName(more), "query_id", k, F.desc("cosine"), "vec_id")
+
+
+def _centres(vectors: DataFrame, cells: int, seed: int, most: int = 5_000, rounds: int = 5) -> np.ndarray:
+    """Unit centres of at most ``cells`` cells, by spherical k-means over at most ``most`` distinct vectors."""
+    rows = vectors.select("embedding").distinct().orderBy(F.xxhash64("embedding", F.lit(seed))).limit(most).collect()
+    unit = _unit([r["embedding"] for r in rows]) if rows else np.empty((0, 0))
+    centres = unit[:cells]
+    for _ in range(rounds if len(unit) else 0):
+        own = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.divide(sums, size, out=centres.copy(), where=size > 0)
+    return centres
+
+
+def _place(centres: np.ndarray):
+    """Nearest centre of every vector and the angle to it."""
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            sim = _unit(b["embedding"]) @ centres.T
+            yield b.assign(cell=sim.argmax(1).astype("int32"), angle=np.arccos(np.clip(sim.max(1), -1, 1)))
 
-    return top_per(near.select("query_id", "vec_id", F.round(cosine("v", "q"), 6).alias("cosine")), "query_id", k, F.desc("cosine"), "vec_id")
+    return run
 
 
 def trigrams(x) -> Column:

@@ -118,3 +118,31 @@ def test_plane_tables_find_near_vectors_among_few_candidates(spark):
     got = {r["query_id"]: r["vec_id"] for r in E.nearest_vectors_lsh(vectors, queries, 1).collect()}
     want = {r["query_id"]: r["vec_id"] for r in E.nearest_vectors(vectors, queries, 1, block=70, query_block=6).collect()}
     assert want == {i: i for i in range(20)} and sum(got.get(i) == i for i in range(20)) >= 18
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_nearest_vectors_by_cells_are_those_of_brute_force(spark, size):
+    import numpy as np
+
+    from inkquest import plans
+    from inkquest.plans.registry import PLANS, Tables
+
+    plans.load_all()
+    t = Tables(spark, f"/root/testdata/{size}")
+    rows = t("embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 20 == 0) for j in np.lexsort((ids, -np.round(m @ m[i], 6)))[:10]}
+    got = {(r["query_id"], r["vec_id"]) for r in PLANS["nearest_vectors_lsh_E17"](t).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
+def test_vectors_without_direction_and_copies_are_found(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = np.vstack([np.zeros((3, 16)), np.tile(rng.normal(size=16), (300, 1)), rng.normal(size=(500, 16))])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 37 = 0").selectExpr("vec_id AS query_id", "embedding")
+    assert sorted(E.nearest_vectors_lsh(v, q, 12).collect()) == sorted(E.nearest_vectors(v, q, 12).collect())
+    assert E.nearest_vectors_lsh(v.limit(0), q, 3).count() == 0
