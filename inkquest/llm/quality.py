@@ -59,29 +59,40 @@ def difference(model: Model, text: str | None) -> float:
     return (sizes[1] - sizes[0]) / (sizes[1] + sizes[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None) -> DataFrame:
-    """At most SAMPLE_ROWS rows and SAMPLE_BYTES bytes of each label, in the order of a hash of the id."""
-    order = F.xxhash64("doc_id", F.lit(7))
+def labelled(labels: DataFrame, label: str = "quality", usable: Column | None = None) -> DataFrame:
+    """(doc_id, label) of usable rows, once each."""
     lab = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    if usable is not None:
-        lab = lab.where(usable)
-    parts = [lab.where(F.col("label") == k).distinct().orderBy(order, "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
+    return (lab if usable is None else lab.where(usable)).distinct()
+
+
+def sample(docs: DataFrame, lab: DataFrame) -> DataFrame:
+    """At most SAMPLE_ROWS rows and SAMPLE_BYTES bytes of each label, in the order of a hash of the id.
+
+    Texts of more than 1/64 of the bytes come after all others, and one that exceeds them alone is passed over.
+    """
+    order = F.xxhash64("doc_id", F.lit(7))
+    parts = [lab.where(F.col("label") == k).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    w = Window.partitionBy("label").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return picked.withColumn("held", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(w)).withColumn(
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    w = Window.partitionBy("label").orderBy(size > SAMPLE_BYTES // 64, order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(size <= SAMPLE_BYTES)
+    return picked.withColumn("held", F.sum(size).over(w)).withColumn(
         "n", F.row_number().over(w)).where((F.col("held") <= SAMPLE_BYTES) & (F.col("n") <= SAMPLE_ROWS)).select("label", "n", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None) -> Model:
     """Dictionaries from one half of the sample, the curve from the other.
 
+    The sample holds as many rows of either label where both are frequent, so the curve is
+    weighted by the labels of all usable rows and a score means the same for any size of input.
     Rows without a label, with a null id or a label other than 0 and 1 teach nothing.
     """
     import zstandard
 
-    rows = [(r["label"], r["n"], (r["text"] or "").encode("utf-8", "replace")) for r in sample(docs, labels, label, usable).collect()]
-    count = [sum(r[0] == k for r in rows) for k in (0, 1)]
+    lab = labelled(labels, label, usable)
+    rows = [(r["label"], r["n"], (r["text"] or "").encode("utf-8", "replace")) for r in sample(docs, lab).collect()]
+    found = {r["label"]: r["count"] for r in docs.select("doc_id").join(lab, "doc_id").groupBy("label").count().collect()}
+    count = [found.get(k, 0) for k in (0, 1)]
     prior = (count[1] + 1) / (count[0] + count[1] + 1)
     dicts = []
     for k in (0, 1):
@@ -97,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
     rest = [r for r in rows if r[1] % 2 == 0] or rows
     x = np.array([difference(model, r[2].decode("utf-8", "replace")) for r in rest])
     y = np.array([r[0] for r in rest], float)
-    weight = np.where(y == 1, count[1] / max(1, y.sum()), count[0] / max(1, (1 - y).sum()))
+    weight = np.where(y == 1, count[1] / max(1, y.sum()), count[0] / max(1, (1 - y).sum())) * len(rows) / sum(count)
     return Model(dicts[1], dicts[0], *_logistic(x, y, weight), prior)
 
 

@@ -171,6 +171,30 @@ def test_quality_tells_held_out_rows_apart_and_never_reads_their_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in a.values()) and a[1]["lang"] == "en"
 
 
+def test_quality_means_the_same_for_any_size_of_sample(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)] for _ in range(2)]
+    mixed = lambda k: " ".join(rng.choice(words[k if rng.random() < 0.55 else 1 - k]) for _ in range(40))
+    rows = [(i, mixed(int(i % 20 >= 3))) for i in range(4000)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 20 >= 3)) for i, _ in rows], "doc_id long, quality int")
+    means = []
+    for most in (6_000, 300):
+        monkeypatch.setattr(quality, "SAMPLE_ROWS", most)
+        model = quality.fit(docs, labels)
+        assert abs(model.prior - 0.85) < 0.01
+        means.append(quality.score(docs, model).agg(F.avg("score")).first()[0])
+    assert all(abs(m - 0.85) < 0.06 for m in means)
+
+
+def test_an_oversized_text_does_not_end_the_quality_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 64_000)
+    rows = [(i, "x" * (70_000 if i % 3 == 0 else 50_000 if i % 3 == 1 else 100)) for i in range(60)]
+    lab = quality.labelled(spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int"))
+    got = [len(r["text"]) for r in quality.sample(frame(spark, rows), lab).collect()]
+    assert sorted(got) == [100] * 20 + [50_000]
+
+
 def test_quality_without_labels_texts_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, none)).collect()} == {1.0}
