@@ -40,13 +40,15 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, read once and staged."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, read once and staged; with ``digest`` also a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", "digest"][:b.num_columns])
 
-    return staged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), *[F.xxhash64(text).alias("digest")] * digest)
+    return staged(src.mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest), "fingerprints")
 
 
 def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,28 +196,38 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE
     however many rows they have; rows with a null id have a component like others.
     """
     rows = fingerprints(docs)
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = components(links(nodes, budget, trie_rows))
-    nodes = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    nodes = _components_of(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), budget, trie_rows)
     low = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
     return rows.join(nodes.select("fp", "component").join(low, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _components_of(nodes: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> DataFrame:
+    """``nodes`` (one row for each fp) with the component of each."""
+    comp = components(links(nodes, budget, trie_rows))
+    return nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id.
+    """``docs`` with one row of each group: the one with the smallest doc_id, or without any if no row has one.
 
-    doc_id names a document; of rows that repeat one, one stays.  Rows without an id cannot
-    be told apart from their group and stay only if no document of the group has an id.
+    A row is known by its doc_id and a hash of its text, so rows that share an id, or have none,
+    stay or go each with its own group.
     """
-    found = near_duplicates(docs, budget)
-    lost = found.where("doc_id IS NULL AND component_id IS NOT NULL OR doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost.withColumnRenamed("doc_id", "lost_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("lost_id")), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("twice_id"))
+    rows = fingerprints(docs, digest=True)
+    keys = rows.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = _components_of(keys.groupBy("fp").agg(F.min(place).alias("low")), budget)
+    best = nodes.groupBy("component").agg(F.min("low").alias("best"))
+    own = staged(keys.join(nodes.select("fp", "component").join(best, "component").select("fp", "best"), "fp").select(
+        F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "n", (place == F.col("best")).alias("stays")), "survivors")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_digest"))
+    kept = docs.join(own.where("NOT stays"), same, "left_anti")
+    twice = own.where("stays AND n > 1")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").cast("long") == F.col("twice_id")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    again = kept.join(twice, same, "left_semi").withColumn("its_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "its_digest"])
+    return kept.join(twice, same, "left_anti").unionByName(again.drop("its_digest"))

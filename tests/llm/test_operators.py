@@ -246,6 +246,13 @@ def test_one_document_of_each_group_stays(spark, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_go_with_their_own_group(spark):
+    other, third = "quite another text about rivers and boats", "a third one that nobody has copied so far"
+    rows = [(3, PASSAGE), (5, PASSAGE), (5, other), (8, other), (None, PASSAGE), (None, third), (None, "alone as well but unlike the rest"), (None, third)]
+    got = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == sorted([(3, PASSAGE), (5, other), (0, third), (0, "alone as well but unlike the rest")])
+
+
 # ------------------------------------------------------------ 5 embeddings
 
 
