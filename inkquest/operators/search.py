@@ -438,11 +438,11 @@ def heat(hits: DataFrame, curated: DataFrame) -> DataFrame:
 
 
 def explore(docs: DataFrame, queries: DataFrame, messages: DataFrame, entities: DataFrame, curated: DataFrame,
-            rounds: int = 2, budget: int = 200, text="text") -> DataFrame:
+            rounds: int = 2, budget: int | None = None, text="text") -> DataFrame:
     """Heat-seeking exploration: each round searches the whole frontier and queues what its hits suggest.
 
-    State is one row per (query, status).  Cold queries spawn nothing; the frontier
-    of a round is cut to ``budget`` by heat of the parent.  Only the loop counter
+    State is one row per (query, status).  Cold queries spawn nothing; with a
+    ``budget`` the frontier of a round is cut to it by heat of the parent.  Only the loop counter
     lives in the driver.
     """
     from ..session import cut_lineage
@@ -462,7 +462,7 @@ def explore(docs: DataFrame, queries: DataFrame, messages: DataFrame, entities:
         fresh = nxt.join(done.select(F.lower("query").alias("term")), "term", "left_anti")
         order = F.when(F.col("heat") == "hot", 0).otherwise(1)
         one = fresh.groupBy("term").agg(F.min(order).alias("prio"), F.sum("n").alias("n"))
-        picked = one.orderBy("prio", F.desc("n"), "term").limit(budget)
+        picked = one if budget is None else one.orderBy("prio", F.desc("n"), "term").limit(budget)
         todo = cut_lineage(picked.select(F.xxhash64("term").alias("query_id"), F.col("term").alias("query"), F.lit(r + 1).alias("round")))
     return done
 

@@ -146,3 +146,12 @@ def test_vectors_without_direction_and_copies_are_found(spark):
     q = v.where("vec_id % 37 = 0").selectExpr("vec_id AS query_id", "embedding")
     assert sorted(E.nearest_vectors_lsh(v, q, 12).collect()) == sorted(E.nearest_vectors(v, q, 12).collect())
     assert E.nearest_vectors_lsh(v.limit(0), q, 3).count() == 0
+
+
+def test_exploration_follows_the_whole_frontier(spark):
+    docs = spark.createDataFrame([(k, f"topic{k} filler") for k in range(230)], "doc_id long, text string")
+    queries = docs.selectExpr("doc_id AS query_id", "concat('topic', doc_id) AS query")
+    mails = docs.selectExpr("doc_id", "concat('u@site', doc_id, '.example') AS sender", "'' AS subject", "text AS body")
+    entities = spark.createDataFrame([], "doc_id long, kind string, value string")
+    got = lambda **x: E.explore(docs, queries, mails, entities, docs.select("doc_id"), **x).where("round = 1").count()
+    assert got() == 230 and got(budget=200) == 200
