@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, embeddings, pst, quality, sharding, simhash, suffix, token_counts
+from . import alignment, bpe, chat, decontam, embeddings, prefix_trie, pst, quality, sharding, simhash, suffix, token_counts, transducer
 
 SHARDS = 24
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,49 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.chat_digest(chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text")))))
+
+
+#: CRC-32 of the decimal digits of x, bit by bit: the registers of the reflected polynomial, seen as integers.
+def _sql_crc32(x: str) -> str:
+    bit = "(CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    byte = f"list_reduce([xor(r, v)] || list_transform(range(8), lambda i: 0::BIGINT), lambda c, i: {bit})"
+    return f"xor(list_reduce([4294967295] || list_transform(range(1, length({x}) + 1), lambda p: ascii({x}[p])::BIGINT), lambda r, v: {byte}), 4294967295)"
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_sql_crc32('s')} % 9 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.k, role, text FROM c JOIN t ON t.conv_id = c.base WHERE t.k <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.k, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.k > c.h),
+p AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY part, k) AS keys, list(strlen(text) ORDER BY part, k) AS sizes FROM r GROUP BY 1),
+a AS (SELECT c.conv_id, coalesce(keys, []) AS keys, coalesce(sizes, []) AS sizes FROM c LEFT JOIN p USING (conv_id)),
+e AS (SELECT conv_id, d AS depth, array_to_string(keys[1:d], ',') AS node, CASE WHEN d > 0 THEN array_to_string(keys[1:d - 1], ',') END AS up, keys[1:d] AS path,
+    CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(keys) AS ends FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM a)),
+n AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, any_value(path) AS path, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM e GROUP BY 1),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT array_to_string(path[1:d], ',') AS node, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM (
+    SELECT path, n_convs, size, k.node IS NULL AS leaf, unnest(range(0, depth + 1)) AS d FROM n LEFT JOIN k USING (node)) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON u.node = n.up""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """Conversations that begin with up to eight turns of the first one of their block of five ids."""
+    return prefix_trie.with_head_of(seqs, F.col("conv_id") - F.pmod("conv_id", F.lit(5)), F.crc32(F.col("conv_id").cast("string")) % 9, 8)
+
+
+@query("op12_byte_transducer")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return transducer.round_trip_digest(table(spark, folder, "documents"), "byte_bpe_multi_50k.tiktoken")
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.report(table(spark, folder, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
