@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -163,8 +164,8 @@ def ego_network(edges: DataFrame, centres: DataFrame, depth: int = 2, types: lis
     return inside.orderBy("src", "dst", "type").limit(edge_cap) if edge_cap else inside
 
 
-def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Breadth-first distance of every node within ``max_depth`` hops of the start set.
+def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Breadth-first distance of every node that the start set reaches, or reaches within ``max_depth`` hops.
 
     One round per hop: the frontier selects its edges, the ends not seen before are
     the next frontier.  Rounds are checkpointed, so the plan stays short.
@@ -172,7 +173,7 @@ def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> Da
     nbr = reuse(undirected(edges))
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     front = seen
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = nbr.join(front.select("id"), "id", "left_semi").select(F.col("other").alias("id")).distinct()
         front = cut_lineage(nxt.join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
@@ -181,12 +182,12 @@ def hop_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 5) -> Da
     return seen
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, goals: DataFrame, max_depth: int = 5) -> DataFrame:
-    """One shortest path from ``start`` to each goal; the smallest parent id is taken at every step."""
+def shortest_paths(edges: DataFrame, start: DataFrame, goals: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """One shortest path from ``start`` to each goal (of any length unless ``max_depth`` is given); the smallest parent id is taken at every step."""
     nbr = reuse(undirected(edges))
     seen = start.select("id", F.lit(0).alias("distance"), F.array("id").alias("path"))
     front = seen
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         step = nbr.join(front.select("id", "path"), "id").groupBy(F.col("other").alias("id")).agg(F.min(F.struct("id", "path")).alias("m"))
         fresh = step.join(seen.select("id"), "id", "left_anti")
         front = cut_lineage(fresh.select("id", F.lit(d).alias("distance"), F.concat("m.path", F.array("id")).alias("path")))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions import text as X, wordlists as W
 from ..functions.text import col
 from ..session import BROADCAST_ROWS, broadcast_checked, reuse, row_bound, staged
+from .lexicon import term_counts
 
 # BM25 constants as published.
 K1, B = 1.2, 0.75
@@ -261,12 +262,13 @@ def boolean_search(docs: DataFrame, clauses: DataFrame, k: int = 20, text="text"
 
 
 def substring_join(docs: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", id_col: str = "doc_id",
-                   small: int = 500) -> DataFrame:
+                   small: int = 500, by_gram: bool = False) -> DataFrame:
     """(terms columns, doc id) for every term that is a substring of the lower-case text.
 
-    A list of at most ``small`` terms becomes part of the expression and each text
-    yields its own matches.  A longer one is joined by equality on one gram per term,
-    the one rarest in the corpus, and then verified.  Neither side is paired wholesale.
+    A list of at most ``small`` terms becomes part of the expression and each text yields its
+    own matches; a longer one becomes an automaton (see ``lexicon.term_counts``).  With
+    ``by_gram`` a long list is joined by equality on one gram per term, the one rarest in the
+    corpus, and then verified; its grams are as long as the shortest term.
     """
     d = docs.select(id_col, F.lower(col(text)).alias("_text"))
     t = terms.withColumn("_term", F.lower(col(term))).where("_term <> ''")
@@ -274,6 +276,8 @@ def substring_join(docs: DataFrame, terms: DataFrame, text: str = "text", term:
         words = [r[0] for r in t.select("_term").distinct().limit(small).collect()]
         inside = F.filter(X.str_array(words), lambda w: F.contains("_text", w))
         return d.select(id_col, F.explode(inside).alias("_term")).join(F.broadcast(t), "_term").drop("_term")
+    if not by_gram:
+        return term_counts(d, t, "_text", id_col).select(id_col, "_term").join(broadcast_checked(t), "_term").drop("_term")
     q = t.agg(F.min(F.length("_term"))).first()[0]
     q = min(q, 5)
 
@@ -376,11 +380,17 @@ def follow_ups(results: DataFrame, queries: DataFrame, n: int = 3, generic=("Sho
 
 # ---------------------------------------------------------------- expansion
 
-def expansion_terms(hits: DataFrame, messages: DataFrame, entities: DataFrame, generic=W.GENERIC_MAIL_DOMAINS) -> DataFrame:
+# Published choice of mined terms: most of each feature, and how often each must be seen.
+EXPANSION_CUT = {"domain": (2, 1), "person": (2, 1), "org": (1, 1), "local": (1, 2), "word": (2, 3)}
+
+
+def expansion_terms(hits: DataFrame, messages: DataFrame, entities: DataFrame, generic=W.GENERIC_MAIL_DOMAINS,
+                    cut: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """New search terms mined from the hits of each query: (query_id, feature, term, n).
 
-    Sender domain (top 2), persons (top 2), organisation (top 1), sender locals seen
-    twice, long subject words seen three times; all queries in one job.
+    Sender domains and locals, persons, organisations and long subject words; all queries in
+    one job.  Everything is kept unless ``cut`` gives a feature its number of terms and the
+    least count of each (``EXPANSION_CUT`` is the published choice).
     """
     m = hits.select("query_id", "doc_id").join(messages.select("doc_id", "sender", "subject"), "doc_id")
     domain = m.where(~X.is_generic_domain("sender", generic)).select(
@@ -391,22 +401,28 @@ def expansion_terms(hits: DataFrame, messages: DataFrame, entities: DataFrame, g
     ent = hits.select("query_id", "doc_id").join(entities.where("kind in ('person', 'org')"), "doc_id").select(
         "query_id", F.col("kind").alias("feature"), F.lower("value").alias("term"))
     counts = domain.unionByName(local).unionByName(word).unionByName(ent).groupBy("query_id", "feature", "term").agg(F.count("*").alias("n"))
-    keep = {"domain": (2, 1), "person": (2, 1), "org": (1, 1), "local": (1, 2), "word": (2, 3)}
-    cap, floor = F.lit(1), F.lit(1)
-    for f, (top, least) in keep.items():
-        cap = F.when(F.col("feature") == f, top).otherwise(cap)
-        floor = F.when(F.col("feature") == f, least).otherwise(floor)
-    big = counts.where((F.col("n") >= floor) & (F.length("term") > 3))
-    return top_per(big, ["query_id", "feature"], 2, F.desc("n"), "term").where(F.col("rank") <= cap).drop("rank")
+    counts = counts.where(F.length("term") > 3)
+    if cut is None:
+        return counts
+    most, least = F.lit(1), F.lit(1)
+    for f, (top, low) in cut.items():
+        most, least = F.when(F.col("feature") == f, top).otherwise(most), F.when(F.col("feature") == f, low).otherwise(least)
+    widest = max(top for top, _ in cut.values())
+    return top_per(counts.where(F.col("n") >= least), ["query_id", "feature"], widest, F.desc("n"), "term").where(F.col("rank") <= most).drop("rank")
+
 
+def expand_once(docs: DataFrame, hits: DataFrame, features: DataFrame, per_feature: int | None = None, text="text") -> DataFrame:
+    """Documents found by the mined terms that the query had not seen: (query_id, doc_id, score).
 
-def expand_once(docs: DataFrame, hits: DataFrame, features: DataFrame, per_feature: int = 8, text="text") -> DataFrame:
-    """Documents found by the mined terms that the query had not seen: (query_id, doc_id, score)."""
+    ``per_feature`` keeps the best documents of each term only.
+    """
     features = reuse(features)
     subs = features.select(F.struct("query_id", "feature", "term").alias("query_id"), F.col("term").alias("query"))
     terms = query_terms(subs)
     index = build_index(docs, text, terms)
-    found = ranked(all_terms(score_terms(index, terms, "log"), terms), per_feature)
+    found = all_terms(score_terms(index, terms, "log"), terms)
+    if per_feature is not None:
+        found = ranked(found, per_feature)
     fresh = found.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
     return fresh.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
@@ -418,16 +434,21 @@ def peak_month(hits: DataFrame, messages: DataFrame, min_hits: int = 3) -> DataF
     return n.groupBy("query_id").agg(F.min_by("month", F.struct(-F.col("n"), "month")).alias("month"), F.max("n").alias("n"))
 
 
-def frontier(messages: DataFrame, scores: DataFrame, topic_terms: list[str], limit: int = 100) -> DataFrame:
-    """Unscored messages whose subject mentions a topic, in a fixed pseudo-random order, with the next query."""
+def frontier(messages: DataFrame, scores: DataFrame, topic_terms: list[str], limit: int | None = None, words_used: int | None = None) -> DataFrame:
+    """Unscored messages whose subject mentions a topic, in a fixed pseudo-random order, with the next query.
+
+    The next query is the subject, or its first ``words_used`` words; ``limit`` cuts the list.
+    """
     todo = messages.join(scores.select(F.col("target_id").alias("doc_id")), "doc_id", "left_anti")
     low = F.lower("subject")
     hit = F.lit(False)
     for t in topic_terms:
         hit = hit | F.contains(low, F.lit(t))
-    words = F.slice(F.filter(F.split("subject", r"\s+"), lambda w: w != ""), 1, 4)
-    return (todo.where(hit).select("doc_id", F.array_join(words, " ").alias("next_query"))
-            .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit))
+    words = F.filter(F.split("subject", r"\s+"), lambda w: w != "")
+    if words_used is not None:
+        words = F.slice(words, 1, words_used)
+    rows = todo.where(hit).select("doc_id", F.array_join(words, " ").alias("next_query")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def heat(hits: DataFrame, curated: DataFrame) -> DataFrame:

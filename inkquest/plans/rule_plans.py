@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import rules as R, search as E
+from ..operators import lexicon as L, rules as R, search as E
 from . import sqltext as S
 from .inputs import messages, passages
 from .registry import query
@@ -37,7 +37,15 @@ def _(t):
 @query("lexicon_matches_by_gram_C1_F9", f"WITH {_LEX} SELECT doc_id, term FROM documents, lex WHERE contains(lower(text), term)")
 def _(t):
     # the route of large lexicons, forced
-    return E.substring_join(t.text("documents", "doc_id"), lexicon(t), small=0).select("doc_id", "term")
+    return E.substring_join(t.text("documents", "doc_id"), lexicon(t), small=0, by_gram=True).select("doc_id", "term")
+
+
+# every word of the benchmark and every letter of the alphabet
+@query("lexicon_automaton_C1_F9", f"""WITH lex AS (SELECT DISTINCT w AS term FROM (SELECT unnest({S.tok('text')}) AS w FROM benchmark) UNION SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')))
+SELECT doc_id, term FROM documents, lex WHERE contains(lower(text), term)""")
+def _(t):
+    words = t("benchmark").select(F.explode(X.tokenize("text")).alias("_term")).union(t.spark.range(97, 123).select(F.chr("id").alias("_term")))
+    return L.term_counts(t.text("documents", "doc_id"), words).select("doc_id", F.col("_term").alias("term"))
 
 
 @query("lexicon_score_D17", f"""WITH {_LEX}, m AS (SELECT doc_id, count(*) AS terms, sum(weight) AS w FROM documents, lex WHERE contains(lower(text), term) GROUP BY 1)

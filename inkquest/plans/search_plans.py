@@ -103,10 +103,10 @@ def _(t):
     return E.tfidf_search(d, passages(t), 20, "bm25", text)
 
 
-# clauses: first word required, second optional, the fixed word "thou" excluded, whole passage as phrase for even ids
+# clauses: first word required, all further words optional, the fixed word "thou" excluded, the first two words as a phrase
 _CLAUSES = f"""clauses AS (
  SELECT query_id, 'and' AS op, w[1] AS term FROM (SELECT query_id, {S.tok('query')} AS w FROM queries)
- UNION ALL SELECT query_id, 'or', w[2] FROM (SELECT query_id, {S.tok('query')} AS w FROM queries)
+ UNION ALL SELECT query_id, 'or', unnest(w[2:]) FROM (SELECT query_id, {S.tok('query')} AS w FROM queries)
  UNION ALL SELECT query_id, 'not', 'thou' FROM queries
  UNION ALL SELECT query_id, 'phrase', w[1] || ' ' || w[2] FROM (SELECT query_id, {S.tok('query')} AS w FROM queries))"""
 
@@ -128,7 +128,8 @@ def _(t):
     def clause(op, term):
         return w.select("query_id", F.lit(op).alias("op"), term.alias("term"))
     first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
-    clauses = (clause("and", first).unionByName(clause("or", second)).unionByName(clause("not", F.lit("thou")))
+    others = F.explode(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))))
+    clauses = (clause("and", first).unionByName(clause("or", others)).unionByName(clause("not", F.lit("thou")))
                .unionByName(clause("phrase", F.concat_ws(" ", first, second))))
     return E.boolean_search(d, clauses, 20, text)
 
@@ -198,16 +199,18 @@ def _(t):
 
 
 def _node_kind_hits(t):
-    """Part names that share a trigram with the last word of the passage, as node results."""
+    """Part names that share trigrams with any word of the passage, as node results with their best similarity."""
     names = t("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("name_id"))
-    q = passages(t).select("query_id", X.tokenize("query").alias("w")).select("query_id", F.element_at("w", -1).alias("query"))
-    return E.fuzzy_names(names, q, 0.1).select("query_id", F.lit("node").alias("kind"), F.col("name_id").alias("id"), F.round("similarity", 6).alias("score"))
+    words = passages(t).select("query_id", F.explode(F.array_distinct(X.tokenize("query"))).alias("query"))
+    hits = E.fuzzy_names(names, words.select(F.col("query").alias("query_id"), "query").distinct(), 0.1)
+    return words.join(hits.withColumnRenamed("query_id", "query"), "query").groupBy("query_id", F.lit("node").alias("kind"), F.col("name_id").alias("id")).agg(
+        F.round(F.max("similarity"), 6).alias("score"))
 
 
-_FUZZY = f"""names AS (SELECT min(p_partkey) AS name_id, p_name AS name FROM part GROUP BY p_name), nq AS (SELECT query_id, list_last({S.tok('query')}) AS query FROM queries),
-fp AS (SELECT query_id, name_id, contains(lower(name), lower(query)) AS inside, {_TRI('name')} AS a, {_TRI('query')} AS b FROM names, nq),
-nh AS (SELECT query_id, 'node' AS kind, name_id AS id, round(x, 6) AS score FROM (
-  SELECT query_id, name_id, inside, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS x FROM fp) WHERE inside OR x > 0.1)"""
+_FUZZY = f"""names AS (SELECT min(p_partkey) AS name_id, p_name AS name FROM part GROUP BY p_name), nw AS (SELECT DISTINCT query_id, unnest({S.tok('query')}) AS query FROM queries),
+nq AS MATERIALIZED (SELECT query, {_TRI('query')} AS b FROM (SELECT DISTINCT query FROM nw)), na AS MATERIALIZED (SELECT name_id, name, {_TRI('name')} AS a FROM names),
+fp AS (SELECT query, name_id, contains(lower(name), lower(query)) AS inside, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS x FROM na, nq),
+nh AS (SELECT query_id, 'node' AS kind, name_id AS id, round(max(x), 6) AS score FROM fp JOIN nw USING (query) WHERE inside OR x > 0.1 GROUP BY query_id, name_id)"""
 
 
 def _share(src, n):
@@ -222,8 +225,8 @@ def _(t):
     return E.merged_search(docs, _node_kind_hits(t), limit=20)
 
 
-_KW1 = f"""kw AS (SELECT query_id, w[1] AS term FROM (SELECT query_id, list_filter({S.qwords('query')}, lambda t: NOT list_contains({S.KEYWORD_STOP}, t)) AS w FROM queries)),
-ch AS (SELECT query_id, 'chunk' AS kind, doc_id AS id, 0.5::DOUBLE AS score FROM kw JOIN messages ON contains(lower(body), term))"""
+_KW1 = f"""kq AS (SELECT query_id, {S.qwords('query')} AS w FROM queries), kw AS (SELECT DISTINCT query_id, unnest(list_filter(w, lambda t: NOT list_contains({S.KEYWORD_STOP}, t))) AS term FROM kq),
+ch AS (SELECT DISTINCT query_id, 'chunk' AS kind, doc_id AS id, 0.5::DOUBLE AS score FROM kw JOIN messages ON contains(lower(body), term))"""
 
 
 @query("universal_search_E14", f"""WITH {base('log')}, {_FUZZY}, {_KW1}, dh AS (SELECT query_id, 'document' AS kind, doc_id AS id, score FROM sc),
@@ -231,8 +234,10 @@ u AS ({_share('dh', 10)} UNION ALL {_share('ch', 10)} UNION ALL {_share('nh', 10
 def _(t):
     d, text = corpus(t)
     docs = E.tfidf_search(d, passages(t), 10, "log", text).select("query_id", F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "score")
-    first = passages(t).select("query_id", F.get(X.query_keywords("query"), F.lit(0)).alias("term"))
-    chunk = E.substring_join(t("documents"), first).select("query_id", F.lit("chunk").alias("kind"), F.col("doc_id").alias("id"), F.lit(0.5).alias("score"))
+    stop = X.str_array(W.KEYWORD_STOP)
+    words = passages(t).select("query_id", F.explode(F.filter(X.tokenize("query", "query"), lambda w: ~F.array_contains(stop, w))).alias("term")).distinct()
+    chunk = E.substring_join(t.text("documents", "doc_id"), words).select(
+        "query_id", F.lit("chunk").alias("kind"), F.col("doc_id").alias("id"), F.lit(0.5).alias("score")).distinct()
     return E.merged_search(docs, chunk, _node_kind_hits(t), limit=30)
 
 
@@ -246,13 +251,13 @@ def _(t):
 
 @query("searchable_corpus_E16", """
 WITH deg AS (SELECT o_custkey AS id, count(*) AS d FROM orders GROUP BY 1)
-(SELECT 'email' AS kind, doc_id AS id, left(text, 2000) AS content FROM documents WHERE length(text) > 50)
-UNION ALL (SELECT 'content', page_id, left(html, 5000) FROM pages WHERE length(html) > 100)
+(SELECT 'email' AS kind, doc_id AS id, text AS content FROM documents WHERE length(text) > 50)
+UNION ALL (SELECT 'content', page_id, html FROM pages WHERE length(html) > 100)
 UNION ALL (SELECT 'node', c_custkey, c_name || ' (' || coalesce(d, 0) || ')' FROM customer LEFT JOIN deg ON id = c_custkey WHERE length(c_name) > 2)""")
 def _(t):
     deg = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("d"))
-    mail = t("documents").where("length(text) > 50").select(F.lit("email").alias("kind"), F.col("doc_id").alias("id"), F.left("text", F.lit(2000)).alias("content"))
-    pages = t("pages").where("length(html) > 100").select(F.lit("content").alias("kind"), F.col("page_id").alias("id"), F.left("html", F.lit(5000)).alias("content"))
+    mail = t("documents").where("length(text) > 50").select(F.lit("email").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    pages = t("pages").where("length(html) > 100").select(F.lit("content").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("content"))
     nodes = t("customer").where("length(c_name) > 2").join(deg, "c_custkey", "left").select(
         F.lit("node").alias("kind"), F.col("c_custkey").alias("id"),
         F.concat("c_name", F.lit(" ("), F.coalesce("d", F.lit(0)).cast("string"), F.lit(")")).alias("content"))
@@ -332,7 +337,7 @@ def _expansion(t):
     d, text = corpus(t)
     hits = reuse(E.tfidf_search(d, passages(t), 12, "log", text))
     hit_docs = t("documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    return d, text, hits, E.expansion_terms(hits, messages(t), D.compact_entities(hit_docs))
+    return d, text, hits, E.expansion_terms(hits, messages(t), D.compact_entities(hit_docs), cut=E.EXPANSION_CUT)
 
 
 @query("expansion_terms_E22", f"WITH {base('log')}, {_EXP} SELECT query_id, feature, term, n FROM ex")
@@ -368,7 +373,7 @@ def _(t):
 @query("frontier_E25", rf"""WITH {S.MESSAGES}, {S.SCORES} SELECT doc_id, array_to_string(list_filter(string_split_regex(subject, '\s+'), lambda w: w <> '')[:4], ' ') AS next_query
 FROM messages WHERE doc_id NOT IN (SELECT target_id FROM scores) AND (contains(lower(subject), 'the') OR contains(lower(subject), 'ent')) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
 def _(t):
-    return E.frontier(messages(t), scores(t), ["the", "ent"], 100)
+    return E.frontier(messages(t), scores(t), ["the", "ent"], 100, 4)
 
 
 @query("heat_E26", f"""WITH {base('log')}, h AS ({topk('sc', 12)}) SELECT query_id, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS curated_hits, count(*) AS hits,
