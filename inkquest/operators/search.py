@@ -29,11 +29,16 @@ LOOKUP_TERMS = 5_000
 
 @dataclass
 class Index:
-    """Postings (term, doc_id, f, doc_len) with the corpus totals the formulas need."""
+    """Postings (term, doc_id, f, doc_len, of a positional index also positions) with the corpus totals the formulas need."""
 
     postings: DataFrame
     lengths: DataFrame
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """(doc_id) of every document, with words or without."""
+        return self.lengths.select("doc_id")
+
     @cached_property
     def n_docs(self) -> int:
         return self.lengths.count()
@@ -51,7 +56,9 @@ class Index:
         """
         folder = f"{path.rstrip('/')}/part={part or uuid.uuid4().hex}"
         lengths = self.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("words"))
-        self.postings.select("term", "doc_id", "f", "doc_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+        self.documents.write.parquet(f"{folder}/documents")
+        columns = ["term", "doc_id", "f", "doc_len", *(["positions"] if "positions" in self.postings.columns else [])]
+        self.postings.select(*columns).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
         lengths.write.parquet(f"{folder}/totals")
 
     @classmethod
@@ -70,7 +77,7 @@ class Index:
             else:
                 postings = postings.join(broadcast_checked(wanted), "term", "left_semi")
         index = cls(postings, spark.createDataFrame([], "doc_id long, _w array<string>"))
-        index.__dict__.update(n_docs=totals["n"] or 0, avg_len=(totals["w"] / totals["n"]) if totals["n"] else 0.0)
+        index.__dict__.update(documents=spark.read.parquet(f"{path.rstrip('/')}/part=*/documents"), n_docs=totals["n"] or 0, avg_len=(totals["w"] / totals["n"]) if totals["n"] else 0.0)
         return index
 
 
@@ -79,18 +86,20 @@ def index_text(*columns) -> Column:
 
 
 def build_index(docs: DataFrame, text: Column | str = "text", terms: DataFrame | None = None,
-                id_col: str = "doc_id", variant: str = "index") -> Index:
+                id_col: str = "doc_id", variant: str = "index", positions: bool = False) -> Index:
     """Postings of a corpus, of all terms or only of the terms a job will look up.
 
     With ``terms`` (column ``term``) everything else is dropped before the shuffle, and
     the remaining postings are kept for the two reads of a search (document
-    frequencies and matches), so the texts are tokenised once.
+    frequencies and matches), so the texts are tokenised once.  ``positions`` adds where in
+    the tokens of its document a term stands, in order.
     """
     toks = docs.select(F.col(id_col).alias("doc_id"), X.tokenize(text, variant).alias("_w"))
-    rows = toks.select("doc_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
+    rows = toks.select("doc_id", F.size("_w").alias("doc_len"), F.posexplode("_w").alias("pos", "term") if positions else F.explode("_w").alias("term"))
     if terms is not None:
         rows = rows.join(broadcast_checked(terms.select("term").distinct()), "term", "left_semi")
-    postings = rows.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("f"))
+    places = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
+    postings = rows.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("f"), *places)
     return Index(postings if terms is None else reuse(postings), toks)
 
 

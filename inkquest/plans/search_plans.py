@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X, wordlists as W
-from ..operators import extract as D, search as E
+from ..operators import extract as D, query_strings as Q, search as E
 from . import sqltext as S
 from .extract_plans import _COMPACT_SQL
 from .inputs import messages, passages, scores
@@ -134,6 +134,25 @@ def _(t):
     return E.boolean_search(d, clauses, 20, text)
 
 
+# "first second" AND (third OR NOT fourth) OR "all further words", as a string, for every passage, from stored positional postings
+@query("query_strings_E6", f"""WITH {S.MESSAGES}, {QUERIES}, {posting_ctes()}, qw AS (SELECT query_id, {S.tok('query')} AS w FROM queries),
+dx AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS x FROM tk),
+m AS (SELECT query_id, doc_id FROM qw, dx WHERE (contains(x, ' ' || w[1] || ' ' || w[2] || ' ') AND (contains(x, ' ' || w[3] || ' ') OR NOT contains(x, ' ' || w[4] || ' ')))
+  OR (len(w) > 4 AND contains(x, ' ' || array_to_string(w[5:], ' ') || ' '))),
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w[:3] || w[5:]) AS term FROM qw) GROUP BY 1, 2),
+sc AS (SELECT query_id, doc_id, round(sum(qf * {WEIGHT['bm25']}), 6) AS score FROM qt JOIN po USING (term) JOIN dfs USING (term), tot GROUP BY 1, 2),
+ok AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM m LEFT JOIN sc USING (query_id, doc_id)) {topk('ok', 20)}""")
+def _(t):
+    d, text = corpus(t)
+    path = shared_dir(t.spark, "positional-index")
+    E.build_index(d, text, positions=True).save(path)
+    w = passages(t).select("query_id", X.tokenize("query").alias("w"))
+    word = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit(""))
+    rest = F.array_join(F.slice("w", F.lit(5), F.greatest(F.size("w") - 4, F.lit(0))), " ")
+    strings = w.select("query_id", F.format_string('"%s %s" AND (%s OR NOT %s) OR "%s"', word(0), word(1), word(2), word(3), rest).alias("query"))
+    return Q.query_string_search(path, strings, 20)
+
+
 @query("search_or_substring_E6", f"""WITH {base('bm25')}, em AS (SELECT * FROM queries WHERE query_id NOT IN (SELECT query_id FROM hit_all)),
 u AS (SELECT query_id, doc_id, score FROM hit_all UNION ALL SELECT query_id, doc_id, 0.0 FROM em JOIN messages ON contains(lower({_TEXT}), lower(query)))
 {topk('u', 20)}""")
