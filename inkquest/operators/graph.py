@@ -338,6 +338,32 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return lab
 
 
+def harmonic_centrality(edges: DataFrame, rounds: int | None = None, lg_k: int = 11) -> DataFrame:
+    """(id, centrality, reached): sum over all other nodes of 1 / distance on the undirected view, and how many there are.
+
+    Every node holds a cardinality sketch of the nodes within r hops; a round merges the sketches
+    of its neighbours into it, and what the estimate grows by is that far away.  Sketches have a fixed size
+    and are merged map-side first, so a hub is one sketch for each task.  The relative standard
+    error of a count is about 1.04 / sqrt(2 ** lg_k), 2.3 % at 11.  Rounds go on until no
+    estimate grows, or for ``rounds`` of them, which leaves farther nodes out.
+    """
+    e = reuse(undirected(edges).where("id <> other"))
+    ids = e.select("id").distinct()
+    state = cut_lineage(ids.groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("sketch")).select(
+        "id", "sketch", F.hll_sketch_estimate("sketch").cast("double").alias("reached"), F.lit(0.0).alias("centrality"), F.lit(True).alias("grew")))
+    for r in count(1) if rounds is None else range(1, rounds + 1):
+        # only what grew in the last round can make a neighbour grow
+        got = e.join(state.where("grew").select(F.col("id").alias("other"), "sketch"), "other").select("id", "sketch")
+        seen = got.groupBy("id").agg(F.hll_union_agg("sketch").alias("more"))
+        new = state.join(seen, "id", "left").withColumn("sketch", F.when(F.col("more").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", "more")))
+        n = F.hll_sketch_estimate("sketch").cast("double")
+        gain = F.greatest(n - F.col("reached"), F.lit(0.0))
+        state = cut_lineage(new.select("id", "sketch", (F.col("reached") + gain).alias("reached"), (F.col("centrality") + gain / r).alias("centrality"), (gain > 0).alias("grew")))
+        if state.where("grew").isEmpty():
+            break
+    return state.select("id", "centrality", (F.col("reached") - 1).alias("reached"))
+
+
 # Viewer colours by node type.
 COLOURS = {"person": "#e74c3c", "company": "#3498db", "location": "#2ecc71"}
 

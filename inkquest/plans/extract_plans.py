@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
+from ..functions import patterns as P, table_functions
 from ..operators import extract as D
 from . import sqltext as S
 from .registry import query
@@ -55,6 +55,14 @@ def _(t):
     return D.extract_spans(folded, _SPAN_PATS).select("doc_id", "pattern", "value", "start", "end", "context")
 
 
+@query("extract_spans_sql_D2", f"""WITH {_spans(_SPAN_PATS)} SELECT doc_id, pattern, value, start, "end",
+  substring(f, greatest(start - 50, 0) + 1, "end" - greatest(start - 50, 0) + 50) AS context FROM sp""")
+def _(t):
+    table_functions.register(t.spark)
+    folded = t.text("documents", "doc_id").select("doc_id", P.ascii_fold("text").alias("text"))
+    return t.spark.sql("SELECT doc_id, s.pattern, s.value, s.start, s.end, s.context FROM {folded}, LATERAL extract_spans(text) AS s", folded=folded)
+
+
 _SENS = P.select_patterns(sensitive=True)
 @query("redact_sensitive_D3", f"""WITH {_values(_SENS)} SELECT d.doc_id, true AS same_length,
   d.doc_id IN (SELECT doc_id FROM v) AS changed FROM documents d""")

@@ -222,3 +222,8 @@ def _(t):
  CASE nd.type WHEN 'person' THEN '#e74c3c' WHEN 'company' THEN '#3498db' ELSE '#2ecc71' END AS colour FROM nc JOIN nd USING (id)""")
 def _(t):
     return G.viewer_nodes(nodes(t).join(_confidence(t).select("id", "centrality"), "id"))
+
+
+@query("harmonic_centrality_H12")
+def _(t):
+    return G.harmonic_centrality(edges(t))

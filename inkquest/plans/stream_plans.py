@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import activity as A, reports as R
 from ..session import shared_dir
 from ..streaming import jobs as J
+from ..sources import readers as SR
 from .registry import query
+from .source_plans import responses
 
 
 def _stream(t, watermark=None):
@@ -105,3 +107,27 @@ SELECT a.run_id, a.score, round(a.score - b.score, 6) AS delta, coalesce(b.score
 def _(t):
     day = F.datediff("ts", F.lit("2024-01-01")).cast("bigint")
     return R.quality_drop(t("events").groupBy(day.alias("run_id")).agg(F.round(F.avg("value"), 6).alias("score")), 5)
+
+
+def _graph_batches(t):
+    """The nodes of all model responses with nested metadata: the last source, and the last one of each residue by three."""
+    nodes = SR.response_part(SR.parse_responses(responses(t)), "nodes").select("type", "name", "source_id").distinct()
+    residue = F.concat(F.lit("d"), F.pmod("source_id", F.lit(3)).cast("string"))
+    return nodes.select("*", F.col("source_id").alias("seq"), F.to_json(F.struct(F.col("source_id").alias("last"), F.create_map(residue, "source_id").alias("seen"))).alias("metadata"))
+
+
+@query("graph_store_T8_H1", r"""WITH x AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
+n AS (SELECT DISTINCT 'person' AS type, 'Customer ' || o_custkey AS name, o_orderkey AS seq FROM x UNION ALL SELECT DISTINCT 'company', 'Supplier ' || l_suppkey, o_orderkey FROM x),
+k AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9\s]', '', 'g')) AS name_normalized FROM n),
+s AS (SELECT type, name_normalized, string_agg('"d' || d || '":' || m, ',' ORDER BY d) AS seen FROM (SELECT type, name_normalized, seq % 3 AS d, max(seq) AS m FROM k GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT k.type, k.name_normalized, arg_min(name, seq) AS name, min(seq) AS source_id, count(*) AS mentions, '{"last":' || max(seq) || ',"seen":{' || any_value(seen) || '}}' AS metadata
+FROM k JOIN s ON s.type = k.type AND s.name_normalized = k.name_normalized GROUP BY 1, 2""")
+def _(t):
+    return J.graph_stream(t.spark, _write_batches(_graph_batches(t), shared_dir(t.spark, "graph-in"), "source_id", 5), shared_dir(t.spark, "graph"), shared_dir(t.spark, "graph-ckpt")).nodes()
+
+
+def _write_batches(df, folder: str, key: str, n: int) -> str:
+    """A table as ``n`` files that a stream takes one by one, dealt by a hash of a key."""
+    for k in range(n):
+        df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder

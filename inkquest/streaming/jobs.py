@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ingest as I
+from ..operators.store import GraphStore
 from ..session import shared_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -209,3 +210,20 @@ def merge_counts(events: DataFrame, key: str, target: str, checkpoint: str) -> D
 
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.sum("n").alias("n"))
+
+
+def graph_stream(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 1, buckets: int = 32) -> GraphStore:
+    """Files of nodes (type, name, source_id, seq, metadata) merged into a stored graph, a few per micro-batch.
+
+    A replayed batch is known by its number, so the graph is the same however the files fall
+    into batches and however often a batch is tried.
+    """
+    store = GraphStore(spark, target, buckets)
+    nodes = (spark.readStream.schema("type string, name string, source_id long, seq long, metadata string")
+             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        store.apply(batch_id, batch)
+
+    nodes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return store
