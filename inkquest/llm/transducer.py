@@ -20,16 +20,17 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Steps and words that a Python worker keeps before it starts afresh, and characters of a word that is kept at most.
-KEPT_STEPS, KEPT_WORDS, KEPT_CHARS = 700_000, 300_000, 64
+KEPT_STEPS, KEPT_WORDS, KEPT_CHARS = 1_000_000, 400_000, 64
 #: Bytes behind which what has become certain is passed on.
 LOOKAHEAD = 64
 #: Ids that the decoder turns into text at once.
-CHUNK_IDS = 50_000
+CHUNK_IDS = 256
 #: Texts with one of these are split by the full pattern; in all others \s, \w and \d of ``re`` say the same.
 BEYOND = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe৴-\U0010ffff]")
 
@@ -50,6 +51,9 @@ def split_patterns() -> tuple:
 
     given = public_tokenizers.PATTERN
     rich = given.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    short, rest = given.split("| ?", 1)
+    letters, numbers, others = f" ?{rest}".split("|", 2)
+    given = "|".join([letters, numbers, short, others])  # letters come first: what begins with a quote is no letter or number
     plain = given.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
     return regex.compile(rich), re.compile(plain)
 
@@ -75,7 +79,9 @@ class Transducer:
                     self.inner.append(False)
                 node = to
             self.token[node] = i
-        self.fits: dict[int, bool] = {}
+        self.bits = len(self.bytes_of).bit_length()
+        self.ids = list(range(len(self.bytes_of)))  # one object for each id
+        self.fits: list[dict[int, bool] | None] = [None] * (len(self.bytes_of) + 1)  # by last token + 1
         self.split: dict[int, tuple[int, int] | None] = {}
         self.last: list[bytes] | None = None
         self.forget()
@@ -86,18 +92,22 @@ class Transducer:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))})
 
     def forget(self) -> None:
-        #: A state is a tuple of places, each (last token + 1) << 32 | node of the trie; one place is at the root.
+        #: A state is a tuple of places, two entries each: last token + 1, and node of the trie; one place is at the root.
         self.number: dict[tuple, int] = {}
         self.state: list[tuple] = []
+        self.root: list[int] = []  # which place of a state is at the root
         self.step: dict[int, int] = {}  # state << 8 | byte -> state
-        self.moves: dict[int, tuple] = {}  # the same -> for each place behind it, the place it comes from << 32 | token written + 1
-        self._state((0,))
+        self.moves: dict[int, tuple] = {}  # the same -> for each place behind it, the place it comes from << bits | token written + 1
+        self._state([0, 0])
 
-    def _state(self, places: tuple) -> int:
-        at = self.number.get(places)
+    def _state(self, places: list[int]) -> int:
+        key = tuple(places)
+        at = self.number.get(key)
         if at is None:
-            at = self.number[places] = len(self.state)
-            self.state.append(places)
+            at = self.number[key] = len(self.state)
+            self.state.append(key)
+            nodes = key[1::2]
+            self.root.append(nodes.index(0) if 0 in nodes else 0)
         return at
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -135,13 +145,12 @@ class Transducer:
         the border must not have a merge of its own that came before the one just taken back; a merge
         on the left of the border goes before one of the same rank on it, one on the right after.
         """
-        key = left << 32 | right
-        known = self.fits.get(key)
+        known = self.fits[left + 1]
         if known is None:
-            if len(self.fits) > KEPT_STEPS:
-                self.fits.clear()
-            known = self.fits[key] = self._fit(left, right)
-        return known
+            known = self.fits[left + 1] = {}
+        if right not in known:
+            known[right] = self._fit(left, right)
+        return known[right]
 
     def _fit(self, left: int, right: int) -> bool:
         names, ranks = self.bytes_of, self.ranks
@@ -150,10 +159,11 @@ class Transducer:
         if self.halves(left) is None or self.halves(right) is None:
             return self.merged(names[left] + names[right]) == [names[left], names[right]]
         none = limit = len(names)
+        split = self.split
         while True:
             if ranks.get(names[left] + names[right], none) < limit:
                 return False
-            x, y = self.halves(left)[1], self.halves(right)[0]
+            x, y = (split.get(left) or self.halves(left))[1], (split.get(right) or self.halves(right))[0]
             if x == left and y == right:
                 return True
             if y == right or (x != left and left > right):
@@ -163,43 +173,46 @@ class Transducer:
 
     def _make(self, key: int) -> int:
         """The step of a state and a byte: follow every place."""
-        byte, places, moves, inner, token, fits = key & 255, [], [], self.inner, self.token, self.fits
-        for j, place in enumerate(self.state[key >> 8]):
-            last = place >> 32
-            to = self.child.get((place & 0xFFFFFFFF) << 8 | byte)
+        byte, places, moves, inner, token, child, bits = key & 255, [], [], self.inner, self.token, self.child, self.bits
+        old = iter(self.state[key >> 8])
+        for j, (last, node) in enumerate(zip(old, old)):
+            to = child.get(node << 8 | byte)
             if to is not None:
                 if inner[to]:
-                    places.append(last << 32 | to)
-                    moves.append(j << 32)
+                    places += (last, to)
+                    moves.append(j << bits)
                 t = token[to]
                 if t >= 0:
-                    fit = fits.get((last - 1) << 32 | t)
+                    known = self.fits[last]
+                    fit = known.get(t) if known else None
                     if self.fit(last - 1, t) if fit is None else fit:
-                        places.append((t + 1) << 32)
-                        moves.append(j << 32 | t + 1)
+                        places += (t + 1, 0)
+                        moves.append(j << bits | t + 1)
         if not places:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         self.moves[key] = tuple(moves)
-        to = self.step[key] = self._state(tuple(places))
+        to = self.step[key] = self._state(places)
         return to
 
     def _written(self, keys: list[int], place: int) -> list[int]:
         """What was written over these steps by the way that ends in ``place``."""
-        out, moves = [], self.moves
+        out, moves, bits, ids = [], self.moves, self.bits, self.ids
+        mask = (1 << bits) - 1
         for key in reversed(keys):
             move = moves[key][place]
-            place, t = move >> 32, move & 0xFFFFFFFF
-            if t:
-                out.append(t - 1)
+            place = move >> bits
+            move &= mask
+            if move:
+                out.append(ids[move - 1])
         out.reverse()
         return out
 
     def _settled(self, keys: list[int], state: int) -> tuple[int, int]:
         """How many of these steps are certain, and the place that all ways go through behind them."""
-        alive, moves = set(range(len(self.state[state]))), self.moves
+        alive, moves, bits = set(range(len(self.state[state]) // 2)), self.moves, self.bits
         for i in range(len(keys) - 1, 0, -1):
             move = moves[keys[i]]
-            alive = {move[j] >> 32 for j in alive}
+            alive = {move[j] >> bits for j in alive}
             if len(alive) == 1:
                 return i, alive.pop()
         return 0, 0
@@ -220,7 +233,7 @@ class Transducer:
                         yield self._written(keys[:n], place)
                         keys = keys[n:]
                     limit = 2 * len(keys) + LOOKAHEAD
-        yield self._written(keys, next((j for j, place in enumerate(self.state[state]) if not place & 0xFFFFFFFF), 0))
+        yield self._written(keys, self.root[state])
 
     def word(self, data: bytes) -> list[int]:
         """Tokens of one pretoken: itself if the vocabulary has it, else what the transducer writes."""
@@ -229,7 +242,38 @@ class Transducer:
             return [whole]
         if len(self.step) > KEPT_STEPS:
             self.forget()
-        return [t for some in self.read((data,)) for t in some]
+        if len(data) > LOOKAHEAD:
+            return [t for some in self.read((data,)) for t in some]
+        state, step, keys = 0, self.step, []
+        for byte in data:
+            key = state << 8 | byte
+            keys.append(key)
+            state = step.get(key)
+            if state is None:
+                state = self._make(key)
+        return self._written(keys, self.root[state])
+
+
+class Words(dict):
+    """Tokens of the words met so far; a missing one goes through the transducer.
+
+    Words are kept in two generations: a full one becomes the old one, from which words in use
+    come back, so frequent words are never lost."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst, self.old = fst, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(self.fst.word(word.encode("utf-8", "replace")))
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -238,20 +282,11 @@ class Encoder:
     def __init__(self, name: str):
         self.fst = Transducer.of_file(name)
         self.rich, self.plain = split_patterns()
-        self.known: dict[str, list[int]] = {}
+        self.known = Words(self.fst)
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for w in (self.rich if BEYOND.search(text) else self.plain).findall(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.fst.word(w.encode("utf-8", "replace"))
-                if len(w) <= KEPT_CHARS:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[w] = ids
-            out += ids
-        return out
+        words = (self.rich if BEYOND.search(text) else self.plain).findall(text)
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
 
 def _utf8_rules() -> dict[tuple[int, int, int], list[tuple[int, int, tuple[int, int, int]]]]:
@@ -306,25 +341,29 @@ class Decoder:
     def __init__(self, bytes_of: list[bytes]):
         self.bytes_of, self.machine = bytes_of, Utf8Machine()
         self.memo: dict[bytes, dict[int, tuple[str, int, bytes]]] = {}
+        #: What a token writes where no character is open, if it leaves none open.
+        self.whole = [t if not held else None for t, _, held in (self.machine.feed(self.machine.start, b"", b) for b in bytes_of)]
 
     def texts(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text as the ids come; a character that stays open at the end is one replacement character."""
-        state, held, out = self.machine.start, b"", []
-        memo = self.memo.setdefault(held, {})
-        for i in ids:
-            known = memo.get(i)
-            if known is None:
-                known = memo[i] = self.machine.feed(state, held, self.bytes_of[i])
-            out.append(known[0])
-            if known[2] != held:
-                memo = self.memo.setdefault(known[2], {})
-            state, held = known[1], known[2]
-            if len(out) >= CHUNK_IDS:
-                yield "".join(out)
-                out = []
+        state, held, ids = self.machine.start, b"", iter(ids)
+        while some := list(islice(ids, CHUNK_IDS)):
+            if not held:
+                whole = list(map(self.whole.__getitem__, some))
+                if None not in whole:
+                    yield "".join(whole)
+                    continue
+            out = []
+            for i in some:
+                memo = self.memo.setdefault(held, {})
+                known = memo.get(i)
+                if known is None:
+                    known = memo[i] = self.machine.feed(state, held, self.bytes_of[i])
+                text, state, held = known
+                out.append(text)
+            yield "".join(out)
         if held:
-            out.append("�")
-        yield "".join(out)
+            yield "�"
 
 
 @lru_cache(maxsize=2)
