@@ -75,7 +75,7 @@ class Vocabularies:
         """Ids of A and B for every text; none where null, empty, or spelled otherwise than blank and text."""
         parts = [self.split(t) if t else [] for t in texts]
         flat = [p for some in parts for p in some]
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in flat], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
         b = self.b.encode(flat, out_type=int, num_threads=1) if flat else []
         out, at = [], 0
         for t, some in zip(texts, parts):
