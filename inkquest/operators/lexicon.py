@@ -36,7 +36,7 @@ def _automaton(token: str, terms: list[str]):
 def _search(token: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
-        find = _automaton(token, terms).iter
+        find = _automaton(token, terms).iter if terms else lambda text: ()
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 rows = b.slice(at, ROWS)
