@@ -220,3 +220,28 @@ def round_trip_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(
         run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+
+
+def with_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and (ids, n_tokens, ids_sha256, decoded_sha256) behind them; columns of these four names are replaced."""
+    added = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in docs.columns if c not in added]
+    inner = [f"_c{i}" for i in range(len(kept))]
+    at = kept.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(path)
+        for b in batches:
+            done = 0
+            for texts in _texts(b.column(at)):
+                ids = m.encode(texts)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                shas = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], [hashlib.sha256(m.decode(i).encode()).hexdigest() for i in ids]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(texts)) for c in b.columns), lists, pa.array(np.diff(ends).astype(np.int64)), *map(pa.array, shas)], [*inner, *added])
+                done += len(texts)
+
+    src = docs.select(*kept).toDF(*inner)
+    schema = ", ".join(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(inner, kept))
+    out = src.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.toDF(*kept, *added)

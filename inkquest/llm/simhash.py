@@ -7,14 +7,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import staged
+from ..session import broadcast_checked, staged
 from .components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Fingerprints that a trie in a task takes before its top levels are opened on Spark, and how many of them.
 TRIE_ROWS, TOP_BITS = 50_000, 8
+#: Stages of a pipeline link texts by five words and this similarity, looked for within so many bits (see README for what they find).
+STAGE_SHINGLE, STAGE_BUDGET, STAGE_SIMILARITY = 5, 8, 0.8
+#: Fingerprints by which a joined group is held while wider links are searched, and those that may share a value of the blocks on average.
+GROUP_SHOWN, FEW = 32, 64
 #: Node pairs that are held at once while a trie is walked.
 FRONTIER = 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -40,11 +44,11 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row, read once and staged; with ``digest`` also a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
+            fp = pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", "digest"][:b.num_columns])
 
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), *[F.xxhash64(text).alias("digest")] * digest)
@@ -96,12 +100,12 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _masks(budget: int) -> list[int]:
-    """Masks of two more blocks than errors, two kept: pairs within the budget agree on all bits of one mask."""
-    blocks = max(3, budget + 2)
+def _masks(budget: int, agree: int = 2) -> list[int]:
+    """Masks of ``agree`` of budget + agree blocks: pairs within the budget agree on all bits of one of them."""
+    blocks = max(agree + 1, budget + agree)
     edge = [round(64 * k / blocks) for k in range(blocks + 1)]
     bits = [((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in range(blocks)]
-    return [bits[i] | bits[j] for i, j in combinations(range(blocks), 2)]
+    return [sum(some) for some in combinations(bits, agree)]
 
 
 def _signed(x: int) -> int:
@@ -162,16 +166,16 @@ def _walk(budget: int, masks: list[int]):
     return run
 
 
-def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agree: int = 2) -> DataFrame:
     """(a, b): every pair of distinct fingerprints within the budget, once.
 
-    The 64 bits are dealt into budget + 2 blocks; a pair within the budget agrees on two whole
-    blocks, so each fingerprint is sent once for every two blocks and a trie is built for each
-    value of them.  Where more than ``trie_rows`` fingerprints share a value, the top levels of
+    The 64 bits are dealt into budget + ``agree`` blocks; a pair within the budget agrees on
+    ``agree`` whole blocks (two at first), so each fingerprint is sent once for every choice of
+    them and a trie is built for each value.  Where more than ``trie_rows`` fingerprints share a value, the top levels of
     its trie are opened on Spark: each fingerprint goes to the pairs of top nodes that its own
     node forms within the budget.
     """
-    masks = _masks(budget)
+    masks = _masks(budget, agree)
     f = fps.select("fp").where("fp IS NOT NULL").distinct()
     keyed = f.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"),
                                                         F.lit(_free_shift(m, TOP_BITS)).alias("s")) for k, m in enumerate(masks)])).alias("g"))
@@ -203,7 +207,11 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE
 
 def _components_of(nodes: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> DataFrame:
     """``nodes`` (one row for each fp) with the component of each."""
-    comp = components(links(nodes, budget, trie_rows))
+    return _with_component(nodes, links(nodes, budget, trie_rows))
+
+
+def _with_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    comp = components(edges)
     return nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -211,20 +219,78 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, sorted; none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    size = min(size, len(words))
+    n = len(words) - size + 1 if words else 0
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i:i + size]), seed) for i in range(n)), np.uint64, n)).view(np.int64)
+
+
+def _similar(pairs: DataFrame, shown: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those ``pairs`` (a, b) of fingerprints whose texts in ``shown`` (fp, text) have the Jaccard similarity; each text is hashed once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                rows = b.slice(at, 500)
+                sets = [shingle_hashes(t.as_py(), size) for t in rows.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["fp", "s"])
+
+    sets = staged(shown.mapInArrow(run, "fp long, s array<long>"), "shingles")
+    count = sets.select("fp", F.size("s").alias("n"))
+    # a pair can only reach the similarity if its sizes do, so most of the others never meet their sets
+    sized = pairs.join(count.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(count.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").where(
+        F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    both = sized.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def blocks_for(n: int, budget: int) -> int:
+    """How many whole blocks a pair has to agree on so that a value of them has few of ``n`` even fingerprints."""
+    return next(k for k in range(2, 64) if n <= FEW << (64 * k // (budget + k)))
+
+
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUDGET, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id, or without any if no row has one.
 
-    A row is known by its doc_id and a hash of its text, so rows that share an id, or have none,
-    stay or go each with its own group.
+    Texts of equal fingerprint over ``size``-word shingles are one group.  Others are linked if
+    their fingerprints differ in at most ``budget`` bits and the Jaccard similarity of their shingles is
+    at least ``similarity``, which is computed for every pair that the trie join finds.
+    Narrow links are taken first; a group that these join is held by at most ``GROUP_SHOWN`` of
+    its fingerprints when wide ones are searched, so that a large group of near copies does not
+    become all its pairs.  A row is known by its doc_id and a hash of its text, so rows that
+    share an id, or have none, stay or go each with its own group.
     """
-    rows = fingerprints(docs, digest=True)
+    rows = fingerprints(docs, digest=True, size=size)
     keys = rows.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    nodes = _components_of(keys.groupBy("fp").agg(F.min(place).alias("low")), budget)
+    nodes = staged(keys.groupBy("fp").agg(F.min(place).alias("low")), "nodes")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_digest"))
+
+    def linked(found: DataFrame) -> DataFrame:
+        pairs = staged(found, "pairs")
+        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp")
+        asked = broadcast_checked(asked.select("fp", F.col("low.doc_id").alias("its_id"), F.col("low.digest").alias("its_digest")))
+        return _similar(pairs, docs.select("doc_id", "text").join(asked, same).select("fp", "text").dropDuplicates(["fp"]), size, similarity)
+
+    near = staged(linked(links(nodes, min(budget, BUDGET))), "links")
+    group = staged(_with_component(nodes, near), "groups")
+    order = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("fp"), "fp"))
+    thinned = group.join(group.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_SHOWN), "component")
+    shown = group.join(thinned.select("component").distinct(), "component", "left_anti").select("fp", "component").unionByName(
+        thinned.withColumn("k", order).where(F.col("k") <= GROUP_SHOWN).select("fp", "component"))
+    far = links(shown, budget, agree=blocks_for(nodes.count(), budget))
+    of = group.select("fp", "component")
+    apart = far.join(of.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
+    every = near.unionByName(linked(apart.select("a", "b")))
+    nodes = _with_component(nodes, every)
     best = nodes.groupBy("component").agg(F.min("low").alias("best"))
     own = staged(keys.join(nodes.select("fp", "component").join(best, "component").select("fp", "best"), "fp").select(
         F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "n", (place == F.col("best")).alias("stays")), "survivors")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_digest"))
     kept = docs.join(own.where("NOT stays"), same, "left_anti")
     twice = own.where("stays AND n > 1")
     if twice.isEmpty():

@@ -15,15 +15,25 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
 
-def fingerprint(text):
+def fingerprint(text, size=3):
     w = words(text)
     if not w:
         return 0
-    k = min(3, len(w))
+    k = min(size, len(w))
     hashes = [xxhash.xxh64_intdigest(" ".join(w[i:i + k]).encode(), 42) for i in range(len(w) - k + 1)]
     return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, size):
+    w = words(text)
+    k = min(size, len(w))
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
 def groups(ids, linked):
     """Smallest id of each one's component; ``linked`` says whether two places link."""
     low = list(ids)

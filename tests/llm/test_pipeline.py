@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from reference import bench_clean, bench_hits, fingerprint, fold_is, groups, repeat_digest, unigram, windows, without_repeats
+from reference import bench_clean, bench_hits, fingerprint, fold_is, groups, jaccard, repeat_digest, shingles, unigram, windows, without_repeats
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -86,17 +86,18 @@ def test_pipeline_stage_by_stage(spark, docs, items):
     model = quality.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"), usable=~quality.held_out(F.col("doc_id"), 4, 2))
     scores = {i: 1 / (1 + 2.718281828459045 ** -(model.slope * quality.difference(model, t) + model.shift)) for i, t in docs}
     assert sorted(rows[0]) == sorted((i, t) for i, t in docs if scores[i] >= 0.7)
-    fp = [fingerprint(t) for _, t in rows[0]]
-    low = groups([i for i, _ in rows[0]], lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    fp, sets = [fingerprint(t, 5) for _, t in rows[0]], [shingles(t, 5) for _, t in rows[0]]
+    low = groups([i for i, _ in rows[0]], lambda a, b: fp[a] == fp[b] or (fp[a] ^ fp[b]).bit_count() <= 8 and jaccard(sets[a], sets[b]) >= 0.8)
     assert sorted(rows[1]) == sorted(r for r, c in zip(rows[0], low) if r[0] == c)
     assert sorted(rows[2]) == sorted(zip([i for i, _ in rows[1]], without_repeats(rows[1])))
     found = windows(items)
     clean = [(i, bench_clean(t, found)) for i, t in rows[2]]
     assert sorted(rows[3]) == sorted(r for r in clean if r[1] is not False)
     t = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
-    got = {r["doc_id"]: r["n_tokens"] for r in kept[-1].collect()}
-    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows[3]}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, FOLDER).collect()} == {tuple(r) for r in kept[-1].collect()}
+    got = {r["doc_id"]: (r["text"], r["ids"], r["n_tokens"]) for r in kept[-1].collect()}
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in rows[3]}
+    assert got == {i: (x, ids[i], len(ids[i])) for i, x in rows[3]} and kept[-1].columns[:len(columns)] == columns
+    assert {str(r) for r in corpus_pipeline.run(spark, FOLDER).collect()} == {str(r) for r in kept[-1].collect()}
     assert all(r["n_chars"] == len(r["text"]) for r in kept[3].collect())
 
 

@@ -271,3 +271,46 @@ def test_medians_balance_the_tree():
             if to:
                 deep[to] = deep[v] + 1
     assert max(deep.values()) <= 10
+
+
+# ------------------------------------------------------------ near duplicates of a stage
+
+
+def test_near_copies_of_any_group_size_leave_one_document(spark, monkeypatch):
+    """Copies with a few changed words go, others stay; a large group is thinned before wide links are searched."""
+    from reference import fingerprint, jaccard, shingles
+
+    from inkquest.llm import simhash
+
+    monkeypatch.setattr(simhash, "GROUP_SHOWN", 3)
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(150, 400))] for _ in range(40)]
+    rows = [" ".join(b) for b in base]
+
+    def copy(b, changes):
+        c = list(b)
+        for at in rng.sample(range(len(c)), changes):
+            c[at] = rng.choice(vocab)
+        return " ".join(c)
+
+    near = [copy(b, max(1, len(b) // 120)) for b in base[:20] for _ in range(2)] + [copy(base[0], 1) for _ in range(60)]
+    far = [copy(b, len(b) // 4) for b in base[20:]]
+    rows += near + far
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(rows)], "doc_id long, text string, fp long").repartition(4)
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    sets = [shingles(t, 5) for t in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.8]
+    lost = set(range(len(rows))) - kept
+    assert set(range(40)) | {len(rows) - 1 - k for k in range(20)} <= kept
+    should = {b for _, b in pairs}
+    assert len(should & lost) >= 0.9 * len(should) and lost <= should
+    fp = [fingerprint(t, 5) for t in rows]
+    assert all(any((fp[a] ^ fp[b]).bit_count() <= 8 for a, c in pairs if c == b) for b in lost)
+
+
+def test_blocks_grow_with_the_input():
+    from inkquest.llm import simhash
+
+    assert [simhash.blocks_for(n, 8) for n in (1, 100_000, 1_000_000, 50_000_000)] == [2, 2, 3, 4]
+    assert len(simhash._masks(8, 3)) == 165 and all(m.bit_count() >= 15 for m in simhash._masks(8, 3))
