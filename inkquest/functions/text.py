@@ -402,6 +402,12 @@ def is_generic_domain(x, generic=W.GENERIC_MAIL_DOMAINS) -> Column:
     return email_domain(x).isin(generic)
 
 
+def is_role_account(x, roles=W.ROLE_LOCALS, min_len: int = 4) -> Column:
+    """Addresses whose local part stands for a role, or is too short to be a name."""
+    local = email_local(x)
+    return local.isin(list(roles)) | (F.length(local) < min_len)
+
+
 def json_text(x, key: str) -> Column:
     """The value under ``key`` as text."""
     return F.get_json_object(col(x), f"$.{key}")

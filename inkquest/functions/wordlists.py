@@ -55,3 +55,9 @@ GENERIC_MAIL_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com",
 
 # Words that never count towards shared vocabulary of two claims.
 CLAIM_STOP = "the a an is are was were that this of in to and".split()
+
+# Local parts that stand for a role and not for a person.
+ROLE_LOCALS = ["info", "admin", "support", "contact", "noreply"]
+
+# Field of a category by its prefix.
+CATEGORY_FIELDS = {"math": "Mathematics", "physics": "Physics", "cs": "Computer Science", "q-bio": "Biology", "q-fin": "Finance", "stat": "Statistics", "econ": "Economics"}

@@ -49,6 +49,13 @@ def classify_field(x, fields=FIELDS, default: str = "interdisciplinary") -> Colu
     return best
 
 
+def category_fields(categories, fields=W.CATEGORY_FIELDS) -> Column:
+    """Fields of an array of categories such as ``cs.CL`` by their prefix, each once, in order."""
+    prefix = F.transform(col(categories), lambda c: F.split_part(c, F.lit("."), F.lit(1)))
+    known = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(prefix, lambda p: F.try_element_at(known, p)))))
+
+
 def _first(values: Column, n: int | None) -> Column:
     return values if n is None else F.slice(values, 1, n)
 

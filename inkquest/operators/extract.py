@@ -216,6 +216,12 @@ def merge_entities(*tables: DataFrame, keep_min_len: int = 3, per_kind: int | No
     return one.select(id_col, "kind", "value", F.lit(confidence).alias("confidence"))
 
 
+def entity_totals(merged: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, kind, n, total): entities of each kind of a document, and of all kinds."""
+    n = merged.groupBy(id_col, "kind").agg(F.count("*").alias("n"))
+    return n.withColumn("total", F.sum("n").over(Window.partitionBy(id_col)))
+
+
 def mention_counts(entities: DataFrame, min_len: int = 3) -> DataFrame:
     """Mentions and documents of each (name without case, kind)."""
     return (entities.where(F.length("value") >= min_len).groupBy(F.lower("value").alias("name"), "kind")

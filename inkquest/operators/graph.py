@@ -149,6 +149,46 @@ def neighbours(starts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
     return found.join(nodes.select(F.col("id").alias("other"), "name", "type"), "other").select("id", "other", "name", "type", "rank")
 
 
+def explore_names(names: DataFrame, edges: DataFrame, nodes: DataFrame, n_nodes: int | None = None, n_edges: int | None = None) -> DataFrame:
+    """(query_id, id, direction, type, other, other_name): edges of every node whose name holds the asked one, out and in.
+
+    ``names`` is (query_id, name).  ``n_nodes`` keeps the first nodes of a name, ``n_edges`` the
+    first edges of a node in each direction, both by id.
+    """
+    from .search import substring_join
+
+    met = nodes.select("id", "name").unionByName(nodes.select("id", X.normalize_name("name").alias("name"))).where("name IS NOT NULL")
+    hit = substring_join(met, names.select("query_id", F.col("name").alias("term")), "name", "term", "id").select("query_id", "id").distinct()
+    if n_nodes is not None:
+        hit = top_per(hit, "query_id", n_nodes, "id").drop("rank")
+    out = edges.select(F.col("src").alias("id"), F.lit("out").alias("direction"), "type", F.col("dst").alias("other"))
+    both = out.unionByName(edges.select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "type", F.col("src").alias("other")))
+    found = both.join(hit, "id")
+    if n_edges is not None:
+        found = top_per(found, ["query_id", "id", "direction"], n_edges, "other", "type").drop("rank")
+    return found.join(nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").select("query_id", "id", "direction", "type", "other", "other_name")
+
+
+def centres(names: DataFrame, nodes: DataFrame, centrality: DataFrame, default_type: str = "person", defaults: int = 5) -> DataFrame:
+    """(query_id, id): the node a network is drawn around, for each asked name.
+
+    The most central node of that name, letter case aside, or else of those whose name holds it;
+    a name that is null or blank gets the ``defaults`` most central nodes of ``default_type``.
+    ``centrality`` is (id, centrality); ties go to the smaller id.
+    """
+    from .search import substring_join
+
+    n = nodes.select("id", "type", "name").join(centrality.select("id", "centrality"), "id", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+    asked = names.where("trim(coalesce(name, '')) <> ''").select("query_id", F.lower("name").alias("term"))
+    exact = asked.join(n.select("id", "centrality", F.lower("name").alias("term")), "term").select("query_id", "id", "centrality")
+    rest = asked.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    inside = substring_join(n, rest, "name", "term", "id").select("query_id", "id").join(n.select("id", "centrality"), "id").select("query_id", "id", "centrality")
+    best = top_per(exact.unionByName(inside), "query_id", 1, F.desc("centrality"), "id").select("query_id", "id")
+    first = [r["id"] for r in n.where(F.col("type") == default_type).orderBy(F.desc("centrality"), "id").limit(defaults).collect()]  # ``defaults`` ids
+    blank = names.where("trim(coalesce(name, '')) = ''").select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<long>")).alias("id"))
+    return best.unionByName(blank)
+
+
 def ego_network(edges: DataFrame, centres: DataFrame, depth: int = 2, types: list[str] | None = None,
                 node_cap: int | None = None, edge_cap: int | None = None) -> DataFrame:
     """Induced edges among the nodes within ``depth`` hops of the centres.

@@ -347,6 +347,37 @@ def overlapping(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     return df.where(F.arrays_overlap(column, F.array(*[F.lit(w) for w in wanted])))
 
 
+def list_claims(claims: DataFrame, field: str | None = None, search: str | None = None, relevant: bool = False, limit: int | None = None) -> DataFrame:
+    """Claims (claim_id, field, claim, relevant, created_at), newest first; only the filters given apply."""
+    from .rules import listing
+
+    rows = claims.where("relevant") if relevant else claims
+    return listing(rows, {"field": field}, {"claim": search}, order=["created_at"], id_col="claim_id", limit=limit)
+
+
+def list_patterns(patterns: DataFrame, domains: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Patterns (pattern_id, domains, confidence) that touch any of the domains, surest first."""
+    from .rules import listing
+
+    rows = overlapping(patterns, "domains", domains) if domains else patterns
+    return listing(rows, order=["confidence"], id_col="pattern_id", limit=limit)
+
+
+def list_gaps(gaps: DataFrame, field: str | None = None, limit: int | None = None) -> DataFrame:
+    """Open gaps (gap_id, field, status, priority), most pressing first."""
+    from .rules import listing
+
+    return listing(gaps, {"field": field, "status": "open"}, order=["priority"], id_col="gap_id", limit=limit)
+
+
+def timeline_between(timeline: DataFrame, subject: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Entries (title, date, category) that mention a subject, from one day to another, in order of date; only the bounds given apply."""
+    rows = timeline if subject is None else timeline.where(F.contains(F.lower("title"), F.lit(subject.lower())))
+    rows = rows if first is None else rows.where(F.col("date") >= first)
+    rows = rows if last is None else rows.where(F.col("date") <= last)
+    return rows.orderBy("date", "title")
+
+
 def entity_links(papers: DataFrame, nodes: DataFrame) -> DataFrame:
     """Authors linked to graph nodes of the same normalised name."""
     from ..functions.text import normalize_name

@@ -709,3 +709,28 @@ def run_score(tested: DataFrame) -> DataFrame:
     """40 x evidence rate + 60 x lead rate over (evidence BOOLEAN, lead BOOLEAN) rows."""
     return tested.agg(F.count("*").alias("tested"), F.count_if("evidence").alias("evidence_found"), F.count_if("lead").alias("leads")).select(
         "*", F.round(40 * F.col("evidence_found") / F.col("tested") + 60 * F.col("leads") / F.col("tested"), 1).alias("quality_score"))
+
+
+def node_search(nodes: DataFrame, queries: DataFrame, scores: DataFrame, limit: int = 20, threshold: float = 0.3, fetch: int | None = None) -> DataFrame:
+    """(query_id, id, similarity, composite, rank): nodes whose name or normalised name holds the query or is similar to it.
+
+    ``nodes`` is (id, name).  The similarity is the better one of both names; what is found is
+    ranked by the composite of it and the node's scores, all of it or the ``fetch`` most similar.
+    """
+    named = nodes.select("id", "name").unionByName(nodes.select("id", X.normalize_name("name").alias("name"))).where("name IS NOT NULL").distinct()
+    keyed = named.select(F.struct("id", "name").alias("name_id"), "name")
+    found = fuzzy_names(keyed, queries, threshold).groupBy("query_id", F.col("name_id.id").alias("id")).agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    if fetch is not None:
+        found = top_per(found, "query_id", fetch, F.desc("similarity"), "id").drop("rank")
+    rated = with_scores(found, scores, "node", "id")
+    rated = rated.withColumn("composite", F.round(composite(F.col("similarity"), F.col("pertinence"), F.col("suspicion"), F.col("confidence")), 6))
+    return top_per(rated, "query_id", limit, F.desc("composite"), "id").select("query_id", "id", "similarity", "composite", "rank")
+
+
+def unscored(messages: DataFrame, scores: DataFrame, topic_terms: list[str]) -> DataFrame:
+    """(unscored, on_topic): messages without a score, and those of them whose subject mentions a topic."""
+    low, hit = F.lower("subject"), F.lit(False)
+    for t in topic_terms:
+        hit = hit | F.contains(low, F.lit(t))
+    todo = messages.join(scores.select(F.col("target_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    return todo.agg(F.count("*").alias("unscored"), F.count_if(hit).alias("on_topic"))

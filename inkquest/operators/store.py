@@ -52,9 +52,20 @@ class KeyedStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def read(self) -> DataFrame:
-        """The merged rows of all batches applied so far."""
-        return self.merge(self._load([f for some in self._manifest()[2].values() for f in some]))
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """The merged rows of all batches applied so far; with ``keys`` only of the buckets that hold one of them."""
+        folders = self._manifest()[2]
+        if keys is not None:
+            wanted = {r["bucket"] for r in keys.select(self._bucket()).distinct().collect()}  # at most one row for each bucket
+            folders = {b: f for b, f in folders.items() if b in wanted}
+        return self.merge(self._load([f for some in folders.values() for f in some]))
+
+    def last_batch(self) -> int:
+        """The newest batch that was applied, -1 before the first."""
+        return self._manifest()[1]
 
     def apply(self, rows: DataFrame, batch_id: int) -> bool:
         """Merge a batch; False if it had been applied before.
@@ -65,7 +76,7 @@ class KeyedStore:
         if batch_id <= last:
             return False
         version += 1
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        bucket = self._bucket()
         self.merge(rows).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
         touched = [r["bucket"] for r in self.spark.read.parquet(f"{self.path}/data/v={version}").select("bucket").distinct().collect()] if self._wrote(version) else []
         for b in touched:

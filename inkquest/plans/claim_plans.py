@@ -124,3 +124,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY n DESC, other) AS
 SELECT c.party, trips, coalesce(count(other), 0) AS companions, string_agg(other || ':' || n, ',' ORDER BY rn) AS top_companions FROM c LEFT JOIN r ON r.party = c.party GROUP BY 1, 2""")
 def _(t):
     return C.party_dossiers(trips(t))
+
+
+@query("category_fields_D19", f"""WITH c AS (SELECT p_partkey AS doc_id, [CASE p_size % 5 WHEN 0 THEN 'cs.CL' WHEN 1 THEN 'q-bio' WHEN 2 THEN 'hep.th' WHEN 3 THEN 'stat.ML' ELSE 'math' END, 'cs.' || p_brand, lower(p_type)] AS cats FROM part),
+x AS (SELECT doc_id, split_part(unnest(cats), '.', 1) AS p FROM c), m AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in W.CATEGORY_FIELDS.items())}) AS v(p, field))
+SELECT doc_id, string_agg(DISTINCT field, '|' ORDER BY field) AS fields FROM x JOIN m USING (p) GROUP BY 1""")
+def _(t):
+    k = F.col("p_size") % 5
+    first = F.when(k == 0, "cs.CL").when(k == 1, "q-bio").when(k == 2, "hep.th").when(k == 3, "stat.ML").otherwise("math")
+    cats = t("part").select(F.col("p_partkey").alias("doc_id"), F.array(first, F.concat(F.lit("cs."), "p_brand"), F.lower("p_type")).alias("cats"))
+    return cats.select("doc_id", F.array_join(C.category_fields("cats"), "|").alias("fields"))

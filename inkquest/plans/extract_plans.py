@@ -208,3 +208,9 @@ def _(t):
 @query("highlight_entities_B22")
 def _(t):
     return t.text("documents", "doc_id").select("doc_id", P.highlight_spans("text", P.all_spans("text", D.COMPACT, 0)).alias("html"))
+
+
+@query("entity_totals_D10", f"""WITH {_COMPACT_SQL}, one AS (SELECT doc_id, kind, lower(value) AS k FROM ce WHERE length(value) >= 3 GROUP BY ALL), n AS (SELECT doc_id, kind, count(*) AS n FROM one GROUP BY 1, 2)
+SELECT doc_id, kind, n, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM n""")
+def _(t):
+    return D.entity_totals(D.merge_entities(D.compact_entities(t.text("documents", "doc_id"))))

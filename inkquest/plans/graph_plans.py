@@ -227,3 +227,26 @@ def _(t):
 @query("harmonic_centrality_H12")
 def _(t):
     return G.harmonic_centrality(edges(t))
+
+
+@query("explore_names_H6", f"""WITH {GRAPH}, q AS (SELECT n_nationkey AS query_id, lower(n_name) AS q FROM nation), n2 AS (SELECT id, lower(name) AS x FROM nd UNION SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9\\s]', '', 'g')) FROM nd),
+h AS (SELECT DISTINCT query_id, id FROM q JOIN n2 ON contains(x, q)), b AS (SELECT src AS id, 'out' AS direction, type, dst AS other FROM ed UNION ALL SELECT dst, 'in', type, src FROM ed)
+SELECT CAST(query_id AS BIGINT) AS query_id, b.id, direction, b.type, other, name AS other_name FROM h JOIN b ON b.id = h.id JOIN nd ON nd.id = other""")
+def _(t):
+    asked = t("nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.col("n_name").alias("name"))
+    return G.explore_names(asked, edges(t), nodes(t))
+
+
+# asked by an exact name, by a part of one, and by none
+@query("network_centres_H7", f"""WITH {GRAPH}, d AS (SELECT id, count(*)::DOUBLE AS c FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1), n AS (SELECT nd.id, type, lower(name) AS name, coalesce(c, 0) AS c FROM nd LEFT JOIN d ON d.id = nd.id),
+q AS (SELECT id AS query_id, CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN left(name, length(name) - 1) ELSE '' END AS q FROM n WHERE type = 'location' AND name <> ''),
+e AS (SELECT query_id, id, c FROM q JOIN n ON name = q WHERE q <> ''), p AS (SELECT query_id, id, c FROM q JOIN n ON contains(name, q) WHERE q <> '' AND query_id NOT IN (SELECT query_id FROM e)),
+u AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS r FROM (FROM e UNION ALL FROM p)), f AS (SELECT id FROM n WHERE type = 'person' ORDER BY c DESC, id LIMIT 5)
+SELECT query_id, id FROM u WHERE r = 1 UNION ALL SELECT query_id, f.id FROM q, f WHERE q = ''""")
+def _(t):
+    n, e = nodes(t), edges(t)
+    k = F.col("id") % 3
+    name = F.when(k == 0, F.lower("name")).when(k == 1, F.expr("left(lower(name), length(name) - 1)")).otherwise("")
+    asked = n.where("type = 'location'").select(F.col("id").alias("query_id"), name.alias("name"))
+    degree = G.degrees(e, n).select("id", F.col("degree").cast("double").alias("centrality"))
+    return G.centres(asked, n, degree)

@@ -288,3 +288,32 @@ def _(t):
     p = t("part")
     bt = lambda c: p.where(c).select("p_brand", "p_type")
     return bt("p_size > 20").intersect(bt("p_retailprice < 1500")).subtract(bt("p_size = 45"))
+
+
+@query("claim_listing_G12", """SELECT o_orderkey AS claim_id, o_orderpriority AS field, o_orderdate AS created_at FROM orders
+WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND CAST(o_orderkey AS VARCHAR) ILIKE '%7%' ORDER BY o_orderdate DESC, o_orderkey""")
+def _(t):
+    c = t("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderpriority").alias("field"), F.col("o_orderkey").cast("string").alias("claim"),
+                           (F.col("o_orderstatus") == "F").alias("relevant"), F.col("o_orderdate").alias("created_at"))
+    return R.list_claims(c, "1-URGENT", "7", True).select("claim_id", "field", "created_at")
+
+
+@query("pattern_listing_G12", "SELECT p_partkey AS pattern_id, p_retailprice AS confidence FROM part WHERE p_brand = 'Brand#1' OR p_type = 'ECONOMY' OR p_brand = 'Brand#10' ORDER BY p_retailprice DESC, p_partkey")
+def _(t):
+    p = t("part").select(F.col("p_partkey").alias("pattern_id"), F.array("p_brand", "p_type").alias("domains"), F.col("p_retailprice").alias("confidence"))
+    return R.list_patterns(p, ["Brand#1", "ECONOMY", "Brand#10"]).select("pattern_id", "confidence")
+
+
+@query("open_gaps_G12", "SELECT o_orderkey AS gap_id, o_totalprice AS priority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '5-LOW' ORDER BY o_totalprice DESC, o_orderkey")
+def _(t):
+    g = t("orders").select(F.col("o_orderkey").alias("gap_id"), F.col("o_orderpriority").alias("field"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"),
+                           F.col("o_totalprice").alias("priority"))
+    return R.list_gaps(g, "5-LOW").select("gap_id", "priority")
+
+
+@query("timeline_between_H11", """SELECT title, date, category FROM (SELECT o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'hot' ELSE 'other' END AS category FROM orders)
+WHERE contains(lower(title), 'urgent') AND date BETWEEN '1995-03-01' AND '1996-02-29'""")
+def _(t):
+    cur = t("orders").select(F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    events = cur.limit(0).select(F.col("title").alias("name"))
+    return R.timeline_between(R.merged_timeline(cur, events, {"hot": ["urgent"]}), "Urgent", "1995-03-01", "1996-02-29")

@@ -442,3 +442,48 @@ def _(t):
     first = E.ranked(scored, 50).groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"].cast("string")), ",").alias("ids"))
     return total.join(first, "query_id").select("query_id", "results", "ids", evidence_hash("query_id", "results", "ids").alias("evidence_hash"))
+
+
+_NODE_SCORES = "nsc AS (SELECT 'node' AS target_type, s_suppkey AS target_id, CAST(s_suppkey * 7 % 60 AS INTEGER) AS suspicion, CAST(s_suppkey * 3 % 100 AS INTEGER) AS pertinence, 60 AS confidence FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+# every fifth supplier asked for by its name without the last character, written without punctuation
+@query("node_search_E8", f"""WITH {_NODE_SCORES}, nn AS (SELECT s_suppkey AS id, s_name AS name, trim(regexp_replace(lower(s_name), '[^a-z0-9\\s]', '', 'g')) AS norm FROM supplier),
+nq AS (SELECT id AS query_id, left(norm, length(norm) - 1) AS query FROM nn WHERE id % 5 = 0), b AS (SELECT id, name, {_TRI('name')} AS a FROM nn UNION SELECT id, norm, {_TRI('norm')} FROM nn),
+p AS (SELECT query_id, id, contains(lower(name), lower(query)) AS inside, a, {_TRI('query')} AS b FROM b, nq),
+s AS (SELECT query_id, id, round(max(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b)))), 6) AS similarity FROM p
+  WHERE inside OR len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) > 0.3 GROUP BY 1, 2),
+c AS (SELECT query_id, id, similarity, round(0.4 * similarity + 0.3 * coalesce(pertinence, 50) / 100 + 0.2 * coalesce(suspicion, 0) / 100 + 0.1 * coalesce(confidence, 50) / 100, 6) AS composite
+  FROM s LEFT JOIN nsc ON target_id = id) {topk('c', 20, 'composite DESC, id', cols='query_id, id, similarity, composite')}""")
+def _(t):
+    s = t("supplier")
+    nodes = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    norm = X.normalize_name("name")
+    asked = nodes.where("id % 5 = 0").select(F.col("id").alias("query_id"), norm.alias("q")).select("query_id", F.expr("left(q, length(q) - 1)").alias("query"))
+    k = F.col("s_suppkey")
+    rated = s.where("s_suppkey % 3 <> 0").select(F.lit("node").alias("target_type"), k.alias("target_id"), F.pmod(k * 7, F.lit(60)).alias("suspicion"),
+                                                F.pmod(k * 3, F.lit(100)).alias("pertinence"), F.lit(60).alias("confidence"))
+    return E.node_search(nodes, asked, rated, 20)
+
+
+@query("unscored_messages_E25", f"""WITH {S.MESSAGES}, {S.SCORES} SELECT count(*) AS unscored, count(*) FILTER (contains(lower(subject), 'the') OR contains(lower(subject), 'ent')) AS on_topic
+FROM messages WHERE doc_id NOT IN (SELECT target_id FROM scores)""")
+def _(t):
+    return E.unscored(messages(t), scores(t), ["the", "ent"])
+
+
+# every passage is a trail; its words of five letters or more are the targets, the first two of each trail are run
+@query("explore_trails_E26")
+def _(t):
+    from ..operators import trails
+    d, text = corpus(t)
+    path = shared_dir(t.spark, "trail-index")
+    E.build_index(d, text).save(path)
+    words = passages(t).select(F.col("query_id").alias("trail"), F.posexplode(F.array_distinct(F.filter(X.tokenize("query"), lambda w: F.length(w) >= 5))).alias("ord", "query"))
+    subject = messages(t).select("doc_id", F.explode(F.array_distinct(F.filter(X.tokenize("subject"), lambda w: F.length(w) >= 6))).alias("suggestion"))
+
+    def suggest(hits):
+        seen = hits.join(subject, "doc_id").groupBy("query_id", "suggestion").agg(F.count("*").alias("n"))
+        return E.top_per(seen, "query_id", 5, F.desc("n"), "suggestion", rank="ord").select("query_id", "ord", "suggestion", (F.col("n") > 1).alias("relevant"), F.lit(False).alias("noise"))
+
+    return trails.explore_trails(words, lambda q: E.tfidf_search(None, q, 12, stored=path), suggest, t("labels").where("quality = 1").select("doc_id"), max_queries=2)

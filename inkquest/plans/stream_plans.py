@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as A, reports as R
 from ..session import shared_dir
-from ..streaming import jobs as J
+from ..streaming import jobs as J, known
 from ..sources import readers as SR
 from .registry import query
 from .source_plans import responses
@@ -131,3 +131,16 @@ def _write_batches(df, folder: str, key: str, n: int) -> str:
     for k in range(n):
         df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(folder)
     return folder
+
+
+@query("inbox_known_T1", """SELECT status, count(*) AS n, CAST(sum(length(h)) AS BIGINT) AS chars FROM (SELECT h, CASE WHEN length(trim(h)) < 50 THEN 'too_short' WHEN row_number() OVER (PARTITION BY h ORDER BY conv_id) > 1 THEN 'duplicate' ELSE 'inserted' END AS status
+ FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) || chr(10) AS h FROM conversations GROUP BY 1)) GROUP BY 1""")
+def _(t):
+    # every conversation becomes one file of the inbox; they are taken in four batches that know each other by filters
+    c = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("value"))
+    folder = shared_dir(t.spark, "inbox")
+    c.write.partitionBy("conv_id").text(folder)
+    inbox = known.Inbox(t.spark, shared_dir(t.spark, "ingested"), groups=8, bits=1 << 16)
+    files = t("conversations").select("conv_id").distinct().count()
+    inbox.follow(folder, shared_dir(t.spark, "inbox-ckpt"), -(-files // 4))
+    return inbox.progress().select("status", "n", "chars")

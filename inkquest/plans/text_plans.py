@@ -314,3 +314,11 @@ def _(t):
     e = t("events").select("event_id", old.alias("o"), new.alias("n"))
     m = e.select("event_id", X.map_merge("o", "n").alias("m"))
     return m.select("event_id", *[F.col("m")[k].alias(k) for k in ("k", "kind", "usr")])
+
+
+@query("role_accounts_B20", rf"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Info@' WHEN 1 THEN 'bob@' ELSE source || '@' END || lang || '.example' AS sender FROM documents)
+SELECT doc_id, (list_contains({S.lst(W.ROLE_LOCALS)}, lower(split_part(sender, '@', 1))) OR length(split_part(sender, '@', 1)) < 4) AS is_role FROM p""")
+def _(t):
+    k = F.col("doc_id") % 4
+    sender = F.concat(F.when(k == 0, "Info@").when(k == 1, "bob@").otherwise(F.concat("source", F.lit("@"))), "lang", F.lit(".example"))
+    return t("documents").select("doc_id", X.is_role_account(sender).alias("is_role"))
