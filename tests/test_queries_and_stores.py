@@ -206,3 +206,39 @@ def test_harmonic_centrality_within_its_error(spark):
     for n in near:
         assert abs(got[n] - exact(n)) <= 0.1 * exact(n) + 0.5
     assert G.harmonic_centrality(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------ known texts
+
+
+def test_an_inbox_in_one_or_many_batches(spark, tmp_path):
+    from inkquest.streaming import known
+
+    texts = [f"text number {k % 23} " * 5 for k in range(60)] + ["short"] * 3
+    rows = [(f"f{k:02d}", t) for k, t in enumerate(texts)]
+    make = lambda part: spark.createDataFrame(part, "doc_id string, text string")
+    totals = []
+    for name, cuts in (("one", [0, 63]), ("many", [0, 9, 9, 30, 50, 63])):
+        inbox = known.Inbox(spark, str(tmp_path / name), groups=4, bits=1 << 10)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            inbox.take(make(rows[a:b]), k)
+            inbox.take(make(rows[a:b]), k)  # replayed
+        totals.append({r["status"]: (r["n"], r["chars"]) for r in inbox.progress().collect()})
+        docs = spark.read.schema("doc_id string, text string").parquet(str(tmp_path / name / "documents")).collect()
+        assert len(docs) == len({r["text"] for r in docs}) == 23
+        assert spark.read.parquet(str(tmp_path / name / "nodes")).count() == 23
+    assert totals[0] == totals[1] and {s: n for s, (n, _) in totals[0].items()} == {"inserted": 23, "duplicate": 37, "too_short": 3}
+
+
+def test_filters_miss_no_known_hash(spark, tmp_path):
+    from inkquest.streaming.known import KnownHashes
+
+    store = KnownHashes(spark, str(tmp_path / "k"), groups=3, bits=256, sets=3)
+    make = lambda ids: spark.createDataFrame([(f"h{k}",) for k in ids], "hash string")
+    for b in range(2):
+        store.add(make(range(b * 20, b * 20 + 20)), b)
+    asked = make(range(0, 400))
+    assert {r["hash"] for r in store.known(asked).collect()} == {f"h{k}" for k in range(40)}
+    maybe = store.maybe(asked).count()
+    assert 40 <= maybe < 300
+    assert store.known(make([])).count() == 0
