@@ -71,6 +71,7 @@ def sample(docs: DataFrame, lab: DataFrame) -> DataFrame:
     Texts of more than 1/64 of the bytes come after all others, and one that exceeds them alone is passed over.
     """
     order = F.xxhash64("doc_id", F.lit(7))
+    lab = lab.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of documents that are not there take no place
     parts = [lab.where(F.col("label") == k).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     size = F.octet_length(F.coalesce("text", F.lit("")))

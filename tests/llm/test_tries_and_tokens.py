@@ -314,3 +314,13 @@ def test_blocks_grow_with_the_input():
 
     assert [simhash.blocks_for(n, 8) for n in (1, 100_000, 1_000_000, 50_000_000)] == [2, 2, 3, 4]
     assert len(simhash._masks(8, 3)) == 165 and all(m.bit_count() >= 15 for m in simhash._masks(8, 3))
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark, monkeypatch):
+    from inkquest.llm import quality
+
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 100)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(0, 20_000, 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 200 == 0)) for k in range(20_000)], "doc_id long, quality int")
+    got = quality.sample(docs, quality.labelled(labels)).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {0: 100, 1: 100}
