@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Texts of one round of merges, and words kept by a Python worker before it starts afresh.
-BATCH_CHARS, KEPT_WORDS = 2_000_000, 400_000
+BATCH_CHARS, KEPT_WORDS = 500_000, 100_000
 #: Split pattern of the byte-level vocabulary (fixed value), and the same for texts without the characters in ODD.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")

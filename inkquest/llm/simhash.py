@@ -20,7 +20,7 @@ STAGE_SHINGLE, STAGE_BUDGET, STAGE_SIMILARITY = 5, 8, 0.8
 #: Fingerprints by which a joined group is held while wider links are searched, and those that may share a value of the blocks on average.
 GROUP_SHOWN, FEW = 32, 64
 #: Node pairs that are held at once while a trie is walked.
-FRONTIER = 200_000
+FRONTIER = 15_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
