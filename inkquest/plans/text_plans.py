@@ -204,7 +204,7 @@ SELECT doc_id, round(h, 6) AS entropy, h > 7.5 AS is_anomalous,
  round(CASE WHEN text = '' THEN 0 ELSE (0.7 * h / CASE WHEN d > 1 THEN log2(d) ELSE 1 END + 0.3 * d / length(text)) * 100 END, 4) AS uniqueness FROM e""")
 def _(t):
     h = X.char_entropy("text")
-    return t("documents").select("doc_id", F.round(h, 6).alias("entropy"), (h > 7.5).alias("is_anomalous"),
+    return t.text("documents", "doc_id").select("doc_id", F.round(h, 6).alias("entropy"), (h > 7.5).alias("is_anomalous"),
                                  F.round(X.uniqueness_score("text"), 4).alias("uniqueness"))
 
 
@@ -236,9 +236,8 @@ def _(t):
 
 @query("hit_window_B17")
 def _(t):
-    from ..operators.terms import query_hits
-    return query_hits(t("documents"), t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).select(
-        "query_id", "doc_id", X.hit_window("text", "terms").alias("window"))
+    from ..operators.terms import query_windows
+    return query_windows(t.text("documents", "doc_id"), t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 # ---- B18, B19

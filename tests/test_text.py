@@ -174,3 +174,24 @@ def test_attachment_checks(spark):
     assert got[2].findings == "extension_mismatch"
     assert got[3].findings == "trailing_data" and got[3].hidden
     assert got[4].findings == "location_marks" and got[4].trailing_bytes == 0
+
+
+def test_entropy_reads_a_text_once_and_keeps_the_edges(spark):
+    rows = spark.createDataFrame([(1, "aabb"), (2, ""), (3, None), (4, "é😀é😀")], "k int, t string")
+    got = {r["k"]: (r["h"], r["u"]) for r in rows.select("k", X.char_entropy("t").alias("h"), X.uniqueness_score("t").alias("u")).collect()}
+    assert got[1][0] == 1.0 and got[2] == (0.0, 0.0) and got[3] == (None, 0.0) and got[4][0] == 1.0
+    plan = rows.select(X.char_entropy("t").alias("h"), X.uniqueness_score("t").alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_windows_are_those_of_every_query_and_text(spark):
+    from inkquest.operators import terms as T
+
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"{words} Blue! {words} red"), (2, "co-op of blue"), (3, "nothing"), (4, "red-blue tail")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "blue red"), (2, "co coop"), (3, "tail absent"), (4, "")], "query_id long, query string")
+    want = T.query_hits(docs, queries).select("query_id", "doc_id", X.hit_window("text", "terms").alias("window"))
+    got = T.query_windows(docs, queries)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
+    # a text meets its queries once, as one row
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
