@@ -138,9 +138,10 @@ def _(t):
 
 def responses(t):
     """Each order as a fenced model response about its customer and suppliers; status P orders are cut short."""
-    li = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "l_suppkey").distinct().groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").agg(
-        F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    # both tables are dealt by the order once
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition("o_orderkey").distinct()
+    li = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
     cust = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))
     def sup(x):
         return F.concat(F.lit("Supplier "), x.cast("string"))
@@ -162,8 +163,9 @@ SELECT o_orderkey AS batch_id, NULL::VARCHAR AS error, o_orderkey AS source_id,
 UNION ALL SELECT DISTINCT o_orderkey, 'unparsable response', NULL, NULL, NULL FROM x WHERE o_orderstatus = 'P'""")
 def _(t):
     p = R.parse_responses(responses(t))
-    edges = R.response_part(p, "edges").select("batch_id", F.lit(None).cast("string").alias("error"), "source_id", "from", "to")
-    return edges.unionByName(p.where("error is not null").select("batch_id", "error"), allowMissingColumns=True)
+    # edges and errors from one reading of the responses
+    edges = p.select("batch_id", "error", F.col("doc_id").alias("source_id"), F.explode_outer("edges").alias("x")).where("error is not null or x is not null")
+    return edges.select("batch_id", "error", "source_id", "x.from", "x.to")
 
 
 _READ = "x AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P')"

@@ -123,14 +123,16 @@ s AS (SELECT type, name_normalized, string_agg('"d' || d || '":' || m, ',' ORDER
 SELECT k.type, k.name_normalized, arg_min(name, seq) AS name, min(seq) AS source_id, count(*) AS mentions, '{"last":' || max(seq) || ',"seen":{' || any_value(seen) || '}}' AS metadata
 FROM k JOIN s ON s.type = k.type AND s.name_normalized = k.name_normalized GROUP BY 1, 2""")
 def _(t):
-    return J.graph_stream(t.spark, _write_batches(_graph_batches(t), shared_dir(t.spark, "graph-in"), "source_id", 5), shared_dir(t.spark, "graph"), shared_dir(t.spark, "graph-ckpt")).nodes()
+    folder = shared_dir(t.spark, "graph-in")
+    per_batch = _write_batches(_graph_batches(t), folder, "source_id", 5)
+    return J.graph_stream(t.spark, folder, shared_dir(t.spark, "graph"), shared_dir(t.spark, "graph-ckpt"), per_batch).nodes()
 
 
-def _write_batches(df, folder: str, key: str, n: int) -> str:
-    """A table as ``n`` files that a stream takes one by one, dealt by a hash of a key."""
-    for k in range(n):
-        df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+def _write_batches(df, folder: str, key: str, n: int) -> int:
+    """A table as files dealt by a hash of a key, computed once and written by all tasks; how many of them make an ``n``-th."""
+    files = max(4 * n, df.sparkSession.sparkContext.defaultParallelism)
+    df.repartition(files, key).write.parquet(folder)
+    return -(-files // n)
 
 
 @query("inbox_known_T1", """SELECT status, count(*) AS n, CAST(sum(length(h)) AS BIGINT) AS chars FROM (SELECT h, CASE WHEN length(trim(h)) < 50 THEN 'too_short' WHEN row_number() OVER (PARTITION BY h ORDER BY conv_id) > 1 THEN 'duplicate' ELSE 'inserted' END AS status
