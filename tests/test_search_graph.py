@@ -261,3 +261,30 @@ def test_suggestions(spark):
     df = spark.createDataFrame(rows, "query_id long, query string, pos int, suggestion string")
     assert [r.suggestion for r in rules.filter_suggestions(df, ["topic"], ["spam"]).orderBy("rank").collect()] == ["topic words"]
     assert [r.suggestion for r in rules.filter_suggestions(df, ["topic"], ["spam"], strict=False).orderBy("rank").collect()] == ["topic words", "Beta Gamma Club"]
+
+
+@pytest.mark.parametrize("method", ["levenshtein", "ratio"])
+def test_names_of_one_pattern_meet_by_what_differs(spark, method):
+    """Numbered names share their beginning; only those that may be similar are compared, copies once."""
+    from difflib import SequenceMatcher
+
+    kind = "Supplier#%09d"
+    rows = [(i, "t", kind % (i * 37 % 900)) for i in range(1000)] + [(2000, "u", kind % 1), (2001, "t", "x" * 70), (2002, "t", "x" * 69 + "y"), (2003, "t", "é" * 9), (2004, "t", "é" * 8)]
+    df = spark.createDataFrame(rows, "id long, type string, name string")
+    got = {(r.id_a, r.id_b): r.similarity for r in G.similar_names(df, method=method).collect()}
+    low = {i: n.lower() for i, _, n in rows}
+    sim = {}
+    for a in set(low.values()):
+        for b in set(low.values()):
+            sim[a, b] = 1 - _lev(a, b) / max(len(a), len(b)) if method == "levenshtein" and a <= b else SequenceMatcher(None, a, b).ratio() if method == "ratio" else 0
+    want = {(i, j): round(s, 6) for (i, t, _), (j, u, _) in combinations(rows, 2) if t == u
+            and (s := sim[low[i], low[j]] if method == "ratio" else sim[min(low[i], low[j]), max(low[i], low[j])]) >= 0.85 - 1e-12}
+    assert got == want
+    one, lengths = G._distinct_names(df)
+    plan = G._variant_plan(lengths, 0.85, method)
+    few = {k: v for k, v in plan.items() if G._few_variants(v, *k)}
+    assert (18, 18) in few and (70, 70) not in few
+    if method == "levenshtein":
+        ends = {r.id: r.component for r in G.components(G.name_links(df)).collect()}
+        assert ends == {r.id: r.component for r in G.components(spark.createDataFrame(list(want), "id_a long, id_b long")).collect()}
+        assert G.name_links(df).count() < len(want)
