@@ -139,7 +139,7 @@ k AS (SELECT c, arg_min(comp.id, (length(name), comp.id)) AS canonical_id FROM c
 SELECT comp.id, canonical_id, name AS alias FROM comp JOIN k USING (c) JOIN nm ON nm.id = comp.id WHERE comp.id <> canonical_id""")
 def _(t):
     n = names(t)
-    return G.merge_nodes(n, G.similar_names(n))
+    return G.merge_nodes(n, G.name_links(n))
 
 
 @query("rewire_edges_H4", f"""WITH {GRAPH}, mg AS (SELECT s_suppkey * 2 + 1 AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) * 2 + 1 AS c FROM supplier)
