@@ -288,3 +288,16 @@ def test_names_of_one_pattern_meet_by_what_differs(spark, method):
         ends = {r.id: r.component for r in G.components(G.name_links(df)).collect()}
         assert ends == {r.id: r.component for r in G.components(spark.createDataFrame(list(want), "id_a long, id_b long")).collect()}
         assert G.name_links(df).count() < len(want)
+
+
+def test_node_search_hands_on_only_what_may_be_best(spark):
+    """Numbered nodes are all similar; the best are those of the search that keeps all pairs."""
+    nodes = spark.createDataFrame([(k, f"Supplier#{k:09d}") for k in range(0, 2400, 3)] + [(5000, "lier"), (5001, "#"), (5002, None)], "id long, name string")
+    asked = spark.createDataFrame([(k, f"supplier{k:08d}") for k in range(0, 240, 9)] + [(-1, "lie"), (-2, "??")], "query_id long, query string")
+    scores = spark.createDataFrame([("node", k, k * 7 % 60, k * 3 % 100, 60) for k in range(0, 2400, 6)], "target_type string, target_id long, suspicion int, pertinence int, confidence int")
+    got = {tuple(r) for r in E.node_search(nodes, asked, scores, 5).collect()}
+    assert got == {tuple(r) for r in E.node_search(nodes, asked, scores, 5, fetch=100_000).collect()}
+    named = nodes.where("name IS NOT NULL")
+    ids = E.with_scores(named.select("id"), scores, "node", "id")
+    n = E._similar_blocks(named, asked, ids, 5, 0.3, block=300, query_block=10).count()
+    assert 0 < n < 27 * 802 / 4
