@@ -301,3 +301,16 @@ def test_node_search_hands_on_only_what_may_be_best(spark):
     ids = E.with_scores(named.select("id"), scores, "node", "id")
     n = E._similar_blocks(named, asked, ids, 5, 0.3, block=300, query_block=10).count()
     assert 0 < n < 27 * 802 / 4
+
+
+def test_gram_join_reads_long_texts_once(spark):
+    """The grams of a text of a million characters are found in one pass, line ends and characters beyond 16 bits included."""
+    import time
+
+    words = " ".join(f"w{k * 7919 % 100_003}" for k in range(160_000))
+    d = spark.createDataFrame([(1, words), (2, "abc\ndefgh and \U0001f600smile"), (3, ""), (4, None), (5, "no")], "doc_id long, text string")
+    t = spark.createDataFrame([("w7919 w15838",), ("c\ndef",), ("\U0001f600smil",), ("absent word",), ("w7919 w15839",)], "term string")
+    begun = time.time()
+    got = {(r.doc_id, r.term) for r in E.substring_join(d, t, small=0, by_gram=True).collect()}
+    assert got == {(1, "w7919 w15838"), (2, "c\ndef"), (2, "\U0001f600smil")}
+    assert time.time() - begun < 60
