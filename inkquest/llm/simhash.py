@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import broadcast_checked, staged
 from .components import components
@@ -17,8 +17,10 @@ SHINGLE, SEED, BUDGET = 3, 42, 2
 TRIE_ROWS, TOP_BITS = 50_000, 8
 #: Stages of a pipeline link texts by five words and this similarity, looked for within so many bits (see README for what they find).
 STAGE_SHINGLE, STAGE_BUDGET, STAGE_SIMILARITY = 5, 8, 0.8
-#: Fingerprints by which a joined group is held while wider links are searched, and those that may share a value of the blocks on average.
-GROUP_SHOWN, FEW = 32, 64
+#: Fingerprints that may share a value of the blocks on average.
+FEW = 64
+#: Held a joined group by some of its fingerprints; read by nothing since all of them are searched, kept for callers that set it.
+GROUP_SHOWN = 32
 #: Node pairs that are held at once while a trie is walked.
 FRONTIER = 15_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -55,15 +57,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     return staged(src.mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest), "fingerprints")
 
 
-def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``budget`` differing bits, for pairs of trie nodes.
+def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``budget`` differing bits, for pairs of trie nodes; with ``of`` only those of different groups.
 
     ``fps`` is sorted (unsigned) inside every node; a span (a0, a1, b0, b1) is a pair of nodes,
     or one node with itself.  Both nodes of a pair step down one bit together: equal bits keep
     the error, unequal ones add one, and pairs over the budget are cut with all below them.
     A node is a range of the sorted array, so its children are found from counts of set bits.
+    Nodes that hold one and the same group are left at once, however many it has.
     """
     n = len(fps)
+    turns = None if of is None else np.cumsum(np.r_[0, of[1:] != of[:-1]])
     if not spans:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     ones = np.zeros((64, n + 1), np.int32)
@@ -78,6 +82,9 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
             half = f.shape[1] // 2
             stack += [(level, f[:, :half]), (level, f[:, half:])]
             continue
+        if turns is not None and f.shape[1]:
+            a0, a1, b0, b1, _ = f
+            f = f[:, ~((of[a0] == of[b0]) & (turns[a0] == turns[a1 - 1]) & (turns[b0] == turns[b1 - 1]))]
         a0, a1, b0, b1, d = f
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
@@ -119,12 +126,12 @@ def _free_shift(mask: int, width: int) -> int:
 
 def _walk(budget: int, masks: list[int]):
     """Trie joins over rows sorted by group; a group that spans batches is carried on."""
-    def join(gid: list[np.ndarray], fp: np.ndarray) -> pa.RecordBatch:
+    def join(gid: list[np.ndarray], fp: np.ndarray, of: np.ndarray | None = None) -> pa.RecordBatch:
         m, node_a, node_b, shift = gid[0], gid[2], gid[3], gid[4]
         change = np.flatnonzero(np.r_[True, np.any([g[1:] != g[:-1] for g in gid], axis=0)])
         ends = np.r_[change[1:], len(fp)]
         order = np.lexsort([fp, np.repeat(np.arange(len(change)), ends - change)])
-        fp = fp[order]
+        fp, of = fp[order], None if of is None else of[order]
         spans = []
         for s, e in zip(change.tolist(), ends.tolist()):
             if node_a[s] == node_b[s]:
@@ -134,9 +141,11 @@ def _walk(budget: int, masks: list[int]):
                 in_b = ((fp[s:e] >> np.uint64(shift[s])) & np.uint64((1 << TOP_BITS) - 1)) == np.uint64(node_b[s])
                 part = np.argsort(in_b, kind="stable")
                 fp[s:e] = fp[s:e][part]
+                if of is not None:
+                    of[s:e] = of[s:e][part]
                 k = s + int((~in_b).sum())
                 spans.append((s, k, k, e))
-        x, y = trie_join(fp, [p for p in spans if p[0] < p[1] and p[2] < p[3]], budget)
+        x, y = trie_join(fp, [p for p in spans if p[0] < p[1] and p[2] < p[3]], budget, of)
         diff = fp[x] ^ fp[y]
         lowest = np.full(len(x), len(masks))
         for k in range(len(masks) - 1, -1, -1):
@@ -155,13 +164,13 @@ def _walk(budget: int, masks: list[int]):
                 held.append([c[:cut] for c in cols])
                 whole = [np.concatenate(c) for c in zip(*held)]
                 if len(whole[0]):
-                    yield join(whole[:5], whole[5].view(np.uint64))
+                    yield join(whole[:5], whole[5].view(np.uint64), *whole[6:])
                 held = []
             held.append([c[cut:] for c in cols])
         if held:
             whole = [np.concatenate(c) for c in zip(*held)]
             if len(whole[0]):
-                yield join(whole[:5], whole[5].view(np.uint64))
+                yield join(whole[:5], whole[5].view(np.uint64), *whole[6:])
 
     return run
 
@@ -173,21 +182,22 @@ def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agre
     ``agree`` whole blocks (two at first), so each fingerprint is sent once for every choice of
     them and a trie is built for each value.  Where more than ``trie_rows`` fingerprints share a value, the top levels of
     its trie are opened on Spark: each fingerprint goes to the pairs of top nodes that its own
-    node forms within the budget.
+    node forms within the budget.  If ``fps`` has a ``component`` for each fp, only pairs of different ones are returned.
     """
     masks = _masks(budget, agree)
-    f = fps.select("fp").where("fp IS NOT NULL").distinct()
-    keyed = f.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"),
+    of = [c for c in ("component",) if c in fps.columns]
+    f = fps.select("fp", *of).where("fp IS NOT NULL").distinct()
+    keyed = f.select("fp", *of, F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"),
                                                         F.lit(_free_shift(m, TOP_BITS)).alias("s")) for k, m in enumerate(masks)])).alias("g"))
-    keyed = keyed.select("fp", "g.m", "g.v", "g.s")
+    keyed = keyed.select("fp", *of, "g.m", "g.v", "g.s")
     size = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
     sized = keyed.join(size, ["m", "v"])
     flips = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(TOP_BITS), k)]
     node = F.expr(f"CAST(shiftrightunsigned(fp, s) & {(1 << TOP_BITS) - 1} AS INT)")
-    small = sized.where(F.col("n") <= trie_rows).select("m", "v", F.lit(0).alias("na"), F.lit(0).alias("nb"), "s", "fp")
-    large = sized.where(F.col("n") > trie_rows).select("m", "v", "s", "fp", node.alias("node"), F.explode(F.array(*map(F.lit, flips))).alias("x"))
+    small = sized.where(F.col("n") <= trie_rows).select("m", "v", F.lit(0).alias("na"), F.lit(0).alias("nb"), "s", "fp", *of)
+    large = sized.where(F.col("n") > trie_rows).select("m", "v", "s", "fp", *of, node.alias("node"), F.explode(F.array(*map(F.lit, flips))).alias("x"))
     other = F.col("node").bitwiseXOR(F.col("x"))
-    large = large.select("m", "v", F.least("node", other).alias("na"), F.greatest("node", other).alias("nb"), "s", "fp")
+    large = large.select("m", "v", F.least("node", other).alias("na"), F.greatest("node", other).alias("nb"), "s", "fp", *of)
     group = ["m", "v", "na", "nb", "s"]
     return small.unionByName(large).repartition(*group[:4]).sortWithinPartitions(*group).mapInArrow(_walk(budget, masks), "a long, b long")
 
@@ -260,9 +270,8 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
     Texts of equal fingerprint over ``size``-word shingles are one group.  Others are linked if
     their fingerprints differ in at most ``budget`` bits and the Jaccard similarity of their shingles is
     at least ``similarity``, which is computed for every pair that the trie join finds.
-    Narrow links are taken first; a group that these join is held by at most ``GROUP_SHOWN`` of
-    its fingerprints when wide ones are searched, so that a large group of near copies does not
-    become all its pairs.  A row is known by its doc_id and a hash of its text, so rows that
+    Narrow links are taken first; wide ones are searched between the groups that these join only,
+    so that a large group of near copies does not become all its pairs.  A row is known by its doc_id and a hash of its text, so rows that
     share an id, or have none, stay or go each with its own group.
     """
     rows = fingerprints(docs, digest=True, size=size)
@@ -279,14 +288,8 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
 
     near = staged(linked(links(nodes, min(budget, BUDGET))), "links")
     group = staged(_with_component(nodes, near), "groups")
-    order = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("fp"), "fp"))
-    thinned = group.join(group.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_SHOWN), "component")
-    shown = group.join(thinned.select("component").distinct(), "component", "left_anti").select("fp", "component").unionByName(
-        thinned.withColumn("k", order).where(F.col("k") <= GROUP_SHOWN).select("fp", "component"))
-    far = links(shown, budget, agree=blocks_for(nodes.count(), budget))
-    of = group.select("fp", "component")
-    apart = far.join(of.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
-    every = near.unionByName(linked(apart.select("a", "b")))
+    far = links(group.select("fp", "component"), budget, agree=blocks_for(nodes.count(), budget))
+    every = near.unionByName(linked(far))
     nodes = _with_component(nodes, every)
     best = nodes.groupBy("component").agg(F.min("low").alias("best"))
     own = staged(keys.join(nodes.select("fp", "component").join(best, "component").select("fp", "best"), "fp").select(

@@ -324,3 +324,24 @@ def test_labels_of_absent_documents_take_no_place_in_the_sample(spark, monkeypat
     labels = spark.createDataFrame([(k, int(k % 200 == 0)) for k in range(20_000)], "doc_id long, quality int")
     got = quality.sample(docs, quality.labelled(labels)).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in got} == {0: 100, 1: 100}
+
+
+def test_links_between_groups_leave_no_fingerprint_out(spark):
+    """Of large groups every fingerprint is searched for wide links, also where the top of a trie is opened."""
+    from inkquest.llm import simhash
+
+    rng = random.Random(3)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = {}
+    for g in range(6):
+        head = rng.getrandbits(64)
+        rows |= {flip(head, 2): g for _ in range(120)}
+        rows |= {flip(x, rng.randint(3, 8)): 100 * g + k + 10 for k, x in enumerate(rng.sample([x for x, c in rows.items() if c == g], 15))}
+    want = {tuple(sorted((signed(a), signed(b)))) for a in rows for b in rows if a < b and rows[a] != rows[b] and (a ^ b).bit_count() <= 8}
+    df = spark.createDataFrame([(signed(x), g) for x, g in rows.items()], "fp long, component long")
+    assert len(want) > 90
+    for trie_rows in (50_000, 40):
+        got = [tuple(sorted(r)) for r in simhash.links(df, 8, trie_rows).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert simhash.links(df.select("fp"), 8).count() > 20_000
