@@ -21,24 +21,37 @@ STAGE_SHINGLE, STAGE_BUDGET, STAGE_SIMILARITY = 5, 8, 0.8
 FEW = 64
 #: Held a joined group by some of its fingerprints; read by nothing since all of them are searched, kept for callers that set it.
 GROUP_SHOWN = 32
+#: Links of a fingerprint that are tried first in each trie, and found pairs that are held before they are cut to those.
+CLOSEST, HELD_PAIRS = 1, 200_000
+#: Words of 64 bits of the sketch of a set of shingles.
+SKETCH = 4
 #: Node pairs that are held at once while a trie is walked.
 FRONTIER = 15_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """64 majority bits of the XXH64 of all word shingles, as a signed integer; 0 without words."""
+def _hashes(text: str | None, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, in order; none without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(size, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = len(words) - size + 1
-    h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """64 majority bits of the XXH64 of all word shingles, as a signed integer; 0 without words."""
+    return _majority(_hashes(text, size, seed))
+
+
+def _majority(h: np.ndarray) -> int:
+    n = len(h)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
         counts += np.unpackbits(h[at:at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -46,18 +59,58 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
+def sketch(h: np.ndarray) -> tuple[int, ...]:
+    """Number of distinct shingles, and for each place of 64 * SKETCH whether an odd number of them falls there.
+
+    A shingle that only one of two sets has changes one place, so two sketches never differ in more places than
+    their sets in shingles: a lower bound of the difference without any set at hand.
+    """
+    h = np.unique(h)
+    odd = np.bincount((h >> np.uint64(7) & np.uint64(64 * SKETCH - 1)).view(np.int64), minlength=64 * SKETCH) & 1
+    return len(h), *np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+_SKETCHED = ["shingles", *[f"k{i}" for i in range(SKETCH)]]
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, read once and staged; with ``digest`` also a hash of the text."""
+    """(doc_id, fp) of every row, read once and staged; with ``digest`` also a hash of the text and the sketch of its shingles."""
+    more = _SKETCHED if digest else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", "digest"][:b.num_columns])
+            fp, sketches = [], []
+            for t in b.column(1):
+                h = _hashes(t.as_py(), size, SEED)
+                fp.append(_majority(h))
+                if digest:
+                    sketches.append(sketch(h))
+            shown = [pa.array(c, pa.int64()) for c in (zip(*sketches) if sketches else [[]] * len(more))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:], *shown], ["doc_id", "fp", *["digest"] * digest, *more])
 
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), *[F.xxhash64(text).alias("digest")] * digest)
-    return staged(src.mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest), "fingerprints")
+    kept = "".join(f", {c} long" for c in ["digest"] * digest + more)
+    return staged(src.mapInArrow(run, "doc_id long, fp long" + kept), "fingerprints")
+
+
+def may_reach(similarity: float, sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets can have the Jaccard similarity by their sketches (rows: size, words), and how much of both differs at least."""
+    both = sketches[x, 0] + sketches[y, 0]
+    differ = np.maximum(np.bitwise_count((sketches[x, 1:] ^ sketches[y, 1:]).view(np.uint64)).sum(1, dtype=np.int64), np.abs(sketches[x, 0] - sketches[y, 0]))
+    return differ * (1 + similarity) <= (1 - similarity) * both + 1e-6, differ / np.maximum(both, 1)
+
+
+def closest(x: np.ndarray, y: np.ndarray, far: np.ndarray, few: int) -> np.ndarray:
+    """Places of the pairs that are among the ``few`` nearest of one of their ends."""
+    end, other, pair = np.r_[x, y], np.r_[y, x], np.tile(np.arange(len(x)), 2)
+    order = np.lexsort([other, np.r_[far, far], end])
+    first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]]) if len(order) else np.empty(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return np.unique(pair[order][rank < few])
 
 
-def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int, of: np.ndarray | None = None,
+              keep=None, few: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``budget`` differing bits, for pairs of trie nodes; with ``of`` only those of different groups.
 
     ``fps`` is sorted (unsigned) inside every node; a span (a0, a1, b0, b1) is a pair of nodes,
@@ -65,6 +118,8 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
     the error, unequal ones add one, and pairs over the budget are cut with all below them.
     A node is a range of the sorted array, so its children are found from counts of set bits.
     Nodes that hold one and the same group are left at once, however many it has.
+    ``keep`` says of found pairs which of them stay and how far apart each is; with ``few`` only those
+    stay that are among so many nearest of one of their ends, so that they grow with the fingerprints.
     """
     n = len(fps)
     turns = None if of is None else np.cumsum(np.r_[0, of[1:] != of[:-1]])
@@ -75,7 +130,14 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
         np.cumsum((fps >> np.uint64(63 - bit)) & np.uint64(1), out=ones[bit, 1:])
     first = np.array(spans, np.int64).T
     stack = [(0, np.vstack([first, np.zeros(first.shape[1], np.int64)]))]
-    left, right = [], []
+    left, right, apart = [], [], []
+    held, most = 0, max(HELD_PAIRS, 4 * few * n)
+
+    def found() -> list[np.ndarray]:
+        x, y, far = (np.concatenate(c) for c in (left, right, apart))
+        some = closest(x, y, far, few) if few else slice(None)
+        return [x[some], y[some], far[some]]
+
     while stack:
         level, f = stack.pop()
         if f.shape[1] > FRONTIER:
@@ -89,9 +151,18 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             x, y = a0[leaf], b0[leaf]
-            near = (x != y) & (np.bitwise_count(fps[x] ^ fps[y]) <= budget)
-            left.append(x[near])
-            right.append(y[near])
+            differ = np.bitwise_count(fps[x] ^ fps[y])
+            near = (x != y) & (differ <= budget)
+            x, y, far = x[near], y[near], differ[near]
+            if keep is not None:
+                stays, far = keep(x, y)
+                x, y, far = x[stays], y[stays], far[stays]
+            held += len(x)
+            for column, values in zip((left, right, apart), (x, y, far)):
+                column.append(values)
+            if few and held > most:
+                left, right, apart = ([c] for c in found())
+                held = len(left[0])
             a0, a1, b0, b1, d = f[:, ~leaf]
         if not len(a0) or level == 64:
             continue
@@ -104,7 +175,7 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
         down = down[:, (down[0] < down[1]) & (down[2] < down[3]) & (down[4] <= budget) & ~alone]
         if down.shape[1]:
             stack.append((level + 1, down))
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return tuple(found()[:2]) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _masks(budget: int, agree: int = 2) -> list[int]:
@@ -124,14 +195,15 @@ def _free_shift(mask: int, width: int) -> int:
     return next(s for s in range(64 - width, -1, -1) if not (mask >> s) & ((1 << width) - 1))
 
 
-def _walk(budget: int, masks: list[int]):
+def _walk(budget: int, masks: list[int], with_groups: bool = False, similarity: float | None = None, few: int = 0):
     """Trie joins over rows sorted by group; a group that spans batches is carried on."""
-    def join(gid: list[np.ndarray], fp: np.ndarray, of: np.ndarray | None = None) -> pa.RecordBatch:
+    def join(gid: list[np.ndarray], fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        of, sketches = more[0] if with_groups else None, np.stack(more[with_groups:], axis=1) if similarity is not None else None
         m, node_a, node_b, shift = gid[0], gid[2], gid[3], gid[4]
         change = np.flatnonzero(np.r_[True, np.any([g[1:] != g[:-1] for g in gid], axis=0)])
         ends = np.r_[change[1:], len(fp)]
         order = np.lexsort([fp, np.repeat(np.arange(len(change)), ends - change)])
-        fp, of = fp[order], None if of is None else of[order]
+        fp, of, sketches = fp[order], None if of is None else of[order], None if sketches is None else sketches[order]
         spans = []
         for s, e in zip(change.tolist(), ends.tolist()):
             if node_a[s] == node_b[s]:
@@ -141,17 +213,24 @@ def _walk(budget: int, masks: list[int]):
                 in_b = ((fp[s:e] >> np.uint64(shift[s])) & np.uint64((1 << TOP_BITS) - 1)) == np.uint64(node_b[s])
                 part = np.argsort(in_b, kind="stable")
                 fp[s:e] = fp[s:e][part]
-                if of is not None:
-                    of[s:e] = of[s:e][part]
+                for column in (of, sketches):
+                    if column is not None:
+                        column[s:e] = column[s:e][part]
                 k = s + int((~in_b).sum())
                 spans.append((s, k, k, e))
-        x, y = trie_join(fp, [p for p in spans if p[0] < p[1] and p[2] < p[3]], budget, of)
-        diff = fp[x] ^ fp[y]
-        lowest = np.full(len(x), len(masks))
-        for k in range(len(masks) - 1, -1, -1):
-            lowest[(diff & np.uint64(masks[k])) == 0] = k
-        mine = lowest == m[x]
-        return pa.RecordBatch.from_arrays([pa.array(fp[x][mine].view(np.int64)), pa.array(fp[y][mine].view(np.int64))], ["a", "b"])
+        def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            diff = fp[x] ^ fp[y]
+            lowest = np.full(len(x), len(masks))
+            for k in range(len(masks) - 1, -1, -1):
+                lowest[(diff & np.uint64(masks[k])) == 0] = k
+            mine = lowest == m[x]
+            if sketches is None:
+                return mine, np.bitwise_count(diff)
+            may, far = may_reach(similarity, sketches, x, y)
+            return mine & may, far
+
+        x, y = trie_join(fp, [p for p in spans if p[0] < p[1] and p[2] < p[3]], budget, of, keep, few)
+        return pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -175,7 +254,7 @@ def _walk(budget: int, masks: list[int]):
     return run
 
 
-def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agree: int = 2) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agree: int = 2, similarity: float | None = None, few: int = 0) -> DataFrame:
     """(a, b): every pair of distinct fingerprints within the budget, once.
 
     The 64 bits are dealt into budget + ``agree`` blocks; a pair within the budget agrees on
@@ -183,9 +262,12 @@ def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agre
     them and a trie is built for each value.  Where more than ``trie_rows`` fingerprints share a value, the top levels of
     its trie are opened on Spark: each fingerprint goes to the pairs of top nodes that its own
     node forms within the budget.  If ``fps`` has a ``component`` for each fp, only pairs of different ones are returned.
+    With ``similarity``, ``fps`` also has the sketch of each fp, and pairs that cannot reach it are left out;
+    with ``few``, only the nearest of each fingerprint within each trie are returned.
     """
     masks = _masks(budget, agree)
-    of = [c for c in ("component",) if c in fps.columns]
+    grouped = "component" in fps.columns
+    of = ["component"] * grouped + (_SKETCHED if similarity is not None else [])
     f = fps.select("fp", *of).where("fp IS NOT NULL").distinct()
     keyed = f.select("fp", *of, F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"),
                                                         F.lit(_free_shift(m, TOP_BITS)).alias("s")) for k, m in enumerate(masks)])).alias("g"))
@@ -199,7 +281,8 @@ def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agre
     other = F.col("node").bitwiseXOR(F.col("x"))
     large = large.select("m", "v", F.least("node", other).alias("na"), F.greatest("node", other).alias("nb"), "s", "fp", *of)
     group = ["m", "v", "na", "nb", "s"]
-    return small.unionByName(large).repartition(*group[:4]).sortWithinPartitions(*group).mapInArrow(_walk(budget, masks), "a long, b long")
+    return small.unionByName(large).repartition(*group[:4]).sortWithinPartitions(*group).mapInArrow(
+        _walk(budget, masks, grouped, similarity, few), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS) -> DataFrame:
@@ -231,12 +314,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
     """Distinct hashes of the word shingles of a text, sorted; none without words."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    size = min(size, len(words))
-    n = len(words) - size + 1 if words else 0
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i:i + size]), seed) for i in range(n)), np.uint64, n)).view(np.int64)
+    return np.unique(_hashes(text, size, seed)).view(np.int64)
 
 
 def _similar(pairs: DataFrame, shown: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -250,13 +328,9 @@ def _similar(pairs: DataFrame, shown: DataFrame, size: int, similarity: float) -
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["fp", "s"])
 
     sets = staged(shown.mapInArrow(run, "fp long, s array<long>"), "shingles")
-    count = sets.select("fp", F.size("s").alias("n"))
-    # a pair can only reach the similarity if its sizes do, so most of the others never meet their sets
-    sized = pairs.join(count.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(count.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").where(
-        F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    both = sized.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def blocks_for(n: int, budget: int) -> int:
@@ -269,15 +343,17 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
 
     Texts of equal fingerprint over ``size``-word shingles are one group.  Others are linked if
     their fingerprints differ in at most ``budget`` bits and the Jaccard similarity of their shingles is
-    at least ``similarity``, which is computed for every pair that the trie join finds.
-    Narrow links are taken first; wide ones are searched between the groups that these join only,
-    so that a large group of near copies does not become all its pairs.  A row is known by its doc_id and a hash of its text, so rows that
+    at least ``similarity``, which is computed for every pair that the trie join finds and whose sketches allow it.
+    The nearest links of each fingerprint are taken first, narrow ones, then wide ones; all others are searched between the groups that
+    these join only, so that a large group of near copies does not become all its pairs.  A row is known by its doc_id and a hash of its text, so rows that
     share an id, or have none, stay or go each with its own group.
     """
     rows = fingerprints(docs, digest=True, size=size)
     keys = rows.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    nodes = staged(keys.groupBy("fp").agg(F.min(place).alias("low")), "nodes")
+    shown = rows.groupBy("fp").agg(F.min(F.struct(place.alias("low"), *_SKETCHED)).alias("m"))
+    nodes = staged(shown.select("fp", "m.low", *[f"m.{c}" for c in _SKETCHED]), "nodes")
+    agree = blocks_for(nodes.count(), budget)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_digest"))
 
     def linked(found: DataFrame) -> DataFrame:
@@ -286,10 +362,11 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
         asked = broadcast_checked(asked.select("fp", F.col("low.doc_id").alias("its_id"), F.col("low.digest").alias("its_digest")))
         return _similar(pairs, docs.select("doc_id", "text").join(asked, same).select("fp", "text").dropDuplicates(["fp"]), size, similarity)
 
-    near = staged(linked(links(nodes, min(budget, BUDGET))), "links")
-    group = staged(_with_component(nodes, near), "groups")
-    far = links(group.select("fp", "component"), budget, agree=blocks_for(nodes.count(), budget))
-    every = near.unionByName(linked(far))
+    every = linked(links(nodes, min(budget, BUDGET), similarity=similarity, few=CLOSEST))
+    for few in (CLOSEST, 0):
+        every = staged(every, "links")
+        group = staged(_with_component(nodes, every), "groups")
+        every = every.unionByName(linked(links(group, budget, agree=agree, similarity=similarity, few=few)))
     nodes = _with_component(nodes, every)
     best = nodes.groupBy("component").agg(F.min("low").alias("best"))
     own = staged(keys.join(nodes.select("fp", "component").join(best, "component").select("fp", "best"), "fp").select(

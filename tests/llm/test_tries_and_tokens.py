@@ -345,3 +345,38 @@ def test_links_between_groups_leave_no_fingerprint_out(spark):
         got = [tuple(sorted(r)) for r in simhash.links(df, 8, trie_rows).collect()]
         assert set(got) == want and len(got) == len(want)
     assert simhash.links(df.select("fp"), 8).count() > 20_000
+
+
+def test_pairs_of_near_copies_grow_with_their_number_only(spark, monkeypatch):
+    """Texts are compared with few of a large group, and none of those left out by their sketches is similar."""
+    import numpy as np
+
+    from inkquest.llm import simhash
+
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    base, rows = [rng.choice(vocab) for _ in range(200)], []
+    for _ in range(400):
+        c = list(base)
+        for at in rng.sample(range(len(c)), rng.randint(1, 6)):
+            c[at] = rng.choice(vocab)
+        rows.append(" ".join(c))
+    counts, compare = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: counts.append(pairs.count()) or compare(pairs, *more))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    kept = simhash.keep_one(df).count()
+    assert sum(counts) < 10 * len(rows)
+    hashes = [simhash.shingle_hashes(t, 5).view(np.uint64) for t in rows]
+    sketches = np.array([simhash.sketch(h) for h in hashes])
+    x, y = np.triu_indices(len(rows), 1)
+    may, _ = simhash.may_reach(0.8, sketches, x, y)
+    similar = np.array([len(np.intersect1d(hashes[a], hashes[b], True)) * 1.8 >= 0.8 * (len(hashes[a]) + len(hashes[b])) for a, b in zip(x.tolist(), y.tolist())])
+    assert similar.any() and not may.all() and not (similar & ~may).any()
+    fps = np.array([simhash.fingerprint(t, 5) for t in rows])
+    linked = similar & (np.bitwise_count((fps[x] ^ fps[y]).view(np.uint64)) <= 8)
+    group = list(range(len(rows)))
+    for a, b in zip(x[linked].tolist(), y[linked].tolist()):
+        if group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    assert kept == len(set(group)) and linked.sum() > 10 * len(rows)
