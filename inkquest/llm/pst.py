@@ -26,7 +26,8 @@ from ..session import staged
 #: not grow.  At most 1 / P_MIN contexts of each length exist, so it fits in a task however large the corpus is.
 DEPTH, P_MIN = 6, 1e-5
 #: The rest of the tree, kept by beginnings of words: least count of a context, and bytes that words share which meet in a
-#: group; beyond HOT_WORDS words the next number of bytes is taken.
+#: group; a beginning of more than HOT_WORDS words is counted by what follows it, and its words meet by more bytes, which are
+#: looked for up to the next of these numbers at a time.
 MIN_COUNT, KEYS, HOT_WORDS = 8, (4, 12, 36, 108), 200_000
 #: Words of at least this share of all tokens are scored from a table in the task (at most
 #: 1 / HEAD_SHARE of them); all others by a join, which for that reason has no hot key.
@@ -345,6 +346,30 @@ def _tree(symbols: Symbols, root: np.ndarray, levels: list[Level]) -> Tree:
 # ---------------------------------------------------------------- contexts that begin with a word
 
 
+def _gains(tree: Tree, blank: int, end: int, j: int, seen: list[tuple[int, int]]) -> tuple[dict[int, float], float] | None:
+    """What a beginning of ``j`` bytes adds before each of ``seen`` (byte or -1 for the end, count) and before all others; None if it is not kept."""
+    if tree.length[blank] > j or tree.length[end] > j:
+        return None
+    table, row = tree.symbols.table(), tree.logp[blank]
+    up = [10.0 ** float(row[table[s]]) if s >= 0 else 10.0 ** float(row[table[32]]) + 10.0 ** float(row[table[END]]) for s, _ in seen]
+    total, kinds = sum(n for _, n in seen), len(seen)
+    worth = sum(n * log(n / total / u) for (_, n), u in zip(seen, up))
+    if worth < 0.5 * log(total) * max(kinds - 1, 1):
+        return None
+    return {s: log10((n + kinds * u) / (total + kinds) / u) for (s, n), u in zip(seen, up)}, log10(kinds / (total + kinds))
+
+
+def _states(tree: Tree, begun: bytes) -> list[int]:
+    """Where the automaton is behind a beginning after a blank, and at the start of a text."""
+    table, states = tree.symbols.table(), []
+    for first in (32, END):
+        state = 0
+        for b in (first, *begun):
+            state = tree.next[state, table[b]]
+        states.append(state)
+    return states
+
+
 def _deeper(tree: Tree, group: list[tuple[bytes, int]], shortest: int) -> tuple[list[float], int]:
     """What the contexts from the start of a word on add to the log10 probability of each word, and how many are kept.
 
@@ -360,12 +385,7 @@ def _deeper(tree: Tree, group: list[tuple[bytes, int]], shortest: int) -> tuple[
     before = [0, *accumulate(n for _, n in group)]
     if before[-1] < MIN_COUNT:
         return more, 0
-    table, states = tree.symbols.table(), []
-    for first in (32, END):
-        state = 0
-        for b in (first, *words[0][:shortest]):
-            state = tree.next[state, table[b]]
-        states.append(state)
+    table, states = tree.symbols.table(), _states(tree, words[0][:shortest])
     stack = [(0, len(words), shortest, *states)]
     while stack:
         a, b, j, blank, end = stack.pop()
@@ -377,40 +397,59 @@ def _deeper(tree: Tree, group: list[tuple[bytes, int]], shortest: int) -> tuple[
                 k += 1
             runs.append((s, i, k, before[k] - before[i]))
             i = k
-        if tree.length[blank] <= j and tree.length[end] <= j:
-            row, seen = tree.logp[blank], [(s, n) for s, _, _, n in runs if n]
-            up = [10.0 ** float(row[table[s]]) if s >= 0 else 10.0 ** float(row[table[32]]) + 10.0 ** float(row[table[END]]) for s, _ in seen]
-            total, kinds = before[b] - before[a], len(seen)
-            worth = sum(n * log(n / total / u) for (_, n), u in zip(seen, up))
-            if worth >= 0.5 * log(total) * max(kinds - 1, 1):
-                kept += 1
-                gain = {s: log10((n + kinds * u) / (total + kinds) / u) for (s, n), u in zip(seen, up)}
-                other = log10(kinds / (total + kinds))  # all that was not seen
-                for s, i, k, _ in runs:
-                    g = gain.get(s, other)
-                    for x in range(i, k):
-                        more[x] += g
+        got = _gains(tree, blank, end, j, [(s, n) for s, _, _, n in runs if n])
+        if got is not None:
+            kept += 1
+            gain, other = got
+            for s, i, k, _ in runs:
+                g = gain.get(s, other)
+                for x in range(i, k):
+                    more[x] += g
         stack += [(i, k, j + 1, tree.next[blank, table[s]], tree.next[end, table[s]]) for s, i, k, n in runs if s >= 0 and n >= MIN_COUNT]
     return more, kept
 
 
+def _crowded(words: DataFrame) -> dict[bytes, list[tuple[int, int]]]:
+    """What follows each beginning of more than HOT_WORDS words (byte or -1 for the end, count); with one, all shorter ones are there.
+
+    There is at most one of a length for every HOT_WORDS words, with at most 257 rows each.
+    """
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    key = F.substring("word", 1, KEYS[0])
+    hot = words.where(F.length("word") >= KEYS[0]).groupBy(key.alias("begun")).agg(F.count("*").alias("m")).where(F.col("m") > HOT_WORDS)
+    hot = [bytes(r["begun"]) for r in hot.select("begun").collect()]
+    for short, longer in zip(KEYS, KEYS[1:]):
+        if not hot:
+            break
+        begin = short if short == KEYS[0] else short + 1  # the former lengths are counted
+        some = words.where(F.substring("word", 1, short).isin(hot) & (F.length("word") >= begin))
+        at = F.explode(F.sequence(F.lit(begin), F.least(F.length("word"), F.lit(longer))))
+        parts = some.select("word", "n", at.alias("j")).select(F.expr("substring(word, 1, j)").alias("begun"), F.expr("substring(word, j + 1, 1)").alias("s"), "n")
+        parts = parts.groupBy("begun", "s").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+        many = parts.groupBy("begun").agg(F.sum("m").alias("m")).where(F.col("m") > HOT_WORDS).select("begun")
+        for r in parts.join(many, "begun", "left_semi").select("begun", "s", "n").collect():
+            out.setdefault(bytes(r["begun"]), []).append((r["s"][0] if r["s"] else -1, r["n"]))
+        hot = [c for c in out if len(c) == longer]
+    # the words of the longest ones meet in a group each, which counts them
+    return {c: sorted(seen) for c, seen in out.items() if len(c) < KEYS[-1]}
+
+
 def deepen(words: DataFrame, tree) -> DataFrame:
     """``words`` (word, n) with ``deeper``: what contexts longer than the automaton's add to a word's log10 probability.
 
     The automaton is the head of the tree, small enough for every task; this is the rest of it.
     Contexts that reach back to the start of their word depend on the word alone, so each is
     counted, tested and used where the distinct words with the same beginning meet: its size is that of the
-    vocabulary, and nothing of it goes through the driver.  Where more than HOT_WORDS words share a
-    beginning, longer ones are taken for it.
+    vocabulary, and nothing of it goes through the driver but beginnings of more than HOT_WORDS words. Those are
+    counted by what follows them and add the same to all words that meet by a longer one, so that the result does not
+    depend on where words meet.
     """
+    crowded = _crowded(words)
     first = F.lit(KEYS[0])
-    for short, longer in zip(KEYS, KEYS[1:]):
-        key = F.substring("word", 1, short)
-        hot = words.groupBy(key.alias("hot")).agg(F.count("*").alias("m")).where(F.col("m") > HOT_WORDS)
-        hot = [bytes(r["hot"]) for r in hot.collect()]  # at most one for every HOT_WORDS words
-        if not hot:
-            break
-        first = F.when(key.isin(hot) & (first == short), longer).otherwise(first)
+    for size in sorted({len(c) for c in crowded}):
+        first = first + F.when(F.substring("word", 1, size).isin([c for c in crowded if len(c) == size]), 1).otherwise(0)
+    above = {c: _gains(tree.value, *_states(tree.value, c), len(c), [x for x in seen if x[1]]) for c, seen in crowded.items() if sum(n for _, n in seen) >= MIN_COUNT}
+    shortest = KEYS[0]
     keyed = words.select("word", "n", first.cast("int").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,6 +460,11 @@ def deepen(words: DataFrame, tree) -> DataFrame:
 
         def close() -> None:
             more, _ = _deeper(model, held, now[0])
+            base = 0.0
+            for j in range(shortest, now[0]):
+                if (got := above.get(now[1][:j])) is not None:
+                    base += got[0].get(now[1][j] if len(now[1]) > j else -1, got[1])
+            more = [base + m for m in more]
             for column, values in zip(out, ([w for w, _ in held], [n for _, n in held], more)):
                 column += values
             held.clear()

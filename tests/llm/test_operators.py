@@ -494,3 +494,25 @@ def test_the_language_model_learns_more_from_more(spark):
     out = quality.held_out(F.col("doc_id"), 7, 2)
     r = pst.score(docs, ~out, out).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     print("held-out score, base:", r["s"], r["b"], "contexts", kept)
+
+
+@pytest.mark.parametrize("keys,hot", [((4, 12, 36, 108), 3), ((4, 6, 9), 2)])
+def test_contexts_of_frequent_beginnings_are_counted_wherever_their_words_meet(spark, monkeypatch, keys, hot):
+    """Beginnings that many words share count as others do, also those of fewer bytes than their words meet by."""
+    rows = [(1, b"", 900)] + [(1, w.encode(), n) for w, n in [("interna", 40), ("internal", 300), ("internally", 90), ("international", 500), ("internationally", 70),
+                                                            ("internet", 400), ("interneta", 0), ("interpret", 200), ("interpreter", 60), ("intention", 80), ("other", 700), ("oth", 9)]]
+    words = spark.createDataFrame([(w, n) for _, w, n in rows], "word binary, n long")
+    text = " ".join(w.decode() for _, w, n in rows for _ in range(n // 10) if w)
+    _, tree = pst.learn(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    monkeypatch.setattr(tree, "length", np.minimum(tree.length, 3))
+    shared = spark.sparkContext.broadcast(tree)
+
+    def deeper():
+        return {bytes(r["word"]): r["deeper"] for r in pst.deepen(words, shared).collect()}
+
+    want = deeper()
+    monkeypatch.setattr(pst, "KEYS", keys)
+    monkeypatch.setattr(pst, "HOT_WORDS", hot)
+    got = deeper()
+    assert len(pst._crowded(words)) > 3 and any(want.values()) and got.keys() == want.keys()
+    assert all(math.isclose(got[w], want[w], rel_tol=1e-9, abs_tol=1e-12) for w in want)
