@@ -109,7 +109,7 @@ _GUARD = {
     "email": "@", "twitter_handle": "@", "mention": "@", "hashtag": "#", "url": "://", "ip_address": _DIGIT, "phone": _DIGIT,
     "ipv6_address": ":", "mac_address": "[:-]", "date_iso": _DIGIT, "date_eu": _DIGIT, "date_text": _DIGIT, "time": _DIGIT, "currency": _DIGIT,
     "btc_address": "[13]", "eth_address": "0x", "iban": _DIGIT, "credit_card": _DIGIT, "uuid": "-", "jwt": "eyJ", "function_call": r"\(",
-    "password_leak": "[:=]", "private_key": "-----BEGIN", "github_token": "ghp_", "file_path": r"[/\\]", "domain": r"\.",
+    "password_leak": "[:=]", "private_key": "-----BEGIN", "github_token": "ghp_", "file_path": r"[/\\]", "domain": r"\.[A-Za-z]{2}",
     "md5_hash": "[a-fA-F0-9]{32}", "sha1_hash": "[a-fA-F0-9]{40}", "sha256_hash": "[a-fA-F0-9]{64}", "base64": "[A-Za-z0-9+/]{40}",
 }
 REGISTRY = [p._replace(loop_form=_LOOP.get(p.name), dead_run=_DEAD.get(p.name), guard=_GUARD.get(p.name)) for p in REGISTRY]

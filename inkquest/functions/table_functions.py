@@ -44,10 +44,18 @@ class ExtractSpans:
         if text is None:
             return
         width = 50 if context is None else context
-        folded = re.sub(r"[^\x00-\x7f]", " ", text).replace("\x01", " ").replace("\x02", " ")
-        for p, find in _compiled(names):
+        folded = (text if text.isascii() else re.sub(r"[^\x00-\x7f]", " ", text)).replace("\x01", " ").replace("\x02", " ")
+        met: dict = {}  # each guard is looked for once
+        for p, find, guard in _compiled(names):
+            if guard is not None:
+                if guard not in met:
+                    met[guard] = guard(folded) is not None
+                if not met[guard]:
+                    continue
             for m in find(folded):
-                a, b = m.span()
+                a, b = m.span(1)
+                if a < 0:  # a dead run
+                    continue
                 row = (p.name, p.category, text[a:b], a, b, p.confidence, p.sensitive)
                 yield (*row, text[max(a - width, 0):b + width]) if width else row
 
@@ -61,10 +69,22 @@ _cache: dict = {}
 
 def _compiled(names):
     if names not in _cache:
-        _cache[names] = [(p, re.compile(p.regex, re.ASCII).finditer) for p in P.select_patterns(_names(names) if names is not None else None)]
+        guards: dict = {}
+        for p in (chosen := P.select_patterns(_names(names) if names is not None else None)):
+            if p.guard:
+                guards.setdefault(p.guard, re.compile(p.guard, re.ASCII).search)
+        _cache[names] = [(p, re.compile(_scoped(p), re.ASCII).finditer, guards.get(p.guard)) for p in chosen]
     return _cache[names]
 
 
+def _scoped(p: P.Pattern) -> str:
+    """``p.jvm`` with leading flags written as a group, which this engine asks for inside of one."""
+    own = p.loop_form or p.regex
+    flags = re.match(r"\(\?([a-z]+)\)", own)
+    own = f"((?{flags[1]}:{own[flags.end():]}))" if flags else f"({own})"
+    return f"{own}|({p.dead_run})" if p.dead_run else own
+
+
 def register(spark: SparkSession) -> None:
     """Make ``extract_spans`` known to the SQL of a session."""
     spark.udtf.register("extract_spans", udtf(ExtractSpans))

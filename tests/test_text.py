@@ -195,3 +195,38 @@ def test_windows_are_those_of_every_query_and_text(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
     # a text meets its queries once, as one row
     assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_table_function_reads_as_the_plain_patterns_and_looks_for_guards_once(monkeypatch):
+    """Loop forms, dead runs and guards change nothing but the time; a text without a digit is not searched for phones."""
+    import random
+    import re
+
+    from inkquest.functions import table_functions as T
+
+    rng = random.Random(4)
+    bits = ["Acme Holdings Foundation", "the new Company", "john@site.example.org", "+33 1 42 68 53 00", "10.0.0.255", "fe80:1:2:3:4:5:6:7", "00:1B:44:11:3A:B7", "2024-05-01T10:11:12Z",
+            "12 March 2021", "9:30 pm", "$1,234.50", "20 USD", "@handle", "#tag", "run(x, y)", "import os", "password: hunter2", "/usr/lib/x.so", "C:\\\\dir\\\\f", "www.example.co.uk", "A.B", "etc.so on",
+            "deadbeef" * 4, "deadbeef" * 5, "deadbeef" * 8, "AKIA" + "A1" * 8, "é ü", "John Smith", "Mary\nJane Watson", "eyJa.eyJb.c", "x" * 50, "\n", "x. y"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(300)] + ["", "Plain words of a text. " * 50]
+    for text in texts:
+        folded = re.sub(r"[^\x00-\x7f]", " ", text)
+        want = [(p.name, m.start(), m.end()) for p in P.REGISTRY for m in re.finditer(p.regex, folded, re.ASCII)]
+        assert [(r[0], r[3], r[4]) for r in T.ExtractSpans().eval(text)] == want
+    searched = []
+    monkeypatch.setattr(T, "_cache", {None: [(p, lambda t, p=p: searched.append(p.name) or find(t), guard) for p, find, guard in T._compiled(None)]})
+    assert list(T.ExtractSpans().eval("no such thing in a text")) == [] and not {"phone", "domain", "time"} & set(searched) and "organization" in searched
+
+
+def test_a_report_of_patterns_searches_the_texts_once(spark):
+    from inkquest.operators import extract
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    docs = spark.createDataFrame(spark.createDataFrame([(k, f"call {k}@site.org on 2024-05-01") for k in range(40)], "doc_id long, text string").rdd.mapPartitions(look), "doc_id long, text string")
+    assert extract.pattern_report(extract.extract_values(docs)).count() > 2 and seen.value == 40
