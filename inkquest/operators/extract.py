@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import patterns as P
 from ..functions.text import ascii_fold, col
+from ..session import staged
 from .ingest import group_slices
 
 
@@ -37,9 +38,10 @@ def pattern_report(values: DataFrame, top: int = 20) -> DataFrame:
     """Per pattern: matches, distinct values and the first ``top`` distinct values in order.
 
     Distinct values are pre-counted and cut to ``top`` per pattern before anything
-    is gathered, so a frequent pattern never forms one large group.
+    is gathered, so a frequent pattern never forms one large group.  They are staged, so that
+    the texts are searched once for the totals and the sample.
     """
-    distinct = values.groupBy("pattern", "value").agg(F.count("*").alias("n"))
+    distinct = staged(values.groupBy("pattern", "value").agg(F.count("*").alias("n")), "values")
     totals = distinct.groupBy("pattern").agg(F.sum("n").alias("matches"), F.count("*").alias("distinct_values"))
     w = Window.partitionBy("pattern").orderBy("value")
     first = (distinct.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
