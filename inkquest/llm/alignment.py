@@ -7,6 +7,8 @@ into A and one into B for every lane; each step links the two tokens that all la
 cuts where both end and moves on whichever ends first.  Finished lanes are compacted away.
 A long document is several lanes: they begin at A tokens, where the B token over the same byte
 is found by binary search, so the number of steps does not grow with a document.
+No token of either side reaches over a blank between a word and a letter, so what stands
+between two such blanks is encoded once by a worker and then looked up.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ BATCH_CHARS, BATCH_TEXTS, LANE, PART_CHARS = 1_000_000, 4_000, 256, 200_000
 HEAD_SHARE = 2e-6
 #: Sums of id pairs that a task holds before it passes them on.
 HELD_PAIRS = 2_000_000
+#: Stretches between borders, and tokens of them, from which on a worker forgets all it has encoded but the half most in use.
+KEPT_WORDS, KEPT_TOKENS = 300_000, 3_000_000
 #: A blank between a character that is none and a letter: no token of either side reaches over its left edge.
 BORDER = re.compile(r"(?<=\S) (?=[^\W\d_])")
 
@@ -79,19 +84,95 @@ class Vocabularies:
         b = self.b.encode(flat, out_type=int, num_threads=1) if flat else []
         out, at = [], 0
         for t, some in zip(texts, parts):
-            ids = [[i for x in side[at:at + len(some)] for i in x] if len(some) != 1 else side[at] for side in (a, b)]
+            x, y = ([i for x in side[at:at + len(some)] for i in x] if len(some) != 1 else side[at] for side in (a, b))
             at += len(some)
-            want = (" " + t).encode("utf-8", "replace") if t else b""
-            same = all(b"".join(map(names.__getitem__, x)) == want for names, x in zip((self.a_bytes, self.b_bytes), ids))
-            out.append((ids[0], ids[1]) if same else ([], []))
+            out.append((x, y) if self.spell(t or "", x, y) else ([], []))
         return out
 
+    def spell(self, text: str, a, b) -> bool:
+        """Whether the tokens of both sides spell a blank and the text."""
+        want = (" " + text).encode("utf-8", "replace")
+        return all(b"".join(map(names.__getitem__, x)) == want for names, x in ((self.a_bytes, a), (self.b_bytes, b)))
+
+
+class Words:
+    """Ids of the stretches between borders, mostly words, each of which a worker encodes once."""
+
+    def __init__(self, v: Vocabularies):
+        self.v = v
+        self.number: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.stop = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.same, self.uses = np.empty(0, bool), np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:len(self.number) // 2])
+        words = list(self.number)
+        self.number = {words[i]: k for k, i in enumerate(keep.tolist())}
+        for k in (0, 1):
+            size = np.diff(self.stop[k])
+            kept = np.zeros(len(size), bool)
+            kept[keep] = True
+            self.flat[k] = self.flat[k][np.repeat(kept, size)]
+            self.stop[k] = np.r_[0, np.cumsum(size[keep])]
+        self.same, self.uses = self.same[keep], self.uses[keep] // 2
+
+    def learn(self, words: list[str]) -> None:
+        a = [e.ids for e in self.v.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        b = self.v.b.encode(words, out_type=int, num_threads=1)
+        want = [(" " + w).encode("utf-8", "replace") for w in words]
+        length, same = np.fromiter(map(len, want), np.int64, len(want)), np.ones(len(words), bool)
+        for k, (ids, names) in enumerate(((a, self.v.a_bytes), (b, self.v.b_bytes))):
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            stop = np.cumsum(size)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            end = np.r_[0, np.cumsum((self.v.a_size, self.v.b_size)[k][flat])]
+            if not np.array_equal(end[stop] - end[stop - size], length) or b"".join(map(names.__getitem__, flat.tolist())) != b"".join(want):
+                same &= np.fromiter((b"".join(map(names.__getitem__, x)) == w for x, w in zip(ids, want)), bool, len(want))
+            self.flat[k] = np.concatenate([self.flat[k], flat])
+            self.stop[k] = np.concatenate([self.stop[k], self.stop[k][-1] + stop])
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.same, self.uses = np.concatenate([self.same, same]), np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all texts, one behind the other, and how many each text has; none as ``tokens`` says."""
+        while len(self.number) > KEPT_WORDS or max(map(len, self.flat)) > KEPT_TOKENS:
+            self.forget()
+        parts = [(BORDER.split(t) if self.v.parts else [t]) if t else [] for t in texts]
+        words = [p for some in parts for p in some]
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        out = []
+        for flat, stop in zip(self.flat, self.stop):
+            size = stop[at + 1] - stop[at]
+            ids = flat[np.repeat(stop[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].astype(np.int64)
+            out.append((ids, np.bincount(doc, size, len(texts)).astype(np.int64)))
+        (a, a_count), (b, b_count) = out
+        # a stretch spelled otherwise all but settles its text
+        a_stop, b_stop = np.cumsum(a_count), np.cumsum(b_count)
+        drop = np.zeros(len(texts), bool)
+        for i in np.unique(doc[~self.same[at]]).tolist():
+            drop[i] = not self.v.spell(texts[i], a[a_stop[i] - a_count[i]:a_stop[i]].tolist(), b[b_stop[i] - b_count[i]:b_stop[i]].tolist())
+        if drop.any():
+            a, b = a[~np.repeat(drop, a_count)], b[~np.repeat(drop, b_count)]
+            a_count, b_count = np.where(drop, 0, a_count), np.where(drop, 0, b_count)
+        return a, b, a_count, b_count
+
 
 @lru_cache(maxsize=1)
 def vocabularies(a_name: str, b_name: str) -> Vocabularies:
     return Vocabularies(a_name, b_name)
 
 
+@lru_cache(maxsize=1)
+def encoded_words(a_name: str, b_name: str) -> Words:
+    return Words(vocabularies(a_name, b_name))
+
+
 def lockstep(a_end: np.ndarray, b_end: np.ndarray, a_count: np.ndarray, b_count: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b) and cuts (a, b), as places in the two flat arrays of ends, each in order.
 
@@ -146,6 +227,7 @@ class Aligner:
 
     def __init__(self, a_name: str, b_name: str):
         self.v = vocabularies(a_name, b_name)
+        self.words = encoded_words(a_name, b_name)
         self.a_digits, self.b_digits = _digits(len(self.v.a_bytes)), _digits(len(self.v.b_bytes))
         width = max(self.a_digits.shape[1], self.b_digits.shape[1])
         self.a_digits = np.pad(self.a_digits, ((0, 0), (width - self.a_digits.shape[1], 0)))
@@ -153,12 +235,7 @@ class Aligner:
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray]:
         v = self.v
-        ids = v.tokens(texts)
-        a_count = np.fromiter((len(a) for a, _ in ids), np.int64, len(ids))
-        b_count = np.fromiter((len(b) for _, b in ids), np.int64, len(ids))
-        a = np.fromiter((i for x, _ in ids for i in x), np.int64, int(a_count.sum()))
-        b = np.fromiter((i for _, x in ids for i in x), np.int64, int(b_count.sum()))
-        del ids
+        a, b, a_count, b_count = self.words.encode(texts)
         a_stop, b_stop = np.cumsum(a_count), np.cumsum(b_count)
 
         def ends(size, stop, count):

@@ -173,6 +173,23 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
     assert [tuple(map(list, ids)) for ids in v.tokens(texts)] == whole and len(v.split(texts[2])) > 300
 
 
+@pytest.mark.parametrize("kept", [0, 100, 300_000])
+def test_words_are_encoded_once(monkeypatch, kept):
+    v = alignment.vocabularies(A, B)
+    texts = [*ODD, *some_texts(), "the ½ cup ﬁt ﬁt the end", "of  two", "a\u0301 b\u0301c ² x", "the word " * 300]
+    want, asked = v.tokens(texts), Counter()
+    monkeypatch.setattr(alignment, "KEPT_WORDS", kept)
+    words = alignment.Words(v)
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: asked.update(new) or learn(new))
+    for _ in range(3):
+        a, b, a_count, b_count = words.encode(texts)
+        for flat, n, k in ((a, a_count, 0), (b, b_count, 1)):
+            assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [list(x[k]) for x in want]
+    assert asked["word"] == (3 if kept == 0 else 1) and (max(asked.values()) == 1) == (kept > 1000)
+    assert [len(x) for x in words.encode([])] == [0, 0, 0, 0] and [len(x) for x in words.encode(["", None])] == [0, 0, 2, 2]
+
+
 @pytest.mark.parametrize("lane", [1, 2, 7, 1000])
 def test_lanes_do_not_change_links(lane):
     rng = np.random.default_rng(lane)
