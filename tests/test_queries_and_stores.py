@@ -5,6 +5,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,17 @@ def test_harmonic_centrality_within_its_error(spark):
     assert G.harmonic_centrality(df.limit(0)).count() == 0
 
 
+def test_centrality_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(1, k) for k in range(2, 40)] + [(rng.randrange(2, 40), rng.randrange(40, 70)) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "src long, dst long").repartition(1)
+    want = sorted(map(tuple, G.harmonic_centrality(df, 2).collect()))
+    monkeypatch.setattr(G, "BLOCK_NODES", 9)
+    monkeypatch.setattr(G, "TASK_ROWS", 20)
+    got = sorted(map(tuple, G.harmonic_centrality(df, 2).collect()))
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1:] for x in got], [x[1:] for x in want])
+
+
 # ------------------------------------------------------------ known texts
 
 
