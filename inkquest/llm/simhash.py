@@ -25,8 +25,8 @@ GROUP_SHOWN = 32
 CLOSEST, HELD_PAIRS = 1, 200_000
 #: Words of 64 bits of the sketch of a set of shingles.
 SKETCH = 4
-#: Node pairs that are held at once while a trie is walked.
-FRONTIER = 15_000
+#: Node pairs that are held at once while a trie is walked, fingerprints of a node that is not opened further, and pairs compared at once.
+FRONTIER, LEAF, LEAF_PAIRS = 15_000, 32, 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -109,6 +109,22 @@ def closest(x: np.ndarray, y: np.ndarray, far: np.ndarray, few: int) -> np.ndarr
     return np.unique(pair[order][rank < few])
 
 
+def _across(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of node pairs, in parts; of a node with itself each pair once."""
+    rows = np.cumsum(a1 - a0)
+    x = np.arange(rows[-1]) - np.repeat(rows - (a1 - a0) - a0, a1 - a0)
+    low, high = np.repeat(b0, a1 - a0), np.repeat(b1, a1 - a0)
+    low = np.where(np.repeat((a0 == b0) & (a1 == b1), a1 - a0), x + 1, low)
+    total = np.cumsum(high - low)
+    at = 0
+    while at < len(x):
+        done = total[at - 1] if at else 0
+        end = max(int(np.searchsorted(total, done + LEAF_PAIRS, "right")), at + 1)
+        n = (high - low)[at:end]
+        yield np.repeat(x[at:end], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[at:end], n)
+        at = end
+
+
 def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: int, of: np.ndarray | None = None,
               keep=None, few: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``budget`` differing bits, for pairs of trie nodes; with ``of`` only those of different groups.
@@ -116,7 +132,8 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
     ``fps`` is sorted (unsigned) inside every node; a span (a0, a1, b0, b1) is a pair of nodes,
     or one node with itself.  Both nodes of a pair step down one bit together: equal bits keep
     the error, unequal ones add one, and pairs over the budget are cut with all below them.
-    A node is a range of the sorted array, so its children are found from counts of set bits.
+    A node is a range of the sorted array, so its children are found from counts of set bits;
+    nodes of ``LEAF`` fingerprints at most are not opened, their pairs are compared as they are.
     Nodes that hold one and the same group are left at once, however many it has.
     ``keep`` says of found pairs which of them stay and how far apart each is; with ``few`` only those
     stay that are among so many nearest of one of their ends, so that they grow with the fingerprints.
@@ -125,9 +142,7 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
     turns = None if of is None else np.cumsum(np.r_[0, of[1:] != of[:-1]])
     if not spans:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    ones = np.zeros((64, n + 1), np.int32)
-    for bit in range(64):
-        np.cumsum((fps >> np.uint64(63 - bit)) & np.uint64(1), out=ones[bit, 1:])
+    ones: dict[int, np.ndarray] = {}
     first = np.array(spans, np.int64).T
     stack = [(0, np.vstack([first, np.zeros(first.shape[1], np.int64)]))]
     left, right, apart = [], [], []
@@ -148,24 +163,30 @@ def trie_join(fps: np.ndarray, spans: list[tuple[int, int, int, int]], budget: i
             a0, a1, b0, b1, _ = f
             f = f[:, ~((of[a0] == of[b0]) & (turns[a0] == turns[a1 - 1]) & (turns[b0] == turns[b1 - 1]))]
         a0, a1, b0, b1, d = f
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        leaf = (a1 - a0 <= LEAF) & (b1 - b0 <= LEAF)
         if leaf.any():
-            x, y = a0[leaf], b0[leaf]
-            differ = np.bitwise_count(fps[x] ^ fps[y])
-            near = (x != y) & (differ <= budget)
-            x, y, far = x[near], y[near], differ[near]
-            if keep is not None:
-                stays, far = keep(x, y)
-                x, y, far = x[stays], y[stays], far[stays]
-            held += len(x)
-            for column, values in zip((left, right, apart), (x, y, far)):
-                column.append(values)
-            if few and held > most:
-                left, right, apart = ([c] for c in found())
-                held = len(left[0])
+            for x, y in _across(a0[leaf], a1[leaf], b0[leaf], b1[leaf]):
+                differ = np.bitwise_count(fps[x] ^ fps[y])
+                near = np.flatnonzero((differ > 0) & (differ <= budget))
+                x, y, far = x[near], y[near], differ[near]
+                if of is not None:
+                    apart_of = of[x] != of[y]
+                    x, y, far = x[apart_of], y[apart_of], far[apart_of]
+                if keep is not None:
+                    stays, far = keep(x, y)
+                    x, y, far = x[stays], y[stays], far[stays]
+                held += len(x)
+                for column, values in zip((left, right, apart), (x, y, far)):
+                    column.append(values)
+                if few and held > most:
+                    left, right, apart = ([c] for c in found())
+                    held = len(left[0])
             a0, a1, b0, b1, d = f[:, ~leaf]
         if not len(a0) or level == 64:
             continue
+        if level not in ones:
+            ones[level] = np.zeros(n + 1, np.int32)
+            np.cumsum((fps >> np.uint64(63 - level)) & np.uint64(1), out=ones[level][1:])
         c = ones[level]
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
         itself = (a0 == b0) & (a1 == b1)

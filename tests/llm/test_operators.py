@@ -240,6 +240,19 @@ def test_trie_join_in_small_portions(monkeypatch):
     assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want)
 
 
+@pytest.mark.parametrize("leaf", [1, 6, 400])
+def test_trie_nodes_that_are_not_opened_give_the_same_pairs(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 50)
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64))
+    of = rng.integers(0, 4, len(fps))
+    for groups_of in (None, of):
+        x, y = simhash.trie_join(fps, [(0, len(fps), 0, len(fps))], 2, groups_of)
+        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2 and (groups_of is None or of[i] != of[j])}
+        assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want)
+
+
 def test_one_document_of_each_group_stays(spark, empty):
     rows = [(4, PASSAGE), (2, PASSAGE.upper()), (9, "something else here"), (9, "something else here"), (None, PASSAGE), (11, ""), (12, None)]
     got = simhash.keep_one(frame(spark, rows)).collect()
