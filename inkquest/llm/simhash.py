@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import broadcast_checked, staged
+from ..session import row_bound, shuffled, staged
 from .components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -23,6 +23,8 @@ FEW = 64
 GROUP_SHOWN = 32
 #: Links of a fingerprint that are tried first in each trie, and found pairs that are held before they are cut to those.
 CLOSEST, HELD_PAIRS = 1, 200_000
+#: Rows of ids and hashes, some 100 bytes each in memory, that are broadcast rather than that texts are shuffled.
+ID_ROWS = 400_000
 #: Words of 64 bits of the sketch of a set of shingles.
 SKETCH = 4
 #: Node pairs that are held at once while a trie is walked, fingerprints of a node that is not opened further, and pairs compared at once.
@@ -293,17 +295,29 @@ def links(fps: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS, agre
     keyed = f.select("fp", *of, F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"),
                                                         F.lit(_free_shift(m, TOP_BITS)).alias("s")) for k, m in enumerate(masks)])).alias("g"))
     keyed = keyed.select("fp", *of, "g.m", "g.v", "g.s")
-    size = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(size, ["m", "v"])
+    # only values above ``trie_rows`` are a table: all values are nearly as many as the rows
+    crowded = staged(keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where(F.col("n") > trie_rows).select("m", "v"), "crowded")
+    alone = ["m", "v", F.lit(0).alias("na"), F.lit(0).alias("nb"), "s", "fp", *of]
+    if crowded.isEmpty():
+        return _trie_pairs(keyed.select(*alone), budget, masks, grouped, similarity, few)
+    crowded = _beside(crowded)
     flips = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(TOP_BITS), k)]
     node = F.expr(f"CAST(shiftrightunsigned(fp, s) & {(1 << TOP_BITS) - 1} AS INT)")
-    small = sized.where(F.col("n") <= trie_rows).select("m", "v", F.lit(0).alias("na"), F.lit(0).alias("nb"), "s", "fp", *of)
-    large = sized.where(F.col("n") > trie_rows).select("m", "v", "s", "fp", *of, node.alias("node"), F.explode(F.array(*map(F.lit, flips))).alias("x"))
+    small = keyed.join(crowded, ["m", "v"], "left_anti").select(*alone)
+    large = keyed.join(crowded, ["m", "v"], "left_semi").select("m", "v", "s", "fp", *of, node.alias("node"), F.explode(F.array(*map(F.lit, flips))).alias("x"))
     other = F.col("node").bitwiseXOR(F.col("x"))
     large = large.select("m", "v", F.least("node", other).alias("na"), F.greatest("node", other).alias("nb"), "s", "fp", *of)
+    return _trie_pairs(small.unionByName(large), budget, masks, grouped, similarity, few)
+
+
+def _trie_pairs(dealt: DataFrame, budget: int, masks: list[int], grouped: bool, similarity: float | None, few: int) -> DataFrame:
     group = ["m", "v", "na", "nb", "s"]
-    return small.unionByName(large).repartition(*group[:4]).sortWithinPartitions(*group).mapInArrow(
-        _walk(budget, masks, grouped, similarity, few), "a long, b long")
+    return dealt.repartition(*group[:4]).sortWithinPartitions(*group).mapInArrow(_walk(budget, masks, grouped, similarity, few), "a long, b long")
+
+
+def _beside(df: DataFrame) -> DataFrame:
+    """A side of ids and hashes: broadcast within ``ID_ROWS``, else joined by shuffles."""
+    return F.broadcast(df) if row_bound(df, ID_ROWS) is not None else shuffled(df)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE_ROWS) -> DataFrame:
@@ -316,7 +330,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, trie_rows: int = TRIE
     rows = fingerprints(docs)
     nodes = _components_of(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), budget, trie_rows)
     low = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    return rows.join(nodes.select("fp", "component").join(low, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of = nodes.select("fp", "component").join(shuffled(low), "component").select("fp", "component_id")
+    return rows.join(shuffled(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def _components_of(nodes: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> DataFrame:
@@ -326,7 +341,7 @@ def _components_of(nodes: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) ->
 
 def _with_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     comp = components(edges)
-    return nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return nodes.join(shuffled(comp.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -349,7 +364,7 @@ def _similar(pairs: DataFrame, shown: DataFrame, size: int, similarity: float) -
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["fp", "s"])
 
     sets = staged(shown.mapInArrow(run, "fp long, s array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    both = _beside(pairs).join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(shuffled(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -379,9 +394,9 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
 
     def linked(found: DataFrame) -> DataFrame:
         pairs = staged(found, "pairs")
-        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp")
-        asked = broadcast_checked(asked.select("fp", F.col("low.doc_id").alias("its_id"), F.col("low.digest").alias("its_digest")))
-        return _similar(pairs, docs.select("doc_id", "text").join(asked, same).select("fp", "text").dropDuplicates(["fp"]), size, similarity)
+        asked = shuffled(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()).join(nodes, "fp")
+        asked = staged(asked.select("fp", F.col("low.doc_id").alias("its_id"), F.col("low.digest").alias("its_digest")), "asked")
+        return _similar(pairs, docs.select("doc_id", "text").join(_beside(asked), same).select("fp", "text").dropDuplicates(["fp"]), size, similarity)
 
     every = linked(links(nodes, min(budget, BUDGET), similarity=similarity, few=CLOSEST))
     for few in (CLOSEST, 0):
@@ -390,11 +405,12 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, budget: int = STAGE_BUD
         every = every.unionByName(linked(links(group, budget, agree=agree, similarity=similarity, few=few)))
     nodes = _with_component(nodes, every)
     best = nodes.groupBy("component").agg(F.min("low").alias("best"))
-    own = staged(keys.join(nodes.select("fp", "component").join(best, "component").select("fp", "best"), "fp").select(
+    own = staged(keys.join(shuffled(nodes.select("fp", "component").join(shuffled(best), "component").select("fp", "best")), "fp").select(
         F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "n", (place == F.col("best")).alias("stays")), "survivors")
-    kept = docs.join(own.where("NOT stays"), same, "left_anti")
+    kept = docs.join(_beside(own.where("NOT stays")), same, "left_anti")
     twice = own.where("stays AND n > 1")
     if twice.isEmpty():
         return kept
+    twice = _beside(twice)
     again = kept.join(twice, same, "left_semi").withColumn("its_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "its_digest"])
     return kept.join(twice, same, "left_anti").unionByName(again.drop("its_digest"))

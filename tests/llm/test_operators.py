@@ -253,6 +253,13 @@ def test_trie_nodes_that_are_not_opened_give_the_same_pairs(monkeypatch, leaf):
         assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == want and len(x) == len(want)
 
 
+def test_sides_that_grow_with_the_fingerprints_are_not_broadcast(spark):
+    fps = spark.range(500).select((F.col("id") * 7_919).alias("fp"))
+    for found in (simhash.links(fps, 8), simhash._with_component(fps, fps.select(F.col("fp").alias("a"), F.lit(0).cast("long").alias("b")))):
+        found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
 def test_one_document_of_each_group_stays(spark, empty):
     rows = [(4, PASSAGE), (2, PASSAGE.upper()), (9, "something else here"), (9, "something else here"), (None, PASSAGE), (11, ""), (12, None)]
     got = simhash.keep_one(frame(spark, rows)).collect()
