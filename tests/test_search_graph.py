@@ -263,6 +263,19 @@ def test_suggestions(spark):
     assert [r.suggestion for r in rules.filter_suggestions(df, ["topic"], ["spam"], strict=False).orderBy("rank").collect()] == ["topic words", "Beta Gamma Club"]
 
 
+def test_matched_ratio_of_names_in_order_is_computed_once(spark, monkeypatch):
+    """Without copies of a name only the smaller id's name is compared with the other, not both ways."""
+    from difflib import SequenceMatcher
+
+    asked, ratio = [], G.matched_ratio
+    monkeypatch.setattr(G, "matched_ratio", lambda a, b, least=0.0: asked.append((a, b)) or ratio(a, b, least))
+    rows = [(9, "t", "abcabdabcabd"), (2, "t", "abcabcabdabd"), (5, "t", "abcabdabcab"), (7, "t", "abdabcabdabc")]
+    got = {(r.id_a, r.id_b): r.similarity for r in G.similar_names(spark.createDataFrame(rows, "id long, type string, name string"), ratio=0.7, method="ratio").collect()}
+    want = {(i, j): round(s, 6) for i, _, a in rows for j, _, b in rows if i < j and (s := SequenceMatcher(None, a, b).ratio()) >= 0.7}
+    assert got == want and asked
+    assert all(str(a) != str(d) or str(b) != str(c) for a, b in asked for c, d in asked)
+
+
 @pytest.mark.parametrize("method", ["levenshtein", "ratio"])
 def test_names_of_one_pattern_meet_by_what_differs(spark, method):
     """Numbered names share their beginning; only those that may be similar are compared, copies once."""
