@@ -184,6 +184,20 @@ def test_table_function_equals_span_extraction(spark):
 # ------------------------------------------------------------ centrality
 
 
+def test_larger_graphs_have_larger_blocks_of_thinner_slices(spark, monkeypatch):
+    """The sketches are the same however they are cut, and a sketch goes to fewer blocks."""
+    from inkquest.operators import graph as G
+
+    assert [G._blocks_and_slices(n) for n in (0, 1_000_000, 2_000_000, 5_760_000)] == [(1, 4), (20, 4), (20, 8), (29, 16)]
+    e = spark.createDataFrame([(k, (k * 7 + j) % 90) for k in range(90) for j in (1, 5)], "src long, dst long")
+    results = []
+    for size, most in ((50_000, 20), (10, 4)):
+        monkeypatch.setattr(G, "BLOCK_NODES", size)
+        monkeypatch.setattr(G, "MOST_BLOCKS", most)
+        results.append({r["id"]: (round(r["centrality"], 6), round(r["reached"], 6)) for r in G.harmonic_centrality(e, 2).collect()})
+    assert results[0] == results[1] and len(results[0]) == 90
+
+
 def test_harmonic_centrality_within_its_error(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(30)] + [(500, k) for k in range(100, 400)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(80)] + [(7, 7), (30, 500)]
